@@ -7,10 +7,11 @@ estimated by maximum likelihood from the numbers of greater, smaller and equal r
 candidates within reach of the threshold are verified on the full sets.
 
 Documents with equal sets form one class from the start, so copies are never paired. Within a band's bucket, members
-are compared with one leader (a pre-aggregated minimum), not with each other; as long as a bucket still holds members
-of different components that have not been compared, further leaders follow, and once those pairs are few in relation
-to the input all of them are compared. No link between different texts is lost to a cap: what can be missed is a pair
-that meets in no band, with probability (1 - s**rows)**bands, 3e-6 at similarity s = 0.8.
+are first compared with one leader each, not with each other. Members of a bucket that still lie in different
+components are then compared by their sketches in that bucket, first for their likeliest partner, then for all partners;
+pairs within a component need no further link, so none are made. No cap drops a pair: what can be missed is a pair that
+meets in no band, with probability (1 - s**rows)**bands, 3e-6 at similarity s = 0.8, or is estimated over four standard
+errors too low.
 
 Null texts and texts without words have an empty set and link to nothing. Rows that repeat a
 doc_id are copies. Rows without doc_id stand for nothing else: they get their class, and are not kept.
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.llm import runtime, textscan
@@ -37,10 +38,10 @@ class SketchParams:
     rows: int = 4
     base: float = 1.001
     rate: float = 20.0
-    #: Candidates estimated below this much under the threshold are not verified (over five standard errors).
-    slack: float = 0.25
-    #: Remaining pairs per document at which all are compared instead of further leaders.
-    few: int = 4
+    #: Candidates estimated below this much under the threshold are not verified (over four standard errors of 96 registers).
+    slack: float = 0.18
+    #: Parts of a bucket when leaders are chosen.
+    parts: int = 8
 
     @property
     def registers(self) -> int:
@@ -121,9 +122,9 @@ def _near(n: str, m: str, p: SketchParams):
     return (100 * F.least(n, m) >= p.percent * F.greatest(n, m)) & (F.col(n) > 0)
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, p: SketchParams) -> DataFrame:
-    """Of the pairs (a, b) those whose sets are similar enough: first by estimate, then exactly."""
-    side = lambda x: sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
+def _likely(pairs: DataFrame, candidates: DataFrame, p: SketchParams) -> DataFrame:
+    """Of the pairs (a, b) those whose estimate is in reach of the threshold."""
+    side = lambda x: candidates.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
 
     def likely(batches):
         for batch in batches:
@@ -133,7 +134,11 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, p: Sketch
                 yield batch.select([0, 1]).filter(pa.array(estimate(a, b, n_a, n_b, p.base) >= p.percent / 100 - p.slack))
 
     columns = ["a", "b", "regs_a", "regs_b", "n_a", "n_b"]
-    candidates = pairs.join(side("a"), "a").join(side("b"), "b").where(_near("n_a", "n_b", p)).select(columns).mapInArrow(likely, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_near("n_a", "n_b", p)).select(columns).mapInArrow(likely, "a long, b long")
+
+
+def _verified(candidates: DataFrame, texts: DataFrame, p: SketchParams) -> DataFrame:
+    """Of the pairs (a, b) those whose full sets are similar enough."""
 
     def exact(batches):
         known: dict[int, np.ndarray] = {}
@@ -163,6 +168,91 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, p: Sketch
     return shown.mapInArrow(exact, "a long, b long")
 
 
+def _stars(classes: DataFrame, p: SketchParams) -> DataFrame:
+    """Distinct pairs (a, b): each member of a bucket with the least member of its part of the bucket, and these with the
+    least of the whole bucket. Parts (by id hash) keep a bucket of very many members from landing in one task."""
+    banded = classes.select(F.explode("keys").alias("key"), "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(p.parts)))
+    led = banded.withColumn("lead", F.min("rep").over(Window.partitionBy("key", "part")))
+    inner = led.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    heads = led.where("rep = lead").select("key", "rep").withColumn("lead", F.min("rep").over(Window.partitionBy("key")))
+    return inner.union(heads.where("rep <> lead").select("rep", "lead")).distinct()
+
+
+def _bucket_pairs(keys: np.ndarray, reps: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, p: SketchParams, best: bool):
+    """Pairs of different components within equal keys (sorted) whose estimate is in reach of the threshold; with
+    ``best`` only the likeliest partner of each member."""
+    cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+    least = p.percent / 100 - p.slack
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        x, n, comp = sketch[lo:hi], sizes[lo:hi].astype(float), comps[lo:hi]
+        # members outside the largest component against all: two members of the largest need no link
+        name, at, many = np.unique(comp, return_inverse=True, return_counts=True)
+        rest = np.flatnonzero(at != many.argmax())
+        for i0 in range(0, len(rest), 32):
+            rows = rest[i0 : i0 + 32]
+            for j0 in range(0, hi - lo, 4096):
+                cols = np.arange(j0, min(j0 + 4096, hi - lo))
+                apart = comp[rows][:, None] != comp[cols][None, :]
+                apart &= 100 * np.minimum(n[rows][:, None], n[cols]) >= p.percent * np.maximum(n[rows][:, None], n[cols])
+                i, j = np.nonzero(apart)
+                equal = (x[rows[i]] == x[cols[j]]).mean(1)
+                i, j = i[equal >= least - 0.05], j[equal >= least - 0.05]  # likelihood only where equality leaves it open
+                if not len(i):
+                    continue
+                a, b = rows[i], cols[j]
+                e = estimate(x[a], x[b], n[a], n[b], p.base)
+                keep = e >= least
+                if best:
+                    order = np.lexsort((-e, a))
+                    first = np.ones(len(order), bool)
+                    first[1:] = a[order][1:] != a[order][:-1]
+                    chosen = np.zeros(len(a), bool)
+                    chosen[order[first]] = True
+                    keep &= chosen
+                yield np.maximum(reps[lo + a[keep]], reps[lo + b[keep]]), np.minimum(reps[lo + a[keep]], reps[lo + b[keep]])
+
+
+def _across(candidates: DataFrame, comps: DataFrame, p: SketchParams, best: bool) -> DataFrame:
+    """Distinct pairs (a, b) that share a bucket, lie in different components and may be similar enough."""
+    named = candidates.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    own = Window.partitionBy("key")
+    banded = named.select(F.explode("keys").alias("key"), "rep", "comp", "n", "regs")
+    mixed = banded.where(F.col("comp").isNotNull()).withColumns({"lo": F.min("comp").over(own), "hi": F.max("comp").over(own)}).where("lo <> hi")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush(t: pa.Table):
+            c = {name: t.column(name).combine_chunks() for name in t.schema.names}
+            sketch = np.frombuffer(b"".join(c["regs"].to_pylist()), np.uint16).reshape(t.num_rows, -1)
+            got = list(_bucket_pairs(*(c[x].to_numpy() for x in ("key", "rep", "comp", "n")), sketch, p, best))
+            if got:
+                a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+                pairs = np.unique(np.stack([a, b]), axis=1)
+                yield textscan.batch(a=pairs[0], b=pairs[1])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            last = int(np.searchsorted(key[::-1] != key[-1], True)) if key[0] != key[-1] else len(key)
+            cut = len(key) - last  # rows from here on belong to a bucket that may go on
+            if cut or (held and held[-1].column(0)[0].as_py() != key[0]):
+                if cut == 0:
+                    yield from flush(pa.Table.from_batches(held))
+                    held = [batch]
+                else:
+                    yield from flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+        if held:
+            yield from flush(pa.Table.from_batches(held))
+
+    shown = mixed.select("key", "rep", "comp", "n", "regs").sortWithinPartitions("key")
+    return shown.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     spark = runtime.prepare(docs.sparkSession)
@@ -172,47 +262,20 @@ def near_duplicates(docs: DataFrame, p: SketchParams = SketchParams()) -> DataFr
     same = ["n", "s1", "s2"]
     classes = sketched.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("regs").alias("regs"), F.first("keys").alias("keys"))
     classes = scratch.write(classes, "classes")
-    n_classes = classes.count()
-
-    banded = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    shared = banded.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead")
-    members = scratch.write(banded.join(shared, "key"), "members-0")
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = scratch.write(docs.join(ids, "doc_id", "left_semi"), "texts")
-    sketches = classes.select("rep", "n", "regs")
-
-    star = members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    edges = scratch.write(_verified(star, sketches, texts, p), "edges-0")
-    members = members.withColumn("done", F.col("rep") == F.col("lead")).drop("lead")
-    comps, turn = components(edges, scratch, "cc0"), 0
-    while True:
-        turn += 1
-        named = members.select("key", "rep", "n", "done").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        mixed = named.groupBy("key", "comp").agg(F.sum(F.when(F.col("done"), 0).otherwise(1)).alias("open")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("open").alias("open"), F.sum(F.col("open") * F.col("open")).alias("squares"))
-        mixed = mixed.where((F.col("comps") > 1) & (F.col("open") * F.col("open") > F.col("squares")))
-        left = scratch.write(named.join(mixed.select("key", "open", "squares"), "key"), f"members-{turn}")
-        scratch.drop(f"members-{turn - 1}")
-        pairs = left.select("key", "open", "squares").distinct().agg(F.sum((F.col("open") * F.col("open") - F.col("squares")) / 2)).first()[0] or 0
-        if not pairs:
-            break
-        members = left.select("key", "rep", "n", "done", "comp")
-        last = pairs <= p.few * n_classes + 10_000
-        if last:
-            one, two = (members.where("not done").select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "comp"))) for x in "ab")
-            met = one.join(two, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & _near("n_a", "n_b", p))
-            met = met.select(F.col("rep_b").alias("a"), F.col("rep_a").alias("b")).distinct()
-        else:
-            lead = members.where("not done").groupBy("key").agg(F.min(F.struct("rep", "n", "comp")).alias("lead"))
-            members = members.join(lead, "key")
-            met = members.where((F.col("comp") != F.col("lead.comp")) & ~F.col("done")).select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct()
-            members = members.withColumn("done", F.col("done") | (F.col("rep") == F.col("lead.rep"))).drop("lead", "comp")
-        more = scratch.write(_verified(met, sketches, texts, p), f"edges-{turn}")
-        edges = edges.union(more)
+    star = scratch.write(_stars(classes, p), "star")
+    ids = star.select(F.col("a").alias("rep")).union(star.select("b")).distinct()
+    candidates = scratch.write(classes.join(ids, "rep", "left_semi").select("rep", "n", "regs", "keys"), "candidates")
+    texts = scratch.write(docs.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "texts")
+
+    edges = scratch.write(_verified(_likely(star, candidates, p), texts, p), "edges-0")
+    comps = components(edges, scratch, "cc0")
+    for turn, best in ((1, True), (2, False)):
+        pairs = _across(candidates, comps, p, best)
+        more = scratch.write(_verified(pairs, texts, p), f"edges-{turn}")
         if more.take(1):
+            edges = edges.union(more)
             comps = components(edges, scratch, f"cc{turn}")
-        if last:
-            break
-    scratch.drop("texts")
+    scratch.drop("texts", "star")
     final = classes.select(*same, "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("comp", "rep").alias("comp"))
     return (
         sketched.select("doc_id", *same)
