@@ -90,11 +90,11 @@ def _logs(spark, sf):
 @query("""WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem),
 x AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, 'w' || l_suppkey % 50 AS maker, 'w' || l_partkey % 50 AS taker, l_linenumber % 2 = 0 AS ev, l_partkey, floor(l_quantity * 1000) AS ma, floor(l_extendedprice) AS ta FROM l),
 y AS (SELECT *, least(ma, ta) / 1e6 AS usdc, greatest(ma, ta) / 1e6 AS size FROM x WHERE maker <> taker AND maker NOT IN ('w7', 'w8') AND taker NOT IN ('w7', 'w8'))
-SELECT id, maker, taker, round(usdc, 6) AS usdc, round(size, 6) AS size, CASE WHEN ma < ta THEN -1 ELSE 1 END AS side_mult, round(CASE WHEN usdc / nullif(size, 0) BETWEEN 1e-6 AND 1 THEN usdc / nullif(size, 0) END, 6) AS price,
+SELECT id, maker, taker, round(usdc, 6) AS usdc, round(size, 6) AS size, CASE WHEN ma < ta THEN -1 ELSE 1 END AS side_mult, round(CASE WHEN usdc / nullif(size, 0) BETWEEN 1e-6 AND 1 THEN usdc / nullif(size, 0) END, 10) AS price,
  CAST(l_partkey AS VARCHAR) AS contract_id, false AS anomaly FROM y""")
 def q25_derive_fills(spark, sf):
     d = fills.derive(fills.ingest_filter(_logs(spark, sf), ["w7", "w8"]), "usd")
-    return d.select("id", "maker", "taker", "side_mult", "contract_id", "anomaly", *r6(usdc="usdc", size="size", price="price"))
+    return d.select("id", "maker", "taker", "side_mult", "contract_id", "anomaly", F.round("price", 10).alias("price"), *r6(usdc="usdc", size="size"))
 
 
 @query(f"""WITH {TICKS} SELECT id, wallet, side * s AS side_mult, role FROM (SELECT id, wallet, side, 1 AS s, 'taker' AS role FROM ticks UNION ALL SELECT id, (wallet + 1) % 150, side, -1, 'maker' FROM ticks)""")
@@ -237,10 +237,10 @@ def q62_event_union(spark, sf):
     return u.withColumn("n", F.row_number().over(Window.partitionBy("contract").orderBy("ts", "pri", "id"))).select("contract", "kind", "ts", "price", "id", "n")
 
 
-@query(f"""WITH {TICKS} SELECT id, round(avg(usdc) OVER w, 3) AS mean, CAST(sum((side > 0)::INT) OVER w AS BIGINT) AS buys FROM ticks WINDOW w AS (PARTITION BY contract ORDER BY ts, id ROWS BETWEEN 1999 PRECEDING AND CURRENT ROW)""")
+@query(f"""WITH {TICKS} SELECT id, round(sum(usdc) OVER w, 2) AS total, CAST(sum((side > 0)::INT) OVER w AS BIGINT) AS buys FROM ticks WINDOW w AS (PARTITION BY contract ORDER BY ts, id ROWS BETWEEN 1999 PRECEDING AND CURRENT ROW)""")
 def q63_rolling_trades(spark, sf):
     w = Window.partitionBy("contract").orderBy("ts", "id").rowsBetween(-1999, 0)
-    return ticks(spark, sf).select("id", F.round(F.avg("usdc").over(w), 3).alias("mean"), F.sum((F.col("side") > 0).cast("int")).over(w).alias("buys"))
+    return ticks(spark, sf).select("id", F.round(F.sum("usdc").over(w), 2).alias("total"), F.sum((F.col("side") > 0).cast("int")).over(w).alias("buys"))
 
 
 @query(f"""WITH {TICKS}, c AS (SELECT *, count(*) OVER (PARTITION BY wallet) AS life FROM ticks) SELECT id, median(life) OVER (PARTITION BY contract ORDER BY ts, id ROWS BETWEEN 511 PRECEDING AND CURRENT ROW) AS median_life FROM c""")
