@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import tempfile
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -153,9 +154,12 @@ def repeated_spans(docs: DataFrame, scratch: runtime.Scratch, p: RepeatParams =
                 yield _occurrences(batch.column(0), stretches(prefix, offsets, at, p))
 
     found = scratch.write(docs.mapInArrow(scan, OCCURRENCE), "anchors")
-    twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written, so that the join below deals both sides anew and can split a key that very many anchors share
+    twice = scratch.write(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
+    scratch.drop()
     seen = scratch.write(found.join(twice, "key"), "level-0")
-    scratch.drop("anchors")
+    del found, twice
+    scratch.drop("anchors", "twice")
     spans = []
     for level in range(len(p.widths) + 1):
         classes = seen.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo", "starts", "pad")).alias("r"))
@@ -174,9 +178,9 @@ def repeated_spans(docs: DataFrame, scratch: runtime.Scratch, p: RepeatParams =
         if not seen.take(1):
             break
         seen = scratch.write(seen, f"level-{level + 1}")
-    out = spans[0]
-    for s in spans[1:]:
-        out = out.union(s)
+    out = scratch.write(reduce(DataFrame.union, spans), "spans")
+    del spans, seen, alike, many, classes, sizes, todo, asked, cut, small
+    scratch.drop(*(f"{x}-{i}" for x in ("level", "classes", "segments") for i in range(level + 2)))
     return out
 
 
