@@ -118,6 +118,35 @@ def nearest(ids: np.ndarray, rows: np.ndarray, own: int, q: np.ndarray, top: int
     return ids[at][by], s[by]
 
 
+def nearest_many(ids: np.ndarray, rows: np.ndarray, own: np.ndarray, q: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The top ids and exact scores of several queries, one after the other, and how many each has. A few more than the top
+    are scored exactly; where more rows than that tie at the bar, the query is done by ``nearest``."""
+    rough = q @ rows.T
+    rough[ids[None, :] == own[:, None]] = -np.inf
+    n, k = len(ids), min(len(ids), top + 12)
+    at = np.argpartition(-rough, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), rough.shape)
+    near = np.take_along_axis(rough, at, 1)
+    exact = (rows[at] * q[:, None, :]).sum(-1)
+    exact[np.isneginf(near)] = -np.inf
+    by = np.lexsort((ids[at], -exact), axis=1)[:, :top]
+    found, scores = np.take_along_axis(ids[at], by, 1), np.take_along_axis(exact, by, 1)
+    crowded = np.zeros(len(q), bool)
+    if n > k:
+        bar = np.partition(near, k - top, axis=1)[:, k - top]
+        crowded = (rough >= (bar - 1e-9 * (1 + np.abs(bar)))[:, None]).sum(1) > k
+    out_ids, out_scores, sizes = [], [], []
+    for i in range(len(q)):
+        if crowded[i]:
+            got, s = nearest(ids, rows, own[i], q[i], top, rough[i])
+        else:
+            ok = ~np.isneginf(scores[i])
+            got, s = found[i][ok], scores[i][ok]
+        out_ids.append(got)
+        out_scores.append(s)
+        sizes.append(len(got))
+    return np.concatenate(out_ids), np.concatenate(out_scores), np.array(sizes)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -177,19 +206,19 @@ def search(vectors: DataFrame, queries: DataFrame, p: TreeParams = TreeParams())
     asked = queries.select("vec_id", "v").mapInArrow(visit, "query_id long, q array<double>, leaf int, part int")
 
     def compare(key, left, right):
-        out = {"query_id": [], "ids": [], "scores": []}
+        asked_ids, found_ids, scores, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
         if left.num_rows and right.num_rows:
             ids, x = left.column("vec_id").combine_chunks().to_numpy(), _matrix(left.column("v").combine_chunks())
-            q_ids, q = right.column("query_id").to_pylist(), _matrix(right.column("q").combine_chunks())
+            q_ids, q = right.column("query_id").combine_chunks().to_numpy(), _matrix(right.column("q").combine_chunks())
             for lo in range(0, len(q), 256):
-                rough = q[lo : lo + 256] @ x.T
-                for i, r in enumerate(rough):
-                    got, s = nearest(ids, x, q_ids[lo + i], q[lo + i], p.top, r)
-                    if len(got):
-                        out["query_id"].append(q_ids[lo + i])
-                        out["ids"].append(got)
-                        out["scores"].append(s)
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "ids": pa.array(out["ids"], pa.list_(pa.int64())), "scores": pa.array(out["scores"], pa.list_(pa.float64()))})
+                got, s, n = nearest_many(ids, x, q_ids[lo : lo + 256], q[lo : lo + 256], p.top)
+                asked_ids.append(q_ids[lo : lo + 256])
+                found_ids.append(got)
+                scores.append(s)
+                sizes.append(n)
+        bounds = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(v))) for v in (found_ids, scores)]
+        return pa.table({"query_id": pa.array(np.concatenate(asked_ids)), "ids": lists[0], "scores": lists[1]})
 
     found = rows.groupBy("leaf", "part").cogroup(asked.groupBy("leaf", "part")).applyInArrow(compare, "query_id long, ids array<long>, scores array<double>")
     return _merge(found, p.top)
