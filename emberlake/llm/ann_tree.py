@@ -28,13 +28,13 @@ from emberlake.llm import runtime, textscan
 @dataclass(frozen=True)
 class TreeParams:
     top: int = 20
-    recall: float = 0.97
+    recall: float = 0.95
     branching: int = 8
-    leaf_rows: int = 256
+    leaf_rows: int = 2048
     most_fitted: int = 20_000
     most_leaves: int = 4096
     calibration: int = 128
-    part_rows: int = 4096
+    part_rows: int = 16_384
     rounds: int = 8
 
 
