@@ -9,9 +9,10 @@ candidates within reach of the threshold are verified on the full sets.
 Documents with equal sets form one class from the start, so copies are never paired. Within a band's bucket, members
 are first compared with one leader each, not with each other. Members of a bucket that still lie in different
 components are then compared by their sketches in that bucket, first for their likeliest partner, then for all partners;
-pairs within a component need no further link, so none are made. No cap drops a pair: what can be missed is a pair that
-meets in no band, with probability (1 - s**rows)**bands, 3e-6 at similarity s = 0.8, or is estimated over four standard
-errors too low.
+pairs within a component need no further link, so none are made. Candidates carry finer sketches for this (the low bytes of
+more registers), so that of a family of texts just under the threshold of each other few pairs are left to verify. No cap
+drops a pair: what can be missed is a pair that meets in no band, with probability (1 - s**rows)**bands, 3e-6 at similarity
+s = 0.8, or is estimated over four standard errors too low.
 
 Null texts and texts without words have an empty set and link to nothing. Rows that repeat a
 doc_id are copies. Rows without doc_id stand for nothing else: they get their class, and are not kept.
@@ -40,6 +41,9 @@ class SketchParams:
     rate: float = 20.0
     #: Candidates estimated below this much under the threshold are not verified (over four standard errors of 96 registers).
     slack: float = 0.18
+    #: Registers of candidates beyond those of the bands (low bytes only), and the slack of all registers together.
+    fine: int = 320
+    fine_slack: float = 0.09
     #: Parts of a bucket when leaders are chosen.
     parts: int = 8
 
@@ -55,13 +59,15 @@ def _multipliers(n: int) -> np.ndarray:
     return textscan.mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def registers(sets: list[np.ndarray], p: SketchParams) -> np.ndarray:
-    """Sketches of non-empty sets, one row each: floor(1 - log_base(least exponential variate)), cut to 0..LIMIT."""
+def registers(sets: list[np.ndarray], p: SketchParams, first: int = 0, many: int | None = None) -> np.ndarray:
+    """Sketches of non-empty sets, one row each: floor(1 - log_base(least exponential variate)), cut to 0..LIMIT.
+    ``many`` registers from number ``first`` on (those of the bands, if not given)."""
+    many = p.registers if many is None else many
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     flat = np.concatenate(sets)
-    least = np.empty((p.registers, len(sets)), np.uint64)
-    for i, m in enumerate(_multipliers(p.registers)):
+    least = np.empty((many, len(sets)), np.uint64)
+    for i, m in enumerate(_multipliers(first + many)[first:]):
         v = flat * m
         v ^= v >> np.uint64(32)
         least[i] = np.minimum.reduceat(v * np.uint64(0xD6E8FEB86659FD93), starts)
@@ -118,6 +124,23 @@ def sketch_documents(docs: DataFrame, p: SketchParams) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, regs binary, keys array<long>")
 
 
+def _fine_texts(texts: DataFrame, p: SketchParams) -> DataFrame:
+    """doc_id, text and the fine registers (binary; null if the set is empty)."""
+
+    def run(batches):
+        for batch, data, offsets in textscan.chunks(batches):
+            _, _, h, ptr = textscan.word_hashes(data, offsets)
+            sets = textscan.shingle_sets(h, ptr, p.k)
+            full = [i for i, s in enumerate(sets) if len(s)]
+            fine: list[bytes | None] = [None] * len(sets)
+            if full:
+                for i, r in zip(full, (registers([sets[i] for i in full], p, p.registers, p.fine) & 255).astype(np.uint8), strict=True):
+                    fine[i] = r.tobytes()
+            yield textscan.batch(doc_id=batch.column(0), text=batch.column(1), fine=pa.array(fine, pa.binary()))
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, fine binary")
+
+
 def _near(n: str, m: str, p: SketchParams):
     return (100 * F.least(n, m) >= p.percent * F.greatest(n, m)) & (F.col(n) > 0)
 
@@ -178,13 +201,14 @@ def _stars(classes: DataFrame, p: SketchParams) -> DataFrame:
     return inner.union(heads.where("rep <> lead").select("rep", "lead")).distinct()
 
 
-def _bucket_pairs(keys: np.ndarray, reps: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, p: SketchParams, best: bool):
-    """Pairs of different components within equal keys (sorted) whose estimate is in reach of the threshold; with
+def _bucket_pairs(keys: np.ndarray, reps: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, fine: np.ndarray, p: SketchParams, best: bool):
+    """Pairs of different components within equal keys (sorted) whose estimates are in reach of the threshold; with
     ``best`` only the likeliest partner of each member."""
     cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
     least = p.percent / 100 - p.slack
+    alike = (p.percent / 100 - p.fine_slack) * (p.registers + p.fine)  # registers that a pair must share
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        x, n, comp = sketch[lo:hi], sizes[lo:hi].astype(float), comps[lo:hi]
+        x, y, n, comp = sketch[lo:hi], fine[lo:hi], sizes[lo:hi].astype(float), comps[lo:hi]
         # members outside the largest component against all: two members of the largest need no link
         name, at, many = np.unique(comp, return_inverse=True, return_counts=True)
         rest = np.flatnonzero(at != many.argmax())
@@ -195,8 +219,11 @@ def _bucket_pairs(keys: np.ndarray, reps: np.ndarray, comps: np.ndarray, sizes:
                 apart = comp[rows][:, None] != comp[cols][None, :]
                 apart &= 100 * np.minimum(n[rows][:, None], n[cols]) >= p.percent * np.maximum(n[rows][:, None], n[cols])
                 i, j = np.nonzero(apart)
-                equal = (x[rows[i]] == x[cols[j]]).mean(1)
-                i, j = i[equal >= least - 0.05], j[equal >= least - 0.05]  # likelihood only where equality leaves it open
+                equal = (x[rows[i]] == x[cols[j]]).sum(1)
+                near = equal >= (least - 0.05) * p.registers  # the other estimates only where this leaves them open
+                i, j, equal = i[near], j[near], equal[near]
+                near = equal + (y[rows[i]] == y[cols[j]]).sum(1) >= alike
+                i, j = i[near], j[near]
                 if not len(i):
                     continue
                 a, b = rows[i], cols[j]
@@ -216,16 +243,17 @@ def _across(candidates: DataFrame, comps: DataFrame, p: SketchParams, best: bool
     """Distinct pairs (a, b) that share a bucket, lie in different components and may be similar enough."""
     named = candidates.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     own = Window.partitionBy("key")
-    banded = named.select(F.explode("keys").alias("key"), "rep", "comp", "n", "regs")
-    mixed = banded.where(F.col("comp").isNotNull()).withColumns({"lo": F.min("comp").over(own), "hi": F.max("comp").over(own)}).where("lo <> hi")
+    light = named.select(F.explode("keys").alias("key"), "rep", "comp").withColumns({"lo": F.min("comp").over(own), "hi": F.max("comp").over(own)})
+    mixed = light.where("lo <> hi").groupBy("rep").agg(F.collect_list("key").alias("mixed"))  # at most one key of each band
+    banded = named.join(mixed, "rep").select(F.explode("mixed").alias("key"), "rep", "comp", "n", "regs", "fine").repartition("key")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def flush(t: pa.Table):
             c = {name: t.column(name).combine_chunks() for name in t.schema.names}
-            sketch = np.frombuffer(b"".join(c["regs"].to_pylist()), np.uint16).reshape(t.num_rows, -1)
-            got = list(_bucket_pairs(*(c[x].to_numpy() for x in ("key", "rep", "comp", "n")), sketch, p, best))
+            sketch, fine = (np.frombuffer(b"".join(c[x].to_pylist()), kind).reshape(t.num_rows, -1) for x, kind in (("regs", np.uint16), ("fine", np.uint8)))
+            got = list(_bucket_pairs(*(c[x].to_numpy() for x in ("key", "rep", "comp", "n")), sketch, fine, p, best))
             if got:
                 a, b = (np.concatenate(x) for x in zip(*got, strict=True))
                 pairs = np.unique(np.stack([a, b]), axis=1)
@@ -249,8 +277,7 @@ def _across(candidates: DataFrame, comps: DataFrame, p: SketchParams, best: bool
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    shown = mixed.select("key", "rep", "comp", "n", "regs").sortWithinPartitions("key")
-    return shown.mapInArrow(run, "a long, b long").distinct()
+    return banded.sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
@@ -263,9 +290,14 @@ def near_duplicates(docs: DataFrame, p: SketchParams = SketchParams()) -> DataFr
     classes = sketched.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("regs").alias("regs"), F.first("keys").alias("keys"))
     classes = scratch.write(classes, "classes")
     star = scratch.write(_stars(classes, p), "star")
-    ids = star.select(F.col("a").alias("rep")).union(star.select("b")).distinct()
-    candidates = scratch.write(classes.join(ids, "rep", "left_semi").select("rep", "n", "regs", "keys"), "candidates")
-    texts = scratch.write(docs.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "texts")
+    met = star.select(F.col("a").alias("rep")).union(star.select("b")).groupBy("rep").agg(F.count("*").alias("times"))
+    # a comparison makes the optimiser see a selective side, and so sift texts by a Bloom filter (of bounded size) before the shuffle
+    ids = scratch.write(met, "met").where("times >= 1").select("rep")
+    with runtime.bloom_filters(spark):
+        texts = scratch.write(_fine_texts(docs.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), p), "texts")
+        fine = texts.select(F.col("doc_id").alias("rep"), "fine").dropDuplicates(["rep"])
+        candidates = scratch.write(classes.join(ids, "rep", "left_semi").join(fine, "rep").select("rep", "n", "regs", "keys", "fine"), "candidates")
+    texts = texts.select("doc_id", "text")
 
     edges = scratch.write(_verified(_likely(star, candidates, p), texts, p), "edges-0")
     comps = components(edges, scratch, "cc0")

@@ -7,6 +7,7 @@ can read them, so a lost executor costs only its running tasks.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
 import shutil
@@ -35,6 +36,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextlib.contextmanager
+def bloom_filters(spark: SparkSession):
+    """Within this, Spark puts Bloom filters (at most ``bloomFilter.maxNumBits``, 8 MB) before the shuffles of joins of any size."""
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0b", "creationSideThreshold": "1g"}
+    before = {k: spark.conf.get(prefix + k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(prefix + k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(prefix + k) if v is None else spark.conf.set(prefix + k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where the setting is absent (tests)."""
     conf = spark.sparkContext.getConf()
