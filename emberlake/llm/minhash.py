@@ -8,8 +8,8 @@ candidates within reach of the threshold are verified on the full sets.
 
 Documents with equal sets form one class from the start, so copies are never paired. Within a band's bucket, members
 are first compared with one leader each, not with each other. Members of a bucket that still lie in different
-components are then compared by their sketches in that bucket, first for their likeliest partner, then for all partners;
-pairs within a component need no further link, so none are made. Candidates carry finer sketches for this (the low bytes of
+components are then compared by their sketches, first for their likeliest partner, then for all partners; pairs within a
+component need no further link, so none are made. Large buckets are compared in blocks of bounded size, many tasks a bucket. Candidates carry finer sketches for this (the low bytes of
 more registers), so that of a family of texts just under the threshold of each other few pairs are left to verify. No cap
 drops a pair: what can be missed is a pair that meets in no band, with probability (1 - s**rows)**bands, 3e-6 at similarity
 s = 0.8, or is estimated over four standard errors too low.
@@ -20,6 +20,7 @@ doc_id are copies. Rows without doc_id stand for nothing else: they get their cl
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,8 +45,8 @@ class SketchParams:
     #: Registers of candidates beyond those of the bands (low bytes only), and the slack of all registers together.
     fine: int = 320
     fine_slack: float = 0.09
-    #: Parts of a bucket when leaders are chosen.
-    parts: int = 8
+    #: Rows, and columns, of a block: a bucket with more members is compared in several blocks.
+    block: int = 2048
 
     @property
     def registers(self) -> int:
@@ -193,29 +194,29 @@ def _verified(candidates: DataFrame, texts: DataFrame, p: SketchParams) -> DataF
 
 def _stars(classes: DataFrame, p: SketchParams) -> DataFrame:
     """Distinct pairs (a, b): each member of a bucket with the least member of its part of the bucket, and these with the
-    least of the whole bucket. Parts (by id hash) keep a bucket of very many members from landing in one task."""
-    banded = classes.select(F.explode("keys").alias("key"), "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(p.parts)))
+    least of the whole bucket. There are as many parts (by id hash) as the root of all classes, so that no task gets more
+    than about that root of one bucket in either step."""
+    parts = max(1, math.isqrt(classes.count()))
+    banded = classes.select(F.explode("keys").alias("key"), "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts)))
     led = banded.withColumn("lead", F.min("rep").over(Window.partitionBy("key", "part")))
     inner = led.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     heads = led.where("rep = lead").select("key", "rep").withColumn("lead", F.min("rep").over(Window.partitionBy("key")))
     return inner.union(heads.where("rep <> lead").select("rep", "lead")).distinct()
 
 
-def _bucket_pairs(keys: np.ndarray, reps: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, fine: np.ndarray, p: SketchParams, best: bool):
-    """Pairs of different components within equal keys (sorted) whose estimates are in reach of the threshold; with
-    ``best`` only the likeliest partner of each member."""
+def _block_pairs(keys: np.ndarray, reps: np.ndarray, comps: np.ndarray, sizes: np.ndarray, is_row: np.ndarray, is_col: np.ndarray, sketch: np.ndarray, fine: np.ndarray, p: SketchParams, best: bool):
+    """Pairs of a row and a column of different components within equal keys (sorted) whose estimates are in reach of the
+    threshold; with ``best`` only the likeliest column of each row."""
     cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
     least = p.percent / 100 - p.slack
     alike = (p.percent / 100 - p.fine_slack) * (p.registers + p.fine)  # registers that a pair must share
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         x, y, n, comp = sketch[lo:hi], fine[lo:hi], sizes[lo:hi].astype(float), comps[lo:hi]
-        # members outside the largest component against all: two members of the largest need no link
-        name, at, many = np.unique(comp, return_inverse=True, return_counts=True)
-        rest = np.flatnonzero(at != many.argmax())
+        rest, all_cols = np.flatnonzero(is_row[lo:hi]), np.flatnonzero(is_col[lo:hi])
         for i0 in range(0, len(rest), 32):
             rows = rest[i0 : i0 + 32]
-            for j0 in range(0, hi - lo, 4096):
-                cols = np.arange(j0, min(j0 + 4096, hi - lo))
+            for j0 in range(0, len(all_cols), 4096):
+                cols = all_cols[j0 : j0 + 4096]
                 apart = comp[rows][:, None] != comp[cols][None, :]
                 apart &= 100 * np.minimum(n[rows][:, None], n[cols]) >= p.percent * np.maximum(n[rows][:, None], n[cols])
                 i, j = np.nonzero(apart)
@@ -239,13 +240,31 @@ def _bucket_pairs(keys: np.ndarray, reps: np.ndarray, comps: np.ndarray, sizes:
                 yield np.maximum(reps[lo + a[keep]], reps[lo + b[keep]]), np.minimum(reps[lo + a[keep]], reps[lo + b[keep]])
 
 
+def _blocks(named: DataFrame, p: SketchParams) -> DataFrame:
+    """rep and its blocks (array of key, is_row, is_col) in the buckets with members of different components.
+
+    The members outside a bucket's largest component (two members of that need no link) are its rows, all members its
+    columns. They are dealt by id hash to parts of about ``block``; a block is one part of the rows against one of the columns.
+    A bucket whose members are nearly all linked so costs rows in proportion to its size."""
+    light = named.select(F.explode("keys").alias("key"), "rep", "comp")
+    many = light.groupBy("key", "comp").agg(F.count("*").alias("many"))  # summed before the shuffle, as the next
+    whole = many.groupBy("key").agg(F.count("*").alias("comps"), F.sum("many").alias("all"), F.max(F.struct("many", "comp")).alias("top"))
+    parts = lambda x: F.greatest(F.ceil(x / F.lit(p.block)).cast("int"), F.lit(1))
+    mixed = whole.where("comps > 1").select("key", F.col("top.comp").alias("top"), parts(F.col("all") - F.col("top.many")).alias("down"), parts(F.col("all")).alias("over"))
+    met = light.join(mixed, "key").withColumns({"outside": F.col("comp") != F.col("top"), "r": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("down")).cast("int"), "c": F.pmod(F.xxhash64("rep", F.lit(2)), F.col("over")).cast("int")})
+    block = lambda i, j, row, col: F.struct(F.when((F.col("down") == 1) & (F.col("over") == 1), F.col("key")).otherwise(F.xxhash64("key", i, j)).alias("key"), row.alias("is_row"), col.alias("is_col"))
+    as_row = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("over") - 1), lambda j: block(F.col("r"), j, F.lit(True), j == F.col("c"))))
+    others = F.filter(F.sequence(F.lit(0), F.col("down") - 1), lambda i: ~F.col("outside") | (i != F.col("r")))
+    as_col = F.transform(others, lambda i: block(i, F.col("c"), F.lit(False), F.lit(True)))
+    placed = met.select("rep", F.concat(F.coalesce(as_row, F.filter(as_col, lambda _: F.lit(False))), as_col).alias("at"))
+    return placed.groupBy("rep").agg(F.flatten(F.collect_list("at")).alias("at"))  # at most one key of each band
+
+
 def _across(candidates: DataFrame, comps: DataFrame, p: SketchParams, best: bool) -> DataFrame:
     """Distinct pairs (a, b) that share a bucket, lie in different components and may be similar enough."""
     named = candidates.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    own = Window.partitionBy("key")
-    light = named.select(F.explode("keys").alias("key"), "rep", "comp").withColumns({"lo": F.min("comp").over(own), "hi": F.max("comp").over(own)})
-    mixed = light.where("lo <> hi").groupBy("rep").agg(F.collect_list("key").alias("mixed"))  # at most one key of each band
-    banded = named.join(mixed, "rep").select(F.explode("mixed").alias("key"), "rep", "comp", "n", "regs", "fine").repartition("key")
+    shown = named.join(_blocks(named, p), "rep").select(F.explode("at").alias("at"), "rep", "comp", "n", "regs", "fine")
+    banded = shown.select("at.key", "rep", "comp", "n", "at.is_row", "at.is_col", "regs", "fine").repartition("key")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -253,7 +272,7 @@ def _across(candidates: DataFrame, comps: DataFrame, p: SketchParams, best: bool
         def flush(t: pa.Table):
             c = {name: t.column(name).combine_chunks() for name in t.schema.names}
             sketch, fine = (np.frombuffer(b"".join(c[x].to_pylist()), kind).reshape(t.num_rows, -1) for x, kind in (("regs", np.uint16), ("fine", np.uint8)))
-            got = list(_bucket_pairs(*(c[x].to_numpy() for x in ("key", "rep", "comp", "n")), sketch, fine, p, best))
+            got = list(_block_pairs(*(c[x].to_numpy(zero_copy_only=False) for x in ("key", "rep", "comp", "n", "is_row", "is_col")), sketch, fine, p, best))
             if got:
                 a, b = (np.concatenate(x) for x in zip(*got, strict=True))
                 pairs = np.unique(np.stack([a, b]), axis=1)

@@ -62,8 +62,8 @@ def test_repeats(spark, docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("k", [4, 5])
-def test_near_duplicates(docs, none, k):
+@pytest.mark.parametrize(("k", "block"), [(4, 2048), (5, 2048), (4, 3)])
+def test_near_duplicates(docs, none, k, block):
     sets = {}
     for d, t in enumerate(texts()):
         w = WORD.findall(lower(t))
@@ -74,16 +74,17 @@ def test_near_duplicates(docs, none, k):
             if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 old, new = max(up[a], up[b]), min(up[a], up[b])
                 up = {d: new if c == old else c for d, c in up.items()}
-    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs, minhash.SketchParams(k=k)).collect()}
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs, minhash.SketchParams(k=k, block=block)).collect()}
     assert {d: (r["component_id"], r["n_shingles"], r["kept"]) for d, r in got.items()} == {d: (up[d], len(s), up[d] == d) for d, s in sets.items()}
     assert minhash.near_duplicates(none).count() == 0
 
 
-def test_bridged_families_become_one_component(spark):
+@pytest.mark.parametrize("block", [2048, 5])
+def test_bridged_families_become_one_component(spark, block):
     """A chain of texts of which only neighbours are near, read in an order that hides the chain."""
     words = [f"w{i}" for i in range(600)]
     rows = [(int(i * 37 % 101), " ".join(words[i * 4 : i * 4 + 200])) for i in range(60)]
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), minhash.SketchParams(k=4))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), minhash.SketchParams(k=4, block=block))
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
