@@ -42,9 +42,9 @@ class SketchParams:
     rate: float = 20.0
     #: Candidates estimated below this much under the threshold are not verified (over four standard errors of 96 registers).
     slack: float = 0.18
-    #: Registers of candidates beyond those of the bands (low bytes only), and the slack of all registers together.
-    fine: int = 320
-    fine_slack: float = 0.09
+    #: Registers of candidates beyond those of the bands (low bytes only), and the slack of all registers together (over four standard errors of 1,024).
+    fine: int = 928
+    fine_slack: float = 0.058
     #: Rows, and columns, of a block: a bucket with more members is compared in several blocks.
     block: int = 2048
 
@@ -204,9 +204,9 @@ def _stars(classes: DataFrame, p: SketchParams) -> DataFrame:
     return inner.union(heads.where("rep <> lead").select("rep", "lead")).distinct()
 
 
-def _block_pairs(keys: np.ndarray, reps: np.ndarray, comps: np.ndarray, sizes: np.ndarray, is_row: np.ndarray, is_col: np.ndarray, sketch: np.ndarray, fine: np.ndarray, p: SketchParams, best: bool):
+def _block_pairs(keys: np.ndarray, bands: np.ndarray, reps: np.ndarray, comps: np.ndarray, sizes: np.ndarray, is_row: np.ndarray, is_col: np.ndarray, outside: np.ndarray, sketch: np.ndarray, fine: np.ndarray, p: SketchParams, best: bool):
     """Pairs of a row and a column of different components within equal keys (sorted) whose estimates are in reach of the
-    threshold; with ``best`` only the likeliest column of each row."""
+    threshold; with ``best`` only the likeliest column of each row. A pair that meets in several bands is taken in the first."""
     cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
     least = p.percent / 100 - p.slack
     alike = (p.percent / 100 - p.fine_slack) * (p.registers + p.fine)  # registers that a pair must share
@@ -218,6 +218,8 @@ def _block_pairs(keys: np.ndarray, reps: np.ndarray, comps: np.ndarray, sizes: n
             for j0 in range(0, len(all_cols), 4096):
                 cols = all_cols[j0 : j0 + 4096]
                 apart = comp[rows][:, None] != comp[cols][None, :]
+                if not best:  # two members outside the largest component meet as row and column twice
+                    apart &= ~outside[lo + cols][None, :] | (reps[lo + rows][:, None] > reps[lo + cols][None, :])
                 apart &= 100 * np.minimum(n[rows][:, None], n[cols]) >= p.percent * np.maximum(n[rows][:, None], n[cols])
                 i, j = np.nonzero(apart)
                 equal = (x[rows[i]] == x[cols[j]]).sum(1)
@@ -225,6 +227,9 @@ def _block_pairs(keys: np.ndarray, reps: np.ndarray, comps: np.ndarray, sizes: n
                 i, j, equal = i[near], j[near], equal[near]
                 near = equal + (y[rows[i]] == y[cols[j]]).sum(1) >= alike
                 i, j = i[near], j[near]
+                shared = (x[rows[i]] == x[cols[j]]).reshape(len(i), p.bands, p.rows).all(2)
+                near = shared.argmax(1) == bands[lo]
+                i, j = i[near], j[near]
                 if not len(i):
                     continue
                 a, b = rows[i], cols[j]
@@ -241,18 +246,18 @@ def _block_pairs(keys: np.ndarray, reps: np.ndarray, comps: np.ndarray, sizes: n
 
 
 def _blocks(named: DataFrame, p: SketchParams) -> DataFrame:
-    """rep and its blocks (array of key, is_row, is_col) in the buckets with members of different components.
+    """rep and its blocks (array of key, band, is_row, is_col, outside) in the buckets with members of different components.
 
     The members outside a bucket's largest component (two members of that need no link) are its rows, all members its
     columns. They are dealt by id hash to parts of about ``block``; a block is one part of the rows against one of the columns.
     A bucket whose members are nearly all linked so costs rows in proportion to its size."""
-    light = named.select(F.explode("keys").alias("key"), "rep", "comp")
+    light = named.select(F.posexplode("keys").alias("band", "key"), "rep", "comp")
     many = light.groupBy("key", "comp").agg(F.count("*").alias("many"))  # summed before the shuffle, as the next
     whole = many.groupBy("key").agg(F.count("*").alias("comps"), F.sum("many").alias("all"), F.max(F.struct("many", "comp")).alias("top"))
     parts = lambda x: F.greatest(F.ceil(x / F.lit(p.block)).cast("int"), F.lit(1))
     mixed = whole.where("comps > 1").select("key", F.col("top.comp").alias("top"), parts(F.col("all") - F.col("top.many")).alias("down"), parts(F.col("all")).alias("over"))
     met = light.join(mixed, "key").withColumns({"outside": F.col("comp") != F.col("top"), "r": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("down")).cast("int"), "c": F.pmod(F.xxhash64("rep", F.lit(2)), F.col("over")).cast("int")})
-    block = lambda i, j, row, col: F.struct(F.when((F.col("down") == 1) & (F.col("over") == 1), F.col("key")).otherwise(F.xxhash64("key", i, j)).alias("key"), row.alias("is_row"), col.alias("is_col"))
+    block = lambda i, j, row, col: F.struct(F.when((F.col("down") == 1) & (F.col("over") == 1), F.col("key")).otherwise(F.xxhash64("key", i, j)).alias("key"), F.col("band"), row.alias("is_row"), col.alias("is_col"), F.col("outside"))
     as_row = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("over") - 1), lambda j: block(F.col("r"), j, F.lit(True), j == F.col("c"))))
     others = F.filter(F.sequence(F.lit(0), F.col("down") - 1), lambda i: ~F.col("outside") | (i != F.col("r")))
     as_col = F.transform(others, lambda i: block(i, F.col("c"), F.lit(False), F.lit(True)))
@@ -264,7 +269,7 @@ def _across(candidates: DataFrame, comps: DataFrame, p: SketchParams, best: bool
     """Distinct pairs (a, b) that share a bucket, lie in different components and may be similar enough."""
     named = candidates.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     shown = named.join(_blocks(named, p), "rep").select(F.explode("at").alias("at"), "rep", "comp", "n", "regs", "fine")
-    banded = shown.select("at.key", "rep", "comp", "n", "at.is_row", "at.is_col", "regs", "fine").repartition("key")
+    banded = shown.select("at.key", "at.band", "rep", "comp", "n", "at.is_row", "at.is_col", "at.outside", "regs", "fine").repartition("key")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -272,7 +277,7 @@ def _across(candidates: DataFrame, comps: DataFrame, p: SketchParams, best: bool
         def flush(t: pa.Table):
             c = {name: t.column(name).combine_chunks() for name in t.schema.names}
             sketch, fine = (np.frombuffer(b"".join(c[x].to_pylist()), kind).reshape(t.num_rows, -1) for x, kind in (("regs", np.uint16), ("fine", np.uint8)))
-            got = list(_block_pairs(*(c[x].to_numpy(zero_copy_only=False) for x in ("key", "rep", "comp", "n", "is_row", "is_col")), sketch, fine, p, best))
+            got = list(_block_pairs(*(c[x].to_numpy(zero_copy_only=False) for x in ("key", "band", "rep", "comp", "n", "is_row", "is_col", "outside")), sketch, fine, p, best))
             if got:
                 a, b = (np.concatenate(x) for x in zip(*got, strict=True))
                 pairs = np.unique(np.stack([a, b]), axis=1)
