@@ -6,6 +6,12 @@ are laid side by side on that diagonal and the stretch with the best score (1 pe
 unequal) is taken; it counts if it spans at least ``least_words`` words (or the whole test, if shorter) and at least
 ``similarity`` of them are equal.
 
+The default masks miss nothing from a similarity of 0.8 and a span of 13 on: k substitutions in n words leave n - k equal
+words in k + 1 runs. Up to two leave a run of 4 as n >= 13; three leave one if n >= 16, and in n = 15 either one or the
+runs 3, 3, 3, 3, which the second mask spans; four and more leave 4k equal words or more, over 3 (k + 1). Tests with
+fewer than 13 words must be met whole: they are cut into more pieces than substitutions allowed, with a mask for every
+choice of pieces left out. Diagonals with too few equal words in all are dropped before they are looked at closely.
+
 Tests are handled in blocks of at most ``most_words`` words, one broadcast and one pass over the documents each, so
 any number of tests works with bounded memory. Tests with fewer than ``shortest`` words are too short to tell and are
 not searched. Tests of equal words are searched once and reported under every item_id. Null texts match nothing.
@@ -15,6 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +35,7 @@ SCHEMA = "doc_id long, item_id long, first_word long, n_words long, n_equal long
 
 @dataclass(frozen=True)
 class SeedParams:
-    masks: tuple[str, ...] = ("11111111", "1101101111", "11110110111", "101110111011")
+    masks: tuple[str, ...] = ("1111", "1110111")
     least_words: int = 13
     similarity: float = 0.8
     penalty: float = 2.0
@@ -36,6 +43,12 @@ class SeedParams:
     most_words: int = 500_000
 
 
+def _ranges(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers lo .. lo + n - 1 of all rows, and the row of each."""
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + (lo - (np.cumsum(n) - n))[of], of
+
+
 def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     """Hash of each window of len(mask) words, ignoring the positions marked 0."""
     n = len(h) - len(mask) + 1
@@ -50,10 +63,24 @@ def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     return textscan.mix(out)
 
 
+def whole_masks(n: int, similarity: float) -> list[str]:
+    """Masks of n positions of which one at least is met by every n words with ``similarity`` of them equal."""
+    wrong = max(k for k in range(n + 1) if n - k >= similarity * n)
+    pieces = np.array_split(np.arange(n), min(n, wrong + 4)) if wrong else []
+    out = []
+    for left_out in combinations(pieces, wrong):
+        mask = np.ones(n, int)
+        mask[np.concatenate([np.zeros(0, int), *left_out])] = 0
+        out.append("".join(map(str, mask)))
+    return out
+
+
 class SeedIndex:
     """Seeds of a block of tests: sorted hashes with (test, position), and a bitmap that most words of documents miss."""
 
     BITS = 22
+    PROVED = 13  # words from which on the masks of SeedParams miss nothing
+    AT_ONCE = 1 << 20
 
     def __init__(self, texts: list[str | None], p: SeedParams):
         self.p = p
@@ -69,11 +96,14 @@ class SeedIndex:
                     self.tests.append(h[a:b])
                     self.same.append([])
                 self.same[k].append(i)
-        short = {f"{'1' * len(t)}" for t in self.tests if len(t) < min(map(len, p.masks))}
-        self.masks = [*p.masks, *sorted(short)]
+        self.words = np.concatenate([np.zeros(0, np.uint64), *self.tests])
+        self.size = np.array([len(t) for t in self.tests], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        of_size: dict[int, list[int]] = {}
+        for t, x in enumerate(self.tests):
+            of_size.setdefault(min(len(x), self.PROVED), []).append(t)
         self.of = []
-        for m in self.masks:
-            own = [t for t in range(len(self.tests)) if m in p.masks or len(self.tests[t]) == len(m)]
+        for m, own in ((m, own) for n, own in of_size.items() for m in (p.masks if n == self.PROVED else whole_masks(n, p.similarity))):
             found = [(seed_hashes(self.tests[t], m), t) for t in own]
             hashes = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in found)])
             test = np.concatenate([np.zeros(0, np.int64), *(np.full(len(x), t) for x, t in found)])
@@ -81,28 +111,39 @@ class SeedIndex:
             order = np.argsort(hashes, kind="stable")
             bitmap = np.zeros(1 << self.BITS, bool)
             bitmap[(hashes >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
-            self.of.append((hashes[order], test[order], at[order], bitmap))
+            self.of.append((m, hashes[order], test[order], at[order], bitmap))
 
     def diagonals(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (test, start of the test in h) at which some seed is equal; starts may lie before 0."""
-        tests, starts = [], []
-        for m, (hashes, test, at, bitmap) in zip(self.masks, self.of, strict=True):
+        """Distinct (test, start of the test in h) at which some seed and enough words are equal; starts may lie before 0."""
+        out = [np.zeros((2, 0), np.int64)]
+        for m, hashes, test, at, bitmap in self.of:
             s = seed_hashes(h, m)
             if not len(s) or not len(hashes):
                 continue
             place = np.flatnonzero(bitmap[(s >> np.uint64(64 - self.BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(hashes, s[place], "left"), np.searchsorted(hashes, s[place], "right")
-            n = hi - lo
-            if not n.sum():
-                continue
-            pick = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            tests.append(test[pick])
-            starts.append(np.repeat(place, n) - at[pick])
-        if not tests:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(tests), np.concatenate(starts)]), axis=1)
+            for own in self._portions(hi - lo):
+                pick, of = _ranges(lo[own], (hi - lo)[own])
+                pairs = np.unique(np.stack([test[pick], place[own][of] - at[pick]]), axis=1)
+                out.append(pairs[:, self._enough(h, pairs[0], pairs[1])])
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
         return pairs[0], pairs[1]
 
+    def _portions(self, n: np.ndarray) -> list[np.ndarray]:
+        """Indexes of n > 0, cut where the sum of n passes multiples of AT_ONCE."""
+        some = np.flatnonzero(n)
+        return np.split(some, np.flatnonzero(np.diff(np.cumsum(n[some]) // self.AT_ONCE)) + 1) if len(some) else []
+
+    def _enough(self, h: np.ndarray, tests: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Whether a diagonal has as many equal words in all as the least stretch that counts."""
+        lo, hi = np.maximum(starts, 0), np.minimum(starts + self.size[tests], len(h))
+        same = np.zeros(len(tests), np.int64)
+        for own in self._portions(hi - lo):
+            at, of = _ranges(lo[own], (hi - lo)[own])
+            equal = h[at] == self.words[at + (self.first[tests] - starts)[own][of]]
+            same[own] = np.bincount(of[equal], minlength=len(own))
+        return same >= self.p.similarity * np.minimum(self.size[tests], self.p.least_words)
+
     def verify(self, h: np.ndarray, a: int, b: int, test: int, start: int) -> tuple[int, int, int] | None:
         """First word (from a), span and equal words of the best stretch of the words a..b of h on one diagonal."""
         t, p = self.tests[test], self.p
