@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlake.functions.normalize import cosine, ratio, text_similarity
+from emberlake.functions.normalize import ratio, text_similarity
 
 
 def temporal_graph_features(ticks: DataFrame) -> DataFrame:
@@ -47,11 +47,59 @@ def co_members(edges: DataFrame, a: str, via: str) -> DataFrame:
     return x.join(y, via).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Brute-force cosine neighbours of a stated set of query vectors against all rows."""
-    q = queries.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    x = vectors.crossJoin(F.broadcast(q)).where("vec_id <> q_id").withColumn("similarity", cosine(F.col("embedding"), F.col("q")))
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20_000) -> DataFrame:
+    """Brute-force cosine neighbours of a stated set of query vectors against all rows: a broadcast and a pass over the
+    vectors for each ``block`` of queries, of which every batch of vectors gives its best k. The similarity of zero
+    vectors, of nulls and of vectors of different lengths is null."""
+    from functools import reduce
+
+    import numpy as np
+    import pyarrow as pa
+
+    sc = vectors.sparkSession.sparkContext
+    vectors, queries = vectors.where("vec_id is not null"), queries.where("vec_id is not null")
+
+    def by_length(ids, embeddings):
+        """length to (ids, unit vectors); vectors without a direction have length 0 and no columns."""
+        held: dict[int, tuple[list, list]] = {}
+        for i, e in zip(ids, embeddings, strict=True):
+            x = np.zeros(0) if e is None or any(v is None for v in e) else np.array(e, float)
+            norm = np.sqrt(x @ x)
+            x = x / norm if norm else x[:0]
+            own = held.setdefault(len(x), ([], []))
+            own[0].append(i)
+            own[1].append(x)
+        return {n: (np.array(i, np.int64), np.array(x)) for n, (i, x) in held.items()}
+
+    def one(shared):
+        def search(batches):
+            for batch in batches:
+                rows = by_length(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                ids = np.concatenate([i for i, _ in rows.values()]) if rows else np.zeros(0, np.int64)
+                for n, (q_ids, q) in shared.value.items():
+                    for lo in range(0, len(q_ids), 256):
+                        s = np.concatenate([q[lo : lo + 256] @ x.T if n and n == m else np.full((len(q_ids[lo : lo + 256]), len(i)), -np.inf) for m, (i, x) in rows.items()], axis=1)
+                        out = []
+                        for q_id, own in zip(q_ids[lo : lo + 256].tolist(), s, strict=True):
+                            at = np.flatnonzero(ids != q_id)
+                            near = np.round(own[at], 9)
+                            if len(at) > k:
+                                most = np.flatnonzero(near >= np.partition(near, len(at) - k)[len(at) - k])
+                                at, near = at[most], near[most]
+                            at = at[np.lexsort((ids[at], -near))[:k]]
+                            out.append((np.full(len(at), q_id), ids[at], own[at]))
+                        q_id, vec_id, similarity = (np.concatenate(c) for c in zip(*out, strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(q_id, pa.int64()), pa.array(vec_id, pa.int64()), pa.array(similarity, pa.float64(), mask=np.isinf(similarity))], ["q_id", "vec_id", "similarity"])
+
+        return vectors.select("vec_id", "embedding").mapInArrow(search, "q_id long, vec_id long, similarity double")
+
+    blocks = 1 + queries.count() // block
+    found = []
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "embedding").collect()
+        found.append(one(sc.broadcast(by_length([r[0] for r in rows], [r[1] for r in rows]))))
     w = Window.partitionBy("q_id").orderBy(F.desc(F.round("similarity", 9)), "vec_id")
+    x = reduce(DataFrame.unionByName, found)
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "rank", "vec_id", "similarity")
 
 

@@ -207,6 +207,14 @@ def q50_cosine_neighbours(spark, sf):
     return features.nearest_vectors(e, e.where("vec_id % 50 = 0"), 5).select("q_id", "rank", "vec_id", *r6(similarity="similarity"))
 
 
+@query("""WITH q AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+x AS (SELECT q_id, vec_id, list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))) AS s FROM embeddings, q WHERE vec_id <> q_id)
+SELECT q_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM x) WHERE rank <= 5""")
+def q50b_cosine_neighbours(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return features.nearest_vectors(e, e.where("vec_id % 20 = 0"), 5).select("q_id", "rank", "vec_id", *r6(similarity="similarity"))
+
+
 @query("""WITH n AS (SELECT p_partkey AS name_id, p_name AS name FROM part), a AS (SELECT p_partkey AS alias_id, p_name || 's' AS alias FROM part WHERE p_partkey % 3 = 0),
 x AS (SELECT name_id, alias_id, 1 - levenshtein(name, alias) / greatest(length(name), length(alias))::DOUBLE AS s FROM n JOIN a ON lower(name)[1:2] = lower(alias)[1:2] WHERE 0.9 * greatest(length(name), length(alias)) <= least(length(name), length(alias)))
 SELECT name_id, alias_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY name_id ORDER BY s DESC, alias_id) AS rn FROM x WHERE s >= 0.9) WHERE rn = 1""")
