@@ -47,6 +47,20 @@ def co_members(edges: DataFrame, a: str, via: str) -> DataFrame:
     return x.join(y, via).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def hops(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """Nodes reached from each start over 1 .. ``most`` edges (a, b), with the number of paths. starts: start."""
+    e = edges.select("a", "b").distinct()
+    now = starts.select("start", F.col("start").alias("a")).withColumn("paths", F.lit(1).cast("long"))
+    out = []
+    for hop in range(1, most + 1):
+        now = now.join(e, "a").groupBy("start", "b").agg(F.sum("paths").alias("paths")).withColumnRenamed("b", "a")
+        out.append(now.select("start", F.lit(hop).alias("hop"), F.col("a").alias("node"), "paths"))
+    x = out[0]
+    for y in out[1:]:
+        x = x.unionByName(y)
+    return x
+
+
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20_000) -> DataFrame:
     """Brute-force cosine neighbours of a stated set of query vectors against all rows: a broadcast and a pass over the
     vectors for each ``block`` of queries, of which every batch of vectors gives its best k. The similarity of zero

@@ -127,6 +127,22 @@ def q27_interval_gaps(spark, sf):
     return intervals.gaps(_ledger(spark, sf), 0, 20100, "book").select("book", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
 
 
+def _whole_ledger(spark, sf):
+    lo = (F.col("o_orderkey") * 7919) % 20000
+    return table(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("book"), lo.alias("lo"), (lo + F.col("o_custkey") % 40).alias("hi"))
+
+
+@query(f"{_MERGED.replace(' WHERE o_orderkey % 4 = 0', '')} SELECT * FROM c")
+def q26b_merge_intervals(spark, sf):
+    return intervals.merge(_whole_ledger(spark, sf), "book")
+
+
+@query(f"""{_MERGED.replace(' WHERE o_orderkey % 4 = 0', '')}, d AS (SELECT book, coalesce(lag(hi) OVER (PARTITION BY book ORDER BY lo), -1) + 1 AS lo, lo - 1 AS hi FROM c UNION ALL SELECT book, max(hi) + 1, 20100 FROM c GROUP BY book)
+SELECT book, greatest(lo, 0) AS lo, least(hi, 20100) AS hi FROM d WHERE greatest(lo, 0) <= least(hi, 20100)""")
+def q27b_interval_gaps(spark, sf):
+    return intervals.gaps(_whole_ledger(spark, sf), 0, 20100, "book").select("book", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+
+
 @query("""SELECT k AS l_orderkey FROM (SELECT unnest(range((SELECT min(l_orderkey) FROM lineitem), (SELECT max(l_orderkey) FROM lineitem) + 1)) AS k) WHERE k NOT IN (SELECT l_orderkey FROM lineitem)""")
 def q28_missing_ids(spark, sf):
     return intervals.missing_ids(table(spark, sf, "lineitem").select("l_orderkey").distinct(), "l_orderkey")
@@ -159,6 +175,15 @@ def q32_state_merge(spark, sf):
     return part(0, "a").join(part(1, "b"), "k", "full").select("k", (F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("n"), F.col("a").isNull().alias("fresh"))
 
 
+@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1)
+SELECT k, coalesce(a.n, 0) + coalesce(b.n, 0) AS n, a.n IS NULL AS fresh FROM a FULL JOIN b USING (k)""")
+def q32d_state_merge(spark, sf):
+    o = table(spark, sf, "orders")
+    part = lambda rows, n: o.where(rows).groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias(n))
+    a, b = part("o_orderkey % 3 = 0", "a"), part("o_orderkey % 3 <> 0", "b")
+    return a.join(b, "k", "full").select("k", (F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("n"), F.col("a").isNull().alias("fresh"))
+
+
 @query(f"""WITH {TICKS}, {MARKETS}, t AS (SELECT id, ts, price, wallet AS contract_id FROM ticks), x AS (SELECT market_id, token_index, price, ts, id FROM t JOIN markets USING (contract_id)),
 y AS (SELECT * FROM x UNION ALL SELECT market_id, 1 - token_index, 1 - price, ts, id FROM x) SELECT market_id, token_index, round(arg_max(price, id), 6) AS last_price FROM y GROUP BY ALL""")
 def q32b_sibling_mirror(spark, sf):
@@ -199,6 +224,24 @@ def q49_co_membership(spark, sf):
     return features.co_members(l.select("l_suppkey", "p_type"), "l_suppkey", "p_type")
 
 
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS s, p_type AS t FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT x.s AS a, y.s AS b, count(*) AS shared FROM e x JOIN e y ON x.t = y.t AND x.s < y.s GROUP BY ALL""")
+def q49b_co_membership(spark, sf):
+    l = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey", "p_type"), F.col("p_partkey") == F.col("l_partkey"))
+    return features.co_members(l.select("l_suppkey", "p_type"), "l_suppkey", "p_type")
+
+
+@query(f"""WITH {TRADES}, w AS (SELECT DISTINCT wallet, contract_id FROM trades), h AS (SELECT wallet, p_brand AS brand, count(*) AS paths FROM w JOIN part ON p_partkey = contract_id GROUP BY ALL),
+g AS (SELECT wallet, 'm' || substr(brand, 7, 1) AS maker, sum(paths) AS paths FROM h GROUP BY ALL)
+SELECT 'w' || wallet AS start, 2 AS hop, brand AS node, paths FROM h UNION ALL SELECT 'w' || wallet, 3, maker, CAST(paths AS BIGINT) FROM g""")
+def q49c_hops(spark, sf):
+    """Wallet to contract to brand (2 hops) to maker (3 hops)."""
+    t = trades(spark, sf).select(F.concat(F.lit("w"), "wallet").alias("a"), F.concat(F.lit("c"), "contract_id").alias("b"))
+    p = table(spark, sf, "part")
+    brands = p.select(F.concat(F.lit("c"), "p_partkey").alias("a"), F.col("p_brand").alias("b"))
+    makers = p.select(F.col("p_brand").alias("a"), F.concat(F.lit("m"), F.substring("p_brand", 7, 1)).alias("b"))
+    return features.hops(t.unionByName(brands).unionByName(makers), t.select(F.col("a").alias("start")).distinct(), 3).where("hop > 1")
+
+
 @query("""WITH q AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
 x AS (SELECT q_id, vec_id, list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))) AS s FROM embeddings, q WHERE vec_id <> q_id)
 SELECT q_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM x) WHERE rank <= 5""")
