@@ -118,15 +118,21 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, block: int =
 
 
 def best_alias(names: DataFrame, aliases: DataFrame, least: float = 0.9) -> DataFrame:
-    """The most similar alias of each name by edit distance. Only pairs whose lengths allow the similarity and that share
-    their first letters' block are compared."""
-    block = lambda c: F.substring(F.lower(c), 1, 2)
-    n = names.select("name_id", F.col("name"), block(F.col("name")).alias("block"))
-    a = aliases.select("alias_id", F.col("alias"), block(F.col("alias")).alias("block"))
-    reach = least * F.greatest(F.length("name"), F.length("alias")) <= F.least(F.length("name"), F.length("alias"))
-    x = n.join(a, "block").where(reach).withColumn("similarity", text_similarity(F.col("name"), F.col("alias"))).where(F.col("similarity") >= least)
-    w = Window.partitionBy("name_id").orderBy(F.desc("similarity"), "alias_id")
-    return x.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("name_id", "alias_id", "similarity")
+    """The most similar alias of each name by edit distance, none missed. A name with at most d edits to any alias long
+    enough is cut into d + 1 pieces, of which one is left whole and stands in the alias at most d places off: only pairs that
+    share such a piece are compared. Equal texts are compared once, an alias under its smallest id."""
+    edits = lambda n: f"cast(floor({1 - least!r} * floor({n} / {least!r} + 1e-6) + 1e-6) as int)"
+    start, stop = "cast(floor(i * n / (d + 1)) as int)", "cast(floor((i + 1) * n / (d + 1)) as int)"
+    n = names.where("name is not null").select("name").distinct().select("name", F.length("name").alias("n")).selectExpr("*", f"{edits('n')} as d")
+    n = n.selectExpr("*", "explode(sequence(0, d)) as i").selectExpr("name", "n", "i", f"substring(name, {start} + 1, {stop} - {start}) as piece")
+    a = aliases.where("alias is not null").groupBy("alias").agg(F.min("alias_id").alias("alias_id")).withColumn("m", F.length("alias"))
+    a = a.selectExpr("*", f"explode(sequence(cast(ceil({least!r} * m - 1e-6) as int), cast(floor(m / {least!r} + 1e-6) as int))) as n").selectExpr("*", f"{edits('n')} as d")
+    a = a.selectExpr("*", "explode(sequence(0, d)) as i").selectExpr("*", "explode(sequence(-d, d)) as shift", f"{start} as a", f"{stop} as b")
+    a = a.where("a + shift >= 0 and b + shift <= m").selectExpr("alias_id", "alias", "n", "i", "substring(alias, a + shift + 1, b - a) as piece").distinct()
+    x = n.join(a, ["n", "i", "piece"]).withColumn("similarity", text_similarity(F.col("name"), F.col("alias"))).where(F.col("similarity") >= least)
+    best = lambda x, key: x.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("similarity"), "alias_id"))).where("rn = 1").drop("rn")
+    found = best(x.select("name", "alias_id", "similarity"), "name")
+    return best(names.select("name_id", "name").join(found, "name"), "name_id").select("name_id", "alias_id", "similarity")
 
 
 def beta_from_interval(mean: Column, low: Column, high: Column) -> dict[str, Column]:

@@ -267,6 +267,15 @@ def q51_best_alias(spark, sf):
     return g.select("name_id", "alias_id", *r6(similarity="similarity"))
 
 
+@query("""WITH n AS (SELECT p_partkey AS name_id, p_name AS name FROM part), a AS (SELECT p_partkey AS alias_id, p_name || 's' AS alias FROM part),
+x AS (SELECT name_id, alias_id, 1 - levenshtein(name, alias) / greatest(length(name), length(alias))::DOUBLE AS s FROM n JOIN a ON 0.9 * greatest(length(name), length(alias)) <= least(length(name), length(alias)))
+SELECT name_id, alias_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY name_id ORDER BY s DESC, alias_id) AS rn FROM x WHERE s >= 0.9) WHERE rn = 1""")
+def q51b_best_alias(spark, sf):
+    p = table(spark, sf, "part")
+    g = features.best_alias(p.select(F.col("p_partkey").alias("name_id"), F.col("p_name").alias("name")), p.select(F.col("p_partkey").alias("alias_id"), F.concat("p_name", F.lit("s")).alias("alias")))
+    return g.select("name_id", "alias_id", *r6(similarity="similarity"))
+
+
 @query("""SELECT event_id, regexp_replace(lower(trim(' 0xA' || event_id || ' ')), '0x', '', 'g') AS contract, CASE WHEN event_id % 3 = 0 THEN '0x' || lpad(CAST(event_id AS VARCHAR), 40, 'a') WHEN event_id % 3 = 1 THEN '0x' || lpad(CAST(event_id AS VARCHAR), 40, 'b') END AS wallet,
  CASE WHEN event_id % 2 = 0 THEN epoch_us(make_timestamp(event_id * 1000000)) // 1000000 ELSE CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) END AS s, event_id % 4 IN (0, 1) AS flag FROM events""")
 def q61_identifiers(spark, sf):

@@ -47,3 +47,34 @@ def test_hops_count_paths(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (4, 5), (4, 1)], "a int, b int")
     got = sorted(map(tuple, features.hops(edges, spark.createDataFrame([(1,)], "start int"), 3).collect()))
     assert got == [(1, 1, 2, 1), (1, 1, 3, 1), (1, 2, 4, 2), (1, 3, 1, 2), (1, 3, 5, 2)]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_alias_with_edits_anywhere(spark):
+    rng = np.random.default_rng(6)
+    say = lambda n: "".join(rng.choice(list("abcd "), n))
+    names = ["almond antique burnished rose", *(say(int(n)) for n in rng.integers(1, 45, 60))]
+    aliases = ["xlmond antique burnished rose", "", None]
+    for t in names[1:] * 3:
+        c = list(t)
+        for _ in range(int(rng.integers(0, 2 + len(t) // 9))):
+            at = int(rng.integers(0, len(c) + 1))
+            c[at : at + int(rng.integers(0, 2))] = rng.choice(["", "x", "y"])
+        aliases.append("".join(c))
+    n = spark.createDataFrame([*enumerate(names), (999, None), (1000, "")], "name_id long, name string")
+    a = spark.createDataFrame(list(enumerate(aliases)), "alias_id long, alias string")
+    want = {}
+    for i, x in enumerate(names):
+        best = max(((1 - distance(x, y) / max(len(x), len(y)), -j) for j, y in enumerate(aliases) if y is not None), default=(0, 0))
+        if best[0] >= 0.9:
+            want[i] = (-best[1], round(best[0], 9))
+    assert want[0][0] == 0
+    assert {r["name_id"]: (r["alias_id"], round(r["similarity"], 9)) for r in features.best_alias(n, a).collect()} == want
