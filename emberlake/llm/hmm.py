@@ -8,8 +8,8 @@ the class's own counts C and types V, unknown words being one more type of their
 probability, log10 P(text) = log10 forward likelihood of the class sequence + sum of log10 P(word | class).
 
 Training: expected counts of segments of ``segment`` tokens are computed in every scan task, summed by Spark, and
-normalised on the driver (states x classes numbers, independent of the corpus). The first rounds use ``first_docs`` texts
-to find a start; the last ``full_rounds`` use all training texts.
+normalised on the driver (states x classes numbers, independent of the corpus). Every round uses all training texts. After
+``first_rounds`` + ``full_rounds`` rounds they go on until the likelihood of a token gains less than ``least_gain`` (log10).
 
 Word counts of unbounded vocabularies are never broadcast: each block of ``block_rows`` texts asks for its distinct
 words, the counts are joined by word and come back to the block. Blocks follow the order of the scan, so ``docs`` must be a
@@ -39,9 +39,9 @@ class HmmParams:
     tail_classes: int = 2048
     tail_bytes: int = 3
     segment: int = 256
-    first_docs: int = 2000
     first_rounds: int = 8
     full_rounds: int = 2
+    least_gain: float = 1e-3
     block_rows: int = 2048
     smoothing: float = 0.1
 
@@ -91,8 +91,8 @@ def random_start(frequency: np.ndarray, p: HmmParams) -> Model:
     return Model(flat, flat.copy(), move, emit / emit.sum(0))
 
 
-def expected_counts(cls: np.ndarray, ptr: np.ndarray, model: Model, p: HmmParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward over segments: counts of starts, later-segment starts, moves and emissions."""
+def expected_counts(cls: np.ndarray, ptr: np.ndarray, model: Model, p: HmmParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over segments: counts of starts, later-segment starts, moves and emissions; log10 likelihood and tokens."""
     s = p.states
     begin = np.concatenate([np.arange(a, b, p.segment) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]) if len(ptr) > 1 else np.zeros(0, np.int64)
     row_first = np.isin(begin, ptr[:-1])
@@ -130,7 +130,8 @@ def expected_counts(cls: np.ndarray, ptr: np.ndarray, model: Model, p: HmmParams
         gamma, of = np.concatenate(gathered), np.concatenate(classes)
         for i in range(s):
             emit[:, i] = np.bincount(of, gamma[:, i], p.classes)
-    return start, again, move * model.move, emit
+    fit = np.array([sum(np.log10(x).sum() for x in scale), float(size.sum())])
+    return start, again, move * model.move, emit, fit
 
 
 def forward(cls: np.ndarray, ptr: np.ndarray, model: Model) -> np.ndarray:
@@ -152,13 +153,13 @@ def forward(cls: np.ndarray, ptr: np.ndarray, model: Model) -> np.ndarray:
     return out
 
 
-def _round(docs: DataFrame, top, model: Model, p: HmmParams) -> Model:
-    """One Baum-Welch step over all rows of docs (text)."""
+def _round(docs: DataFrame, top, model: Model, p: HmmParams) -> tuple[Model, float]:
+    """One Baum-Welch step over all rows of docs (text), and the log10 likelihood of a token before it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     s = p.states
 
     def count(batches):
-        total = [np.zeros(s), np.zeros(s), np.zeros((s, s)), np.zeros((p.classes, s))]
+        total = [np.zeros(s), np.zeros(s), np.zeros((s, s)), np.zeros((p.classes, s)), np.zeros(2)]
         for _, data, offsets in textscan.chunks(batches):
             cls, ptr, _, _ = class_sequence(data, offsets, top.value, p)
             for x, y in zip(total, expected_counts(cls, ptr, shared.value, p), strict=True):
@@ -168,12 +169,22 @@ def _round(docs: DataFrame, top, model: Model, p: HmmParams) -> Model:
         yield textscan.batch(at=at.astype(np.int32), v=flat[at])
 
     got = docs.select("text").mapInArrow(count, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
-    flat = np.zeros(2 * s + s * s + p.classes * s)
+    flat = np.zeros(2 * s + s * s + p.classes * s + 2)
     flat[got["at"].to_numpy(np.int64)] = got["v"].to_numpy()
+    flat, fit = flat[:-2], flat[-2:]
     start, again, move, emit = flat[:s] + 1e-3, flat[s : 2 * s] + 1e-3, flat[2 * s : 2 * s + s * s].reshape(s, s) + 1e-3, flat[2 * s + s * s :].reshape(-1, s)
     share = emit.sum(1, keepdims=True) + 0.5
     emit = emit + p.smoothing * p.classes * share / share.sum()
-    return Model(start / start.sum(), again / again.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    return Model(start / start.sum(), again / again.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), fit[0] / max(1.0, fit[1])
+
+
+def train(learn: DataFrame, top, model: Model, p: HmmParams) -> tuple[Model, list[float]]:
+    """The model after all rounds, and the log10 likelihood of a token before each."""
+    fits: list[float] = []
+    while len(fits) < max(2, p.first_rounds + p.full_rounds) or fits[-1] - fits[-2] >= p.least_gain:
+        model, fit = _round(learn, top, model, p)
+        fits.append(fit)
+    return model, fits
 
 
 def score_texts(docs: DataFrame, training: Column, p: HmmParams = HmmParams()) -> DataFrame:
@@ -229,19 +240,14 @@ def score_texts(docs: DataFrame, training: Column, p: HmmParams = HmmParams()) -
     alone[END] = True
     alone[1 + p.tail_classes :] = True
 
-    learn = docs.where("training").select("doc_id", "text")
+    learn = docs.where("training").select("text")
     frequency = np.maximum(mass, 1.0)
     for r in counts.orderBy(F.desc("c"), "word").limit(p.top_words).collect():
         frequency[1 + p.tail_classes + np.searchsorted(top.value, np.array([r["word"]], np.int64).view(_U)[0])] = r["c"]
     frequency[END] = max(1, n_ends)
     model = random_start(frequency / frequency.sum(), p)
     if n_ends:
-        some = learn.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.first_docs).distinct()
-        small = scratch.write(learn.join(F.broadcast(some), "doc_id").select("text"), "first")
-        for _ in range(p.first_rounds):
-            model = _round(small, top, model, p)
-        for _ in range(p.full_rounds):
-            model = _round(learn, top, model, p)
+        model, _ = train(learn, top, model, p)
     final = spark.sparkContext.broadcast((model, mass, alone))
     known = asked.select("block", "word").join(counts.select("word", "c"), "word")
     floor = np.log10(n_all + 0.5 * (n_types + 1)) if n_all else np.log10(0.5)
