@@ -24,18 +24,29 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.select(*(F.col(c if c == "text" else f"d_{c}").alias(c) for c in docs.columns))
 
 
+def with_row_ids(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with own_id as doc_id was, and a doc_id that no other row has. Tables of unique ids are not written anew."""
+    same = docs.withColumn("own_id", F.col("doc_id"))
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").take(1):
+        return same
+    return Scratch(spark).write(same.withColumn("doc_id", F.monotonically_increasing_id()), "rows")
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    kept = minhash.near_duplicates(docs, minhash.SketchParams(k=5)).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each near-duplicate group stays: the one with the smallest id, null last."""
+    rows = with_row_ids(spark, docs)
+    groups = minhash.near_duplicates(rows, minhash.SketchParams(k=5)).select("doc_id", "component_id")
+    order = F.struct(F.col("own_id").isNull(), "own_id", "doc_id")
+    first = rows.select("doc_id", "own_id").join(groups, "doc_id").groupBy("component_id").agg(F.min_by("doc_id", order).alias("doc_id"))
+    return rows.join(first, "doc_id", "left_semi").withColumn("doc_id", F.col("own_id")).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts byte strings of 200 and more that occur elsewhere; drops documents of which nothing is left."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    done = suffix_dedup.remove_repeats(docs, carry=others, as_text=True).withColumnRenamed("kept", "text")
+    others = [c for c in docs.columns if c not in ("text", "n_chars", "doc_id")]
+    done = suffix_dedup.remove_repeats(with_row_ids(spark, docs), carry=[*others, "own_id"], as_text=True).withColumnRenamed("kept", "text")
     left = done.where((F.size("spans") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long"))
-    return left.select(*docs.columns)
+    return left.withColumn("doc_id", F.col("own_id")).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
