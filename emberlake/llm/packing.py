@@ -4,7 +4,8 @@ Tokenising and packing happen in the scan task. Each task packs its own stream b
 at most ``open_bins`` sequences are open, filed by free space, with a bitset over the free sizes; an item goes to
 the fullest open sequence that holds it, and when a new one is needed and all are open, the fullest closes. Items
 come in blocks of a scanned chunk, longest first. What tasks leave part-filled is packed once more, whole sequences
-as items, in parts of ``second_part`` sequences, by the same rule.
+as items, in parts of ``second_part`` sequences, longest first and with as many open sequences as items: best-fit
+decreasing in which none closes, so only the first pass has the bound ``open_bins``.
 
 Null texts are empty: such a document is one piece that holds only the end id. Repeated doc_ids are packed row by row.
 Only documents longer than ``capacity`` are cut. An empty table gives no rows.
