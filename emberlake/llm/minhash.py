@@ -14,8 +14,13 @@ more registers), so that of a family of texts just under the threshold of each o
 drops a pair: what can be missed is a pair that meets in no band, with probability (1 - s**rows)**bands, 3e-6 at similarity
 s = 0.8, or is estimated over four standard errors too low.
 
-Null texts and texts without words have an empty set and link to nothing. Rows that repeat a
-doc_id are copies. Rows without doc_id stand for nothing else: they get their class, and are not kept.
+Classes of equal sets are told by the set's size and two independent 64-bit hashes of it; pairs are verified on words
+told apart by their bytes.
+
+Null texts and texts without words have an empty set and link to nothing; an empty table gives no rows. Rows are told
+apart by number where a doc_id is null or repeated, so equal rows are copies of each other, and rows that share a doc_id but not the text are
+judged by their own texts. Rows without doc_id link like others but name no component and are not kept. Other columns,
+whatever their names, are not read. A very long text is one set, at about 30 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -54,6 +59,7 @@ class SketchParams:
 
 
 LIMIT = (1 << 16) - 1
+SLICE = 1 << 15
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -64,17 +70,24 @@ def registers(sets: list[np.ndarray], p: SketchParams, first: int = 0, many: int
     """Sketches of non-empty sets, one row each: floor(1 - log_base(least exponential variate)), cut to 0..LIMIT.
     ``many`` registers from number ``first`` on (those of the bands, if not given)."""
     many = p.registers if many is None else many
+    out = np.empty((len(sets), many), np.uint16)
+    multipliers = _multipliers(first + many)[first:]
     sizes = np.array([len(s) for s in sets])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    flat = np.concatenate(sets)
-    least = np.empty((many, len(sets)), np.uint64)
-    for i, m in enumerate(_multipliers(first + many)[first:]):
-        v = flat * m
-        v ^= v >> np.uint64(32)
-        least[i] = np.minimum.reduceat(v * np.uint64(0xD6E8FEB86659FD93), starts)
-    unit = (least.astype(np.float64) + 1.0) / 2.0**64
-    x = -np.log1p(-np.minimum(unit, 1 - 2**-53)) / p.rate
-    return np.clip(np.floor(1 - np.log(x) / np.log(p.base)) + 0, 0, LIMIT).astype(np.uint16).T
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE, prepend=-1))  # slices of about SLICE hashes stay in the cache
+    for lo, hi in zip(cuts, [*cuts[1:], len(sets)], strict=True):
+        flat = np.concatenate(sets[lo:hi])
+        starts = np.cumsum(sizes[lo:hi]) - sizes[lo:hi]
+        least = np.empty((many, hi - lo), np.uint64)
+        for i, m in enumerate(multipliers):
+            v = flat * m
+            v ^= v >> np.uint64(32)
+            v *= np.uint64(0xD6E8FEB86659FD93)
+            least[i] = np.minimum.reduceat(v, starts)
+        x = (least + 1.0) / 2.0**64
+        np.minimum(x, 1 - 2**-53, out=x)
+        x = -np.log1p(-x) / p.rate
+        out[lo:hi] = np.clip(np.floor(1 - np.log(x) / np.log(p.base)), 0, LIMIT).T
+    return out
 
 
 def band_keys(sketch: np.ndarray, p: SketchParams) -> np.ndarray:
@@ -99,25 +112,24 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, bas
 
 
 def sketch_documents(docs: DataFrame, p: SketchParams) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (hash of the set), regs (binary), keys (band hashes; null if the set is empty)."""
+    """doc_id, n (set size), s1 and s2 (independent hashes of the set), regs (binary), keys (band hashes; null if the set is empty)."""
     runtime.prepare(docs.sparkSession)
 
     def run(batches):
         for batch, data, offsets in textscan.chunks(batches):
-            _, _, h, ptr = textscan.word_hashes(data, offsets)
-            sets = textscan.shingle_sets(h, ptr, p.k)
+            low = textscan.LOWER[data]
+            begin, end, ptr = textscan.words(low, offsets)
+            sets, other = (textscan.shingle_sets(textscan.range_hash(low, begin, end, lane), ptr, p.k) for lane in (0, 1))
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
             s1, s2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
             regs: list[bytes | None] = [None] * len(sets)
             keys: list[np.ndarray | None] = [None] * len(sets)
+            for s, of in ((s1, sets), (s2, other)):
+                for i in full.tolist():
+                    s[i] = textscan.mix(of[i]).sum()
             if len(full):
-                own = [sets[i] for i in full]
-                starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-                flat = np.concatenate(own)
-                s1[full] = np.add.reduceat(textscan.mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
-                s2[full] = np.bitwise_xor.reduceat(textscan.mix(flat * np.uint64(0xC2B2AE3D27D4EB4F)), starts)
-                sketch = registers(own, p)
+                sketch = registers([sets[i] for i in full], p)
                 for i, r, k in zip(full.tolist(), sketch, band_keys(sketch, p).view(np.int64), strict=True):
                     regs[i], keys[i] = r.tobytes(), k
             yield textscan.batch(doc_id=batch.column(0), n=n, s1=textscan.int64(s1), s2=textscan.int64(s2), regs=pa.array(regs, pa.binary()), keys=pa.array(keys, pa.list_(pa.int64())))
@@ -142,6 +154,26 @@ def _fine_texts(texts: DataFrame, p: SketchParams) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, fine binary")
 
 
+def exact_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row the numbers of its distinct k-word shingles; equal numbers, equal words by their bytes."""
+    low = textscan.LOWER[data]
+    starts, ends, ptr = textscan.words(low, offsets)
+    _, word = textscan.factorize(low, starts, ends)
+    many = int(word.max()) + 1 if len(word) else 1
+    of, whole = word, {}
+    for turn in range(1, k + 1):  # of: number of each run of ``turn`` words
+        if turn > 1:
+            _, of = np.unique(of[:-1] * many + word[turn - 1 :], return_inverse=True)
+        whole[turn] = of
+    out = []
+    for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True):
+        if b - a >= k:
+            out.append(np.unique(whole[k][a : b - k + 1]))
+        else:  # a shorter text is one shingle of its own kind
+            out.append(np.array([-((int(whole[b - a][a]) + 1) * k + b - a)]) if b > a else np.zeros(0, np.int64))
+    return out
+
+
 def _near(n: str, m: str, p: SketchParams):
     return (100 * F.least(n, m) >= p.percent * F.greatest(n, m)) & (F.col(n) > 0)
 
@@ -165,26 +197,22 @@ def _verified(candidates: DataFrame, texts: DataFrame, p: SketchParams) -> DataF
     """Of the pairs (a, b) those whose full sets are similar enough."""
 
     def exact(batches):
-        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            size, lo = 64, 0
+            lo = 0
             while lo < batch.num_rows:
-                part = batch.slice(lo, size)
-                lo += size
+                part = batch.slice(lo, 64)
+                lo += 64
                 ids = [part.column(i).to_pylist() for i in (0, 1)]
-                sets = []
-                for i in (0, 1):
-                    fresh = {x: j for j, x in enumerate(ids[i]) if x not in known}
-                    if fresh:
-                        data, offsets = textscan.text_bytes(part.column(2 + i).take(pa.array(list(fresh.values()))))
-                        _, _, h, ptr = textscan.word_hashes(data, offsets)
-                        known |= dict(zip(fresh, textscan.shingle_sets(h, ptr, p.k), strict=True))
-                    sets.append([known[x] for x in ids[i]])
+                at: dict[int, tuple[int, int]] = {}  # row and side of each document's text
+                for side in (0, 1):
+                    for j, x in enumerate(ids[side]):
+                        at.setdefault(x, (j, side))
+                texts = pa.concat_arrays([part.column(2), part.column(3)]).take(pa.array([j + side * part.num_rows for j, side in at.values()]))
+                sets = dict(zip(at, exact_sets(*textscan.text_bytes(texts), p.k), strict=True))
                 keep = []
-                for s, t in zip(*sets, strict=True):
+                for s, t in zip(*([sets[x] for x in side] for side in ids), strict=True):
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     keep.append(100 * both >= p.percent * (len(s) + len(t) - both) and both > 0)
-                known = {x: known[x] for x in ids[1][-1:]}  # rows come ordered by b
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
@@ -304,14 +332,13 @@ def _across(candidates: DataFrame, comps: DataFrame, p: SketchParams, best: bool
     return banded.sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
-    spark = runtime.prepare(docs.sparkSession)
-    scratch = runtime.Scratch(spark)
-    docs = docs.select("doc_id", "text")
+def linked_rows(rows: DataFrame, scratch: runtime.Scratch, p: SketchParams = SketchParams()) -> DataFrame:
+    """rows: row (unique), text. One line per row: row, n_shingles, component (the smallest row reachable over links)."""
+    spark = runtime.prepare(rows.sparkSession)
+    docs = rows.select(F.col("row").alias("doc_id"), "text")
     sketched = scratch.write(sketch_documents(docs, p), "sketches")
     same = ["n", "s1", "s2"]
-    classes = sketched.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("regs").alias("regs"), F.first("keys").alias("keys"))
+    classes = sketched.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("regs").alias("regs"), F.first("keys").alias("keys"))
     classes = scratch.write(classes, "classes")
     star = scratch.write(_stars(classes, p), "star")
     met = star.select(F.col("a").alias("rep")).union(star.select("b")).groupBy("rep").agg(F.count("*").alias("times"))
@@ -319,11 +346,12 @@ def near_duplicates(docs: DataFrame, p: SketchParams = SketchParams()) -> DataFr
     ids = scratch.write(met, "met").where("times >= 1").select("rep")
     with runtime.bloom_filters(spark):
         texts = scratch.write(_fine_texts(docs.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), p), "texts")
-        fine = texts.select(F.col("doc_id").alias("rep"), "fine").dropDuplicates(["rep"])
+        fine = texts.select(F.col("doc_id").alias("rep"), "fine")
         candidates = scratch.write(classes.join(ids, "rep", "left_semi").join(fine, "rep").select("rep", "n", "regs", "keys", "fine"), "candidates")
     texts = texts.select("doc_id", "text")
 
     edges = scratch.write(_verified(_likely(star, candidates, p), texts, p), "edges-0")
+    scratch.drop("star", "met")
     comps = components(edges, scratch, "cc0")
     for turn, best in ((1, True), (2, False)):
         pairs = _across(candidates, comps, p, best)
@@ -331,11 +359,24 @@ def near_duplicates(docs: DataFrame, p: SketchParams = SketchParams()) -> DataFr
         if more.take(1):
             edges = edges.union(more)
             comps = components(edges, scratch, f"cc{turn}")
-    scratch.drop("texts", "star")
-    final = classes.select(*same, "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("comp", "rep").alias("comp"))
-    return (
-        sketched.select("doc_id", *same)
-        .join(final, same, "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    )
+    scratch.drop("texts", "candidates")
+    final = classes.select(*same, "copies", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(*same, "copies", F.coalesce("comp", "rep").alias("comp"))
+    named = runtime.join_hot(sketched.select("doc_id", *same), final, same, "copies", sketched.count(), F.xxhash64("doc_id"))
+    out = scratch.write(named.select(F.col("doc_id").alias("row"), F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component")), "linked")
+    scratch.keep("linked", "rows")
+    return out
+
+
+def near_duplicates(docs: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
+    scratch = runtime.Scratch(runtime.prepare(docs.sparkSession))
+    rows, unique = runtime.row_keys(docs.select("doc_id", "text"), scratch)
+    linked = linked_rows(rows, scratch, p)
+    if unique:
+        linked = linked.withColumns({"doc_id": F.col("row"), "component_id": F.col("component")})
+    else:
+        linked = linked.join(rows.select("row", "doc_id"), "row")
+        names = linked.groupBy("component").agg(F.count("*").alias("rows"), F.min("doc_id").alias("component_id"))
+        linked = runtime.join_hot(linked, names, ["component"], "rows", linked.count(), F.xxhash64("row"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return linked.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

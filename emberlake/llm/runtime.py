@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 BATCH_ROWS = 2048
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+#: For Python workers: one thread each, and freed memory goes back to the system.
+WORKER_ENV = {
+    "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "RAYON_NUM_THREADS": "1", "TOKENIZERS_PARALLELISM": "false",
+    "ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_MMAP_THRESHOLD_": "4194304",
+}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -27,9 +32,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "RAYON_NUM_THREADS"):
-        env.setdefault(name, "1")
-    env.setdefault("TOKENIZERS_PARALLELISM", "false")
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -74,6 +78,14 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.base)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        self.drop(*(x for x in found if x not in names))
+
     def drop(self, *names: str) -> None:
         """Deletes tables, and lets Spark remove the shuffle files of plans that nothing refers to any more."""
         jvm = self.spark.sparkContext._jvm
@@ -85,6 +97,32 @@ class Scratch:
         jvm.System.gc()
 
 
+#: A key with more than this share of all rows is hot; so at most this many keys are.
+HOT_SHARE = 2000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, spread: Column, how: str = "left") -> DataFrame:
+    """left joined with ``right``, whose rows tell the number ``count`` of their key's rows in left, of ``total`` in all.
+
+    Rows of hot keys are dealt by the hash ``spread`` to as many tasks as their share asks for, and the right row is repeated
+    for these. At most HOT_SHARE hot keys are broadcast; the result has the columns of left, and those of right but ``count``."""
+    limit = max(1, total // HOT_SHARE)
+    parts = F.ceil(F.col(count) / F.lit(limit)).cast("int")
+    hot = right.where(F.col(count) > limit).select(*on, parts.alias("_parts")).distinct()
+    salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    copies = F.when(F.col(count) > limit, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    many = right.withColumn("_salt", F.explode(copies)).drop(count)
+    return salted.join(many, [*on, "_salt"], how).drop("_salt")
+
+
+def row_keys(docs: DataFrame, scratch: Scratch, key: str = "doc_id") -> tuple[DataFrame, bool]:
+    """docs with a ``row`` that no other row has: the key itself where it is unique and never null (True), else a number
+    given in a written copy (False)."""
+    if not docs.groupBy(key).agg(F.count("*").alias("n")).where(f"n > 1 or {key} is null").take(1):
+        return docs.withColumn("row", F.col(key)), True
+    return scratch.write(docs.withColumn("row", F.monotonically_increasing_id()), "rows"), False
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,46 +1,35 @@
 """Vectorised scans of Arrow text columns: bytes, words, hashes and shingles.
 
 All functions see UTF-8 bytes. A word is a run of bytes other than 0x20 and 0x09-0x0D, after A-Z are
-lower-cased. Hashes are polynomials modulo 2**64 with an odd base, so prefix sums give the hash of any
-byte range, followed by a mixing step.
+lower-cased. Hashes read eight bytes at a time and mix after each step, so that no pattern of bytes cancels out as
+it would in a polynomial modulo 2**64; bytes of up to seven get different hashes for certain, longer ones share one
+with a chance of 2**-64 a pair. Where equality alone decides a result, ``same_bytes`` compares the bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes of text handled at once; a longer text is handled by itself, at about ten bytes of memory a byte.
+CHUNK_BYTES = 1 << 19
+#: Beyond so many bytes a range is hashed by itself, with BLAKE2.
+LONG_RANGE = 96
 _U = np.uint64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64, or the powers of its inverse."""
-    have = _powers.get(kind)
-    if have is None or len(have) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        steps = np.full(size, base, dtype=_U)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if size <= 4 * CHUNK_BYTES:
-            _powers[kind] = have
-    return have
+_LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=_U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Finalising mixer of 64-bit values."""
+    """Finalising mixer of 64-bit values, one to one."""
     x = x ^ (x >> _U(30))
     x *= _U(0xBF58476D1CE4E5B9)
     x ^= x >> _U(27)
@@ -49,6 +38,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _absorb(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The state h after the value x; one to one in either."""
+    h = h * _U(0x9E3779B97F4A7C15)
+    h ^= h >> _U(32)
+    h += x
+    h *= _U(0xD6E8FEB86659FD93)
+    h ^= h >> _U(29)
+    return h
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and the offsets of its rows. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -65,36 +64,88 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with about CHUNK_BYTES of text, with bytes and row offsets of the text."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with about ``most`` bytes of text, with bytes and row offsets of the text."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
         lo = 0
         while lo < batch.num_rows:
-            hi = int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, "right")) - 1
+            hi = int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1
             hi = min(max(hi, lo + 1), batch.num_rows)
             yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             lo = hi
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] the weighted sum of the bytes i to j-1."""
-    out = np.zeros(len(data) + 1, dtype=_U)
-    terms = data.astype(_U)
-    terms += _U(1)
-    terms *= _power("up", len(data))[: len(data)]
-    np.cumsum(terms, out=out[1:])
-    return out
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros beyond the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges; equal bytes have equal hashes wherever they stand. Lanes are independent."""
+    at, n = eights(data), ends - starts
+    h = at[starts] & _LOW_BYTES[np.minimum(n, 8)]
+    short = n < 8  # their length goes into the free byte; the others start from another state
+    h |= np.where(short, n, 0).astype(_U) << _U(56)
+    h = _absorb(np.where(short, _U(0xA0761D6478BD642F + 2 * lane), _U(0xE7037ED1A0B428DB + 2 * lane) + n.astype(_U)), h)
+    left, done = np.flatnonzero(n > 8), 8
+    while len(left) and done < LONG_RANGE:
+        rest = n[left] - done
+        h[left] = _absorb(h[left], at[starts[left] + done] & _LOW_BYTES[np.minimum(rest, 8)])
+        left, done = left[rest > 8], done + 8
+    for i in left.tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=bytes([lane])).digest()
+        h[i] = int.from_bytes(digest, "little")
+    return mix(h)
 
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Mixed 64-bit hashes of byte ranges; equal bytes have equal hashes wherever they stand."""
-    h = prefix[end] - prefix[start]
-    h *= _power("down", len(prefix))[start]
-    h ^= (end - start).astype(_U) << _U(56)
-    return mix(h)
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each range holds the bytes of the other range beside it."""
+    at, n = eights(data), ends - starts
+    same = n == other_ends - others
+    left, done = np.flatnonzero(same), 0
+    while len(left):
+        keep = _LOW_BYTES[np.minimum(n[left] - done, 8)]
+        alike = ((at[starts[left] + done] ^ at[others[left] + done]) & keep) == 0
+        same[left[~alike]] = False
+        done += 8
+        left = left[alike & (n[left] > done)]
+    return same
+
+
+def factorize(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each distinct range, by its bytes: places of the first of each, and the number of each range."""
+    h = range_hash(data, starts, ends)
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    if same_bytes(data, starts, ends, starts[first[number]], ends[first[number]]).all():
+        return first, number
+    raw, seen, first, number = data.tobytes(), {}, [], np.empty(len(starts), np.int64)  # equal hashes of different bytes
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        number[i] = seen.setdefault(raw[a:b], len(seen))
+        if number[i] == len(first):
+            first.append(i)
+    return np.array(first, np.int64), number
+
+
+def window_hash(data: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width`` bytes from each place on (a multiple of 8, at least 16)."""
+    out, have, known = np.ascontiguousarray(eights(data)[:-1]), 8, {}
+    while True:
+        known[have] = out
+        if have * 2 > width:
+            break
+        out = _absorb(out[:-have], out[have:])
+        have *= 2
+    for part in sorted(known, reverse=True):
+        while have + part <= width:
+            n = len(data) - have - part + 1
+            out = _absorb(out[: max(n, 0)], known[part][have : have + max(n, 0)])
+            have += part
+    return mix(out[: max(len(data) - width + 1, 0)])
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,8 +155,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     w = IS_WORD[data]
     first, last = w.copy(), w.copy()
-    first[1:] &= ~w[:-1]
-    last[:-1] &= ~w[1:]
+    np.greater(w[1:], w[:-1], out=first[1:])
+    np.greater(w[:-1], w[1:], out=last[:-1])
     inner = offsets[:-1][offsets[:-1] < n]
     first[inner] = w[inner]
     before = inner[inner > 0] - 1
@@ -114,11 +165,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lane: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, hashes (of lower-cased bytes) and row pointers of all words."""
     low = LOWER[data]
     starts, ends, ptr = words(low, offsets)
-    return starts, ends, range_hash(prefix_hash(low), starts, ends), ptr
+    return starts, ends, range_hash(low, starts, ends, lane), ptr
 
 
 _STEP = _U(0xD6E8FEB86659FD93)
