@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +63,21 @@ def cosine(a: Column, b: Column) -> Column:
 
 def text_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.nullif(F.greatest(F.length(a), F.length(b)).cast("double"), F.lit(0.0))
+
+
+def erf(x):
+    """The error function to about 1e-14, by 2/sqrt(pi) e^(-x^2) sum of 2^n x^(2n+1) / (2n+1)!!, whose terms have one sign; 1 beyond 6."""
+    near = F.greatest(F.lit(-6.0), F.least(F.lit(6.0), x))
+    square = near * near
+    start = F.struct(near.alias("term"), near.alias("total"))
+
+    def step(acc, n):
+        term = acc["term"] * 2 * square / (2 * n + 1)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(140)), start, step, lambda acc: acc["total"])
+    return 2 / math.sqrt(math.pi) * F.exp(-square) * series
+
+
+def normal_cdf(z):
+    return 0.5 * (1 + erf(z / math.sqrt(2)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from emberlake.functions.normalize import clamp
+from emberlake.operators.windows import running_total
 
 #: Half lives of the kernels and the reach beyond which a weight is dropped.
 PRICE_HALF, TIME_HALF, PRICE_REACH = 25.0, 91.0, 100
@@ -36,23 +37,29 @@ def scan(trades: DataFrame, history: DataFrame) -> DataFrame:
     """Kernel sums of each trade over its wallet's history of the same and the opposite side.
 
     trades: id, wallet, yes, price_int, log_ttr, day. history: wallet, yes, price_int, log_ttr, win, day (of resolution).
-    Only entries of earlier days count. Own side at p counts wins, the opposite side at 1 - p counts losses. Prices are
-    bucketed by the reach, so each trade meets three buckets of its wallet's history and no others.
+    Only entries of earlier days count. Own side at p counts wins, the opposite side at 1 - p counts losses. Prices and times are
+    bucketed by their reach, so each trade meets nine buckets of its wallet's history and no others.
     """
-    h = history.select("wallet", F.col("yes").alias("h_yes"), F.col("price_int").alias("h_price"), F.col("log_ttr").alias("h_log"), "win", F.col("day").alias("h_day"), F.floor(F.col("price_int") / PRICE_REACH).alias("slot"))
+    h = history.select("wallet", F.col("yes").alias("h_yes"), F.col("price_int").alias("h_price"), F.col("log_ttr").alias("h_log"), "win", F.col("day").alias("h_day"), F.floor(F.col("price_int") / PRICE_REACH).alias("slot"), F.floor(F.col("log_ttr") / TIME_REACH).alias("age"))
     sides = F.array(F.struct(F.col("yes").alias("h_yes"), F.col("price_int").alias("p"), F.lit(True).alias("own")), F.struct((~F.col("yes")).alias("h_yes"), (1000 - F.col("price_int")).alias("p"), F.lit(False).alias("own")))
     t = trades.withColumn("s", F.explode(sides)).select("id", "wallet", "log_ttr", "day", "s.*")
-    t = t.withColumn("slot", F.explode(F.array(*(F.floor(F.col("p") / PRICE_REACH) + d for d in (-1, 0, 1)))))
+    near = [F.struct((F.floor(F.col("p") / PRICE_REACH) + d).alias("slot"), (F.floor(F.col("log_ttr") / TIME_REACH) + e).alias("age")) for d in (-1, 0, 1) for e in (-1, 0, 1)]
+    t = t.withColumn("at", F.explode(F.array(*near))).select("*", "at.*").drop("at")
     dp, dl = F.abs(F.col("h_price") - F.col("p")), F.abs(F.col("h_log") - F.col("log_ttr"))
-    j = t.join(h, ["wallet", "h_yes", "slot"]).where((F.col("h_day") < F.col("day")) & (dp <= PRICE_REACH) & (dl <= TIME_REACH))
+    j = t.join(h, ["wallet", "h_yes", "slot", "age"]).where((F.col("h_day") < F.col("day")) & (dp <= PRICE_REACH) & (dl <= TIME_REACH))
     w = F.pow(F.lit(0.5), dp / PRICE_HALF) * F.pow(F.lit(0.5), dl / TIME_HALF)
     hit = F.col("win") == F.col("own")
     return j.groupBy("id").agg(F.sum(w).alias("n"), F.sum(F.when(hit, w).otherwise(0.0)).alias("w"), F.count("*").alias("entries"))
 
 
-def trust(brier_sum: Column, n: Column) -> Column:
-    """From the mean Brier score and its uncertainty; wallets without history get the cold start."""
-    return F.when(n > 0, 1 / (F.least(F.lit(1.0), brier_sum / n + 0.5 / F.sqrt(n)) + 0.01)).otherwise(1.33)
+def trust(brier_sum: Column, n: Column, stake: Column | None = None, price: Column | None = None, ttr_hours: Column | None = None, logit: list[float] | None = None) -> Column:
+    """From the mean Brier score and its uncertainty. Wallets without history get the cold start: 1.33, or, with the four parameters of the
+    first-bet model, up to 5 by how far the model is from the price."""
+    cold = F.lit(1.33)
+    if logit is not None and len(logit) == 4:
+        odds = logit[0] + logit[1] * F.log1p(stake) + logit[2] * price + logit[3] * F.log1p(ttr_hours)
+        cold = F.least(F.lit(5.0), 1 + 20 * F.abs(1 / (1 + F.exp(-odds)) - price))
+    return F.when(n > 0, 1 / (F.least(F.lit(1.0), brier_sum / n + 0.5 / F.sqrt(n)) + 0.01)).otherwise(cold)
 
 
 def posterior(p: Column, n: Column, w: Column, t: Column, variance: Column | None = None) -> dict[str, Column]:
@@ -74,19 +81,53 @@ def resolve(positions: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
-def wager(trades: DataFrame) -> DataFrame:
-    """Fraction staked and implied probability of each trade; trades: id, ts, wallet, invest, price, yes.
-
-    The shrinkage uses the running mean of all wallets' peaks, so the exact result depends on the total order of trades; this
-    form freezes that mean at the end of the day before (exposure is kept within the day), which keeps wallets independent.
-    """
-    day = F.floor(F.col("ts") / 86400)
-    own = Window.partitionBy("wallet", "day").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    ever = Window.partitionBy("wallet").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    x = trades.withColumn("day", day).withColumn("exposure", F.sum("invest").over(own)).withColumns({"peak": F.max("exposure").over(ever), "n": F.row_number().over(Window.partitionBy("wallet").orderBy("ts", "id"))})
-    peaks = x.groupBy("wallet", "day").agg(F.max("peak").alias("peak")).groupBy("day").agg(F.avg("peak").alias("avg_peak")).withColumn("day", F.col("day") + 1)
-    x = x.join(peaks, "day", "left")
-    shrunk = (F.col("n") * F.col("peak") + 5 * F.coalesce("avg_peak", F.col("peak"))) / (F.col("n") + 5)
+def wager(trades: DataFrame, releases: DataFrame | None = None) -> DataFrame:
+    """Fraction staked and implied probability of each trade; trades: id, ts, wallet, invest, price, yes; releases: ts, wallet, invest of
+    positions that are settled (before the trades of the same second).
+
+    A wallet's exposure is what it has put in and not got back; its peak is shrunk towards the mean peak of all wallets seen so far (the trade's own
+    wallet counted, its peak left out), which depends on the total order of trades: increments of peaks and first trades are summed in that order by slices."""
+    t = trades.select("id", "ts", "wallet", "invest", "price", "yes", F.lit(1).alias("kind"))
+    if releases is not None:
+        t = t.unionByName(releases.select("ts", "wallet", (-F.col("invest")).alias("invest"), F.lit(0).alias("kind")), allowMissingColumns=True)
+    own = Window.partitionBy("wallet").orderBy("ts", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
+    x = t.withColumn("sum", F.sum("invest").over(own))
+    # never below zero: as much as the sum has been below it so far is added back
+    x = x.withColumn("exposure", F.col("sum") - F.least(F.lit(0.0), F.min("sum").over(own))).where("kind = 1")
+    x = x.withColumns({"peak": F.max("exposure").over(own), "n": F.row_number().over(Window.partitionBy("wallet").orderBy("ts", "kind", "id"))})
+    old = F.coalesce(F.lag("peak").over(Window.partitionBy("wallet").orderBy("ts", "kind", "id")), F.lit(0.0))
+    x = x.withColumn("old", old).withColumns({"rise": F.col("peak") - F.col("old"), "first": (F.col("n") == 1).cast("int")})
+    x = running_total(x, ["ts", "id"], {"all_peaks": "rise", "wallets": "first"})
+    mean = (F.col("all_peaks") - F.col("rise") - F.col("old")) / F.col("wallets")
+    shrunk = (F.col("n") * F.col("peak") + 5 * mean) / (F.col("n") + 5)
     f = F.least(F.lit(1.0), F.col("invest") / F.greatest("invest", "peak", shrunk))
+    f = F.when(F.greatest("invest", "peak", shrunk) > 0, f).otherwise(0.0)
     p = F.col("price")
     return x.withColumn("fraction", f).withColumn("p_true", clamp(F.when(F.col("yes"), p + f * (1 - p)).otherwise(p - f * p), 0.001, 0.999)).select("id", "wallet", "fraction", "p_true")
+
+
+def valid_variance_fit(a: Column, b: Column, c: Column) -> Column:
+    """Whether a parabola a p^2 + b p + c can be a variance by price: not convex, tails over -0.02, middle in (0.001, 0.35]."""
+    middle = a / 4 + b / 2 + c
+    return F.coalesce((a <= 0) & (c >= -0.02) & (a + b + c >= -0.02) & (middle > 0.001) & (middle <= 0.35), F.lit(False))
+
+
+def daily_delta(positions: DataFrame, markets: DataFrame, trades: DataFrame, now: int, since: int, idle_days: int = 10) -> DataFrame:
+    """What a daily run does with each tracked contract and new trade: action, contract_id, rows.
+
+    'resolve': its market has an outcome; 'purge': it has none and ended ``idle_days`` before ``now``, or is in no market; 'carry': the rest of the
+    positions. 'ingest': trades after ``since`` within their market's life, priced in [0, 1]; times in seconds."""
+    m = markets.select("contract_id", "outcome", "start", "end", F.lit(True).alias("known"))
+    held = positions.groupBy("contract_id").agg(F.count("*").alias("rows")).join(m, "contract_id", "left")
+    old = F.col("known").isNull() | F.coalesce(F.col("end") < now - 86400 * idle_days, F.lit(False))
+    action = F.when(F.col("outcome").isNotNull() & ~F.isnan(F.col("outcome").cast("double")), "resolve").when(old, "purge").otherwise("carry")
+    fresh = trades.where((F.col("ts") > since) & F.col("price").between(0, 1)).join(m, "contract_id").where(F.coalesce(F.col("ts") >= F.col("start"), F.lit(True)) & F.coalesce(F.col("ts") <= F.col("end"), F.lit(True)))
+    new = fresh.groupBy("contract_id").agg(F.count("*").alias("rows")).withColumn("action", F.lit("ingest"))
+    return held.select(action.alias("action"), "contract_id", "rows").unionByName(new.select("action", "contract_id", "rows"))
+
+
+def orphans(positions: DataFrame, markets: DataFrame, now: int, idle_days: int = 10) -> DataFrame:
+    """Contracts whose market ended ``idle_days`` before ``now``, or has no end and saw nothing (last_ts) since then."""
+    cut = now - 86400 * idle_days
+    gone = F.coalesce(F.col("end") < cut, F.lit(False)) | (F.col("end").isNull() & F.coalesce(F.col("last_ts") < cut, F.lit(False)))
+    return positions.select("contract_id").distinct().join(markets.where(gone).select("contract_id"), "contract_id", "left_semi")

@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.functions.normalize import ratio
+from emberlake.operators.windows import decayed_sum
 
 
 def synth_quotes(ticks: DataFrame) -> DataFrame:
-    """Bid, ask and depth around the last price; the spread narrows with volume."""
-    spread = F.greatest(F.lit(0.005), 0.05 / (1 + F.log1p("usdc")))
-    return ticks.select("id", "contract", F.greatest(F.lit(0.01), F.col("price") - spread / 2).alias("bid"), F.least(F.lit(0.99), F.col("price") + spread / 2).alias("ask"), (F.col("usdc") * F.when(F.col("side") > 0, 1.5).otherwise(0.5)).alias("depth"))
+    """Bid, ask and depth about a trade (id, contract, price, usdc, size, side): the spread grows as the liquidity told by the volume
+    falls. A purchase stands at the bid with the ask a spread above, a sale at the ask with the bid a spread below, within [0, 1]."""
+    liquidity = F.greatest(F.lit(1000.0), F.col("usdc") * 50)
+    spread = F.least(F.lit(0.20), 0.01 + 20000.0 / (liquidity + 1000) * 0.0025)
+    sale = F.col("side") < 0
+    bid = F.greatest(F.lit(0.0), F.when(sale, F.col("price") - spread).otherwise(F.col("price")))
+    ask = F.least(F.lit(1.0), F.when(sale, F.col("price")).otherwise(F.col("price") + spread))
+    ask = F.when(bid > ask, F.least(F.lit(1.0), bid + 0.001)).otherwise(ask)
+    depth = F.greatest(F.lit(100.0), F.col("size") * 2)
+    return ticks.select("id", "contract", F.round(bid, 6).alias("bid"), F.round(ask, 6).alias("ask"), F.round(depth, 4).alias("depth"))
 
 
 def vwap_walk(levels: DataFrame, amount: float, *keys: str) -> DataFrame:
@@ -23,16 +31,39 @@ def vwap_walk(levels: DataFrame, amount: float, *keys: str) -> DataFrame:
     return g.withColumn("vwap", ratio(F.col("spent"), F.col("quantity")))
 
 
-def sweep_limit(levels: DataFrame, amount: float, slippage: float, *keys: str) -> DataFrame:
-    """As ``vwap_walk``, but no level dearer than the best one by more than ``slippage``."""
-    best = F.min("price").over(Window.partitionBy(*keys))
-    return vwap_walk(levels.withColumn("best", best).where(F.col("price") <= F.col("best") * (1 + slippage)).drop("best"), amount, *keys)
+def sweep_limit(levels: DataFrame, amount: float, slippage: float, allowance: float, *keys: str) -> DataFrame:
+    """As ``vwap_walk``, over levels with columns signal (the price asked for) and best_bid: a level is not taken, nor those after it, if with
+    it the mean price is over the signal by more than ``allowance``, and its share over the signal together with the spread (of best
+    ask and bid, as a share of the ask) by more than ``slippage``. The mean rises from level to level, so the first such level ends the walk."""
+    w = Window.partitionBy(*keys).orderBy("price")
+    before = F.coalesce(F.sum(F.col("price") * F.col("size")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    x = levels.where("price > 0 and size > 0").withColumn("best_ask", F.min("price").over(Window.partitionBy(*keys)))
+    x = x.withColumn("spent", F.greatest(F.lit(0.0), F.least(F.col("price") * F.col("size"), amount - before))).where("spent > 0")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("mean", F.sum("spent").over(upto) / F.sum(F.col("spent") / F.col("price")).over(upto))
+    over = F.col("mean") - F.col("signal")
+    spread = (F.col("best_ask") - F.col("best_bid")) / F.col("best_ask")
+    x = x.where(~((over / F.col("signal") + spread > slippage) & (over > allowance)))
+    g = x.groupBy(*keys).agg(F.sum("spent").alias("spent"), F.sum(F.col("spent") / F.col("price")).alias("quantity"), F.max("price").alias("worst"))
+    return g.withColumn("vwap", ratio(F.col("spent"), F.col("quantity")))
+
+
+def asof_forward(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """left (key, at) with the value of right's first row of the key at or after that time; of equal times the least value."""
+    first = right.groupBy(key, at).agg(F.min(value).alias(value)).withColumn("_v", F.struct(F.col(at).alias("at"), F.col(value).alias("value")))
+    both = left.withColumn("_own", F.lit(True)).unionByName(first.select(key, at, "_v"), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(at).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.withColumn("_f", F.first("_v", ignorenulls=True).over(w)).where("_own")
+    return found.select(*left.columns, F.col("_f.at").alias(f"{at}_next"), F.col("_f.value").alias(value))
 
 
 def book_state(messages: DataFrame) -> DataFrame:
     """messages: seq, token, kind (book or delta), side, price (text), size. The last snapshot replaces the book, later deltas
-    set levels, size 0 deletes; deltas before any snapshot are ignored. Prices are compared as numbers."""
-    snap = messages.where("kind = 'book'").groupBy("token").agg(F.max("seq").alias("since"))
+    set levels, size 0 deletes; deltas before any snapshot are ignored. A snapshot may come as several rows, one a level: those of a token
+    with no delta between. Prices are compared as numbers."""
+    own = F.col("kind") == "book"
+    begins = own & F.coalesce(F.lag("kind").over(Window.partitionBy("token").orderBy("seq")) != "book", F.lit(True))
+    snap = messages.withColumn("_begins", begins).where("_begins").groupBy("token").agg(F.max("seq").alias("since"))
     x = messages.join(snap, "token").where(F.col("seq") >= F.col("since")).withColumn("price", F.col("price").cast("double"))
     last = x.groupBy("token", "side", "price").agg(F.max_by("size", "seq").alias("size"))
     return last.where("size > 0")
@@ -47,18 +78,24 @@ def mark_price(best_bid, last_trade, average_cost):
 
 
 def match_flow(orders: DataFrame, flow: DataFrame, seconds: int = 300, share: float = 0.5) -> DataFrame:
-    """Each order takes ``share`` of the opposite flow of the next ``seconds`` at its limit or better, until filled.
-    The interval join meets two time buckets of each contract only."""
-    o = orders.select(F.col("id").alias("order_id"), "contract", F.col("ts").alias("t0"), F.col("side").alias("order_side"), F.col("price").alias("limit_price"), F.col("usdc").alias("wanted"))
+    """Each order takes ``share`` of the shares of the opposite flow, priced within (0.001, 0.999) at its limit or better, in the ``seconds`` from the
+    first trade at or after it, until 0.999 of its money is spent. A purchase costs the price a share, a sale 1 - price; price is the mean
+    one by that. The interval join meets two time buckets of each contract only."""
+    o = orders.select(F.col("id").alias("order_id"), "contract", "ts", F.col("side").alias("order_side"), F.col("price").alias("limit_price"), F.col("usdc").alias("wanted"))
+    o = asof_forward(o, flow.select("contract", "ts", "id"), "contract", "ts", "id").where("ts_next is not null").drop("id", "ts").withColumnRenamed("ts_next", "t0")
     o = o.withColumn("slot", F.explode(F.array(F.floor(F.col("t0") / seconds), F.floor(F.col("t0") / seconds) + 1)))
     f = flow.withColumn("slot", F.floor(F.col("ts") / seconds)).select("id", "contract", "ts", "side", "price", "usdc", "slot")
     j = o.join(f, ["contract", "slot"]).where((F.col("ts") >= F.col("t0")) & (F.col("ts") <= F.col("t0") + seconds) & (F.col("id") != F.col("order_id")) & (F.col("side") == -F.col("order_side")))
     j = j.where(F.when(F.col("order_side") > 0, F.col("price") <= F.col("limit_price")).otherwise(F.col("price") >= F.col("limit_price")))
+    j = j.where("price > 0.001 and price < 0.999")
+    each = F.when(F.col("order_side") > 0, F.col("price")).otherwise(1 - F.col("price"))
+    j = j.withColumns({"each": each, "offered": F.col("usdc") / F.col("price") * share * each})
     w = Window.partitionBy("order_id").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    offered = F.col("usdc") * share
-    took = F.greatest(F.lit(0.0), F.least(offered, F.col("wanted") - F.coalesce(F.sum(offered).over(w), F.lit(0.0))))
-    g = j.withColumn("took", took).groupBy("order_id").agg(F.sum("took").alias("filled"), ratio(F.sum(F.col("took") * F.col("price")), F.sum("took")).alias("price"), F.count(F.when(F.col("took") > 0, 1)).alias("fills"))
-    return g
+    j = j.withColumn("before", F.coalesce(F.sum("offered").over(w), F.lit(0.0))).where(F.col("before") < F.col("wanted") * 0.999)
+    j = j.withColumn("took", F.least(F.col("offered"), F.col("wanted") - F.col("before"))).withColumn("shares", F.col("took") / F.col("each")).where("shares > 1e-6")
+    g = j.groupBy("order_id", "order_side").agg(F.sum("took").alias("filled"), F.sum("shares").alias("shares"), F.count("*").alias("fills"))
+    mean = F.col("filled") / F.col("shares")
+    return g.select("order_id", "filled", F.when(F.col("order_side") > 0, mean).otherwise(1 - mean).alias("price"), "fills")
 
 
 def average_cost(ticks: DataFrame) -> DataFrame:
@@ -88,19 +125,14 @@ def positions_with_sales(fills: DataFrame) -> DataFrame:
     return fills.groupBy("wallet", "contract").applyInPandas(run, "wallet long, contract string, qty double, avg_cost double, realised double")
 
 
-def implied_liquidity(ticks: DataFrame) -> DataFrame:
-    """Smoothed (0.9, 0.1) implied liquidity: half the volume over the price move, of moves over 0.005 with volume over 10."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"])
-        last, ema, out = None, None, []
-        for usdc, price in pdf[["usdc", "price"]].itertuples(index=False):
-            if last is not None and abs(price - last) > 0.005 and usdc > 10:
-                now = 0.5 * usdc / abs(price - last)
-                ema = now if ema is None else 0.9 * ema + 0.1 * now
-            last = price
-            out.append(ema)
-        return pd.DataFrame({"contract": pdf["contract"], "id": pdf["id"], "liquidity": pd.Series(out, index=pdf.index, dtype="float64")})
-
-    return ticks.groupBy("contract").applyInPandas(run, "contract string, id long, liquidity double")
+def implied_liquidity(ticks: DataFrame, known: float = 10_000.0) -> DataFrame:
+    """Liquidity after each trade: from what is known (a column known_liquidity, else ``known``), smoothed (0.9, 0.1) with half the volume over
+    the price move, at moves over 0.005 with volume over 10. Linear in the rows: the smoothing is a decayed sum over the moves so far."""
+    by = Window.partitionBy("contract").orderBy("ts", "id")
+    move = F.abs(F.col("price") - F.lag("price").over(by))
+    counts = F.coalesce((move > 0.005) & (F.col("usdc") > 10), F.lit(False))
+    first = F.coalesce("known_liquidity", F.lit(known)) if "known_liquidity" in ticks.columns else F.lit(known)
+    x = ticks.withColumns({"move": move, "hit": counts.cast("int"), "first": first})
+    x = x.withColumns({"n": F.sum("hit").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("double"), "add": F.when(F.col("hit") == 1, 0.1 * 0.5 * F.col("usdc") / F.col("move")).otherwise(0.0)})
+    y = decayed_sum(x.select("contract", "id", "ts", "n", "add", "first"), "contract", ["ts", "id"], "n", "add", 0.9, "ema")
+    return y.select("contract", "id", (F.col("ema") + F.col("first") * F.pow(F.lit(0.9), "n")).alias("liquidity"))

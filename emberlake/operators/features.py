@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.functions.normalize import ratio, text_similarity
+from emberlake.operators.windows import running_total
 
 
 def temporal_graph_features(ticks: DataFrame) -> DataFrame:
     """Dense ids, z-scores, log volume, progress within the contract's life, hour on the circle."""
     s = ticks.groupBy("contract").agg(F.avg("usdc").alias("mu"), F.stddev_pop("usdc").alias("sd"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    u = ticks.select("wallet").distinct().withColumn("u_id", F.dense_rank().over(Window.orderBy("wallet")) - 1)
+    u = running_total(ticks.select("wallet").distinct().withColumn("one", F.lit(1)), ["wallet"], {"u_id": "one"}).select("wallet", (F.col("u_id") - 1).cast("int").alias("u_id"))
     hour = F.pmod(F.floor(F.col("ts") / 3600), F.lit(24)) * (2 * math.pi / 24)
     x = ticks.join(s, "contract").join(u, "wallet")
     return x.select(
@@ -136,11 +137,16 @@ def best_alias(names: DataFrame, aliases: DataFrame, least: float = 0.9) -> Data
 
 
 def beta_from_interval(mean: Column, low: Column, high: Column) -> dict[str, Column]:
-    """Beta parameters of a mean and its 95 % interval."""
-    sd = (high - low) / (2 * 1.96)
-    var = F.greatest(sd * sd, F.lit(1e-9))
-    nu = F.greatest(mean * (1 - mean) / var - 1, F.lit(1e-6))
-    return {"alpha": mean * nu, "beta": (1 - mean) * nu}
+    """Beta parameters of a mean and its interval, which is four deviations wide. A mean of 0 or 1 is certain (one parameter infinite);
+    what does not fit together (a mean outside [0, 1] or its interval, no width, more variance than the mean allows) is the weak prior (1, 1)."""
+    sd = (high - low) / 4
+    var = sd * sd
+    weak = F.coalesce(~mean.between(0, 1) | ~((low >= 0) & (low <= mean) & (mean <= high) & (high <= 1)) | (sd == 0) | (mean * (1 - mean) < var), F.lit(True))
+    nu = mean * (1 - mean) / F.nullif(var, F.lit(0.0)) - 1
+    nu = F.when(nu <= 0, 1e-6).otherwise(nu)
+    pick = lambda at_0, at_1, fit: F.when(mean == 0, at_0).when(mean == 1, at_1).when(weak, 1.0).otherwise(fit)
+    sure = float("inf")
+    return {"alpha": pick(1.0, sure, mean * nu), "beta": pick(sure, 1.0, (1 - mean) * nu)}
 
 
 def beta_from_brier(mean: Column, brier: Column) -> dict[str, Column]:
@@ -149,9 +155,12 @@ def beta_from_brier(mean: Column, brier: Column) -> dict[str, Column]:
 
 
 def fuse_betas(a1: Column, b1: Column, a2: Column, b2: Column) -> dict[str, Column]:
+    """One infinite parameter decides: mean 1 or 0, no variance."""
     a = F.greatest(1 + (a1 - 1) + (a2 - 1), F.lit(1e-3))
     b = F.greatest(1 + (b1 - 1) + (b2 - 1), F.lit(1e-3))
-    return {"alpha": a, "beta": b, "mean": a / (a + b), "variance": a * b / ((a + b) * (a + b) * (a + b + 1))}
+    sure_a, sure_b = a == float("inf"), b == float("inf")
+    mean = F.when(sure_a & sure_b, 0.5).when(sure_a, 1.0).when(sure_b, 0.0).otherwise(a / (a + b))
+    return {"alpha": a, "beta": b, "mean": mean, "variance": F.when(sure_a | sure_b, 0.0).otherwise(a * b / ((a + b) * (a + b) * (a + b + 1)))}
 
 
 def kelly_cap(bets: DataFrame, most: float = 0.15) -> DataFrame:
@@ -160,19 +169,17 @@ def kelly_cap(bets: DataFrame, most: float = 0.15) -> DataFrame:
     return bets.withColumn("capped", F.col("fraction") * F.least(F.lit(1.0), ratio(F.lit(most), total)))
 
 
-def kelly_cluster(bets: DataFrame, rho: float = 0.2) -> DataFrame:
-    """Fractions D C^-1 E per cluster (cluster, id, edge, variance), C with equal correlation: one small matrix a cluster."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        sd = np.sqrt(pdf["variance"].to_numpy())
-        c = np.outer(sd, sd) * rho
-        np.fill_diagonal(c, sd * sd)
-        return pd.DataFrame({"cluster": pdf["cluster"], "id": pdf["id"], "fraction": np.linalg.pinv(c) @ pdf["edge"].to_numpy()})
-
-    return bets.groupBy("cluster").applyInPandas(run, "cluster int, id long, fraction double")
+def kelly_cluster(bets: DataFrame, rho: float = 0.2, most: float | None = None) -> DataFrame:
+    """Fractions C^-1 E per cluster (cluster, id, edge, variance), where C has the bets' variances and equal correlations; its inverse is known in closed
+    form, so two sums over the cluster are enough. ``most``: the sizes of a cluster are scaled to add up to no more than it."""
+    sd = F.sqrt("variance")
+    w = Window.partitionBy("cluster")
+    score = F.col("edge") / sd
+    share = rho / (1 - rho + rho * F.count("*").over(w)) * F.sum(score).over(w)
+    out = bets.select("cluster", "id", ((score - share) / (sd * (1 - rho))).alias("fraction"))
+    if most is None:
+        return out
+    return out.withColumn("fraction", F.col("fraction") * F.least(F.lit(1.0), ratio(F.lit(most), F.sum(F.abs("fraction")).over(w))))
 
 
 def covariance(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -182,14 +189,25 @@ def covariance(rows: DataFrame, columns: list[str]) -> DataFrame:
     return s.select(F.expr(f"stack({len(pairs)}, " + ", ".join(f"'{a}', '{b}', {a}__{b}" for a, b in pairs) + ") as (a, b, cov)"))
 
 
-def shrink(cov, intensity: float):
-    """Constant-correlation shrinkage of a covariance matrix (numpy)."""
+def shrunk_covariance(rows: DataFrame, columns: list[str]) -> tuple[list[list[float]], float, float]:
+    """Ledoit-Wolf shrinkage of the covariance matrix (by n) to constant correlation: matrix, mean correlation, intensity. Two passes; their sums, a
+    fixed number for each pair of columns, come to the driver."""
     import numpy as np
 
+    means = rows.agg(F.count("*").alias("t"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns))).first()
+    t, n = means["t"], len(columns)
+    x = [F.col(c) - F.lit(means[f"m{i}"]) for i, c in enumerate(columns)]
+    sums = [F.sum(f(x[i], x[j])) for f in (lambda a, b: a * b, lambda a, b: a * a * b * b, lambda a, b: a * a * a * b) for i in range(n) for j in range(n)]
+    cov, fourth, third = np.array(rows.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first(), float).reshape(3, n, n) / t
     sd = np.sqrt(np.diag(cov))
-    corr = cov / np.outer(sd, sd)
-    n = len(sd)
-    mean = (corr.sum() - n) / (n * (n - 1)) if n > 1 else 0.0
-    target = mean * np.outer(sd, sd)
+    scale = np.outer(sd, sd)
+    mean = ((cov / scale).sum() - n) / (n * (n - 1)) if n > 1 else 0.0
+    target = mean * scale
     np.fill_diagonal(target, sd * sd)
-    return intensity * target + (1 - intensity) * cov
+    spread = fourth - cov * cov  # variance of each covariance
+    with_target = third - np.diag(cov)[:, None] * cov
+    np.fill_diagonal(with_target, 0)
+    shared = np.diag(spread).sum() + mean * ((1 / sd)[:, None] * sd[None, :] * with_target).sum()
+    apart = ((cov - target) ** 2).sum()
+    intensity = float(max(0.0, min(1.0, (spread.sum() - shared) / apart / t))) if apart > 0 else 0.0
+    return (intensity * target + (1 - intensity) * cov).tolist(), float(mean), intensity

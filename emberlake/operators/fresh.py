@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,3 +75,112 @@ def quadratic_fit(x: DataFrame, y: str, a: str, *keys: str) -> DataFrame:
     one, ca, cb, cy = ([F.col(k) for k in ks] for ks in (("n", "a", "b"), ("a", "aa", "ab"), ("b", "ab", "bb"), ("y", "ay", "by")))
     d = det(one, ca, cb)
     return s.select(*keys, "n", ratio(det(cy, ca, cb), d).alias("c0"), ratio(det(one, cy, cb), d).alias("c1"), ratio(det(one, ca, cy), d).alias("c2"))
+
+
+def last_year(positions: DataFrame, days: int = 365) -> DataFrame:
+    """Positions first entered in the ``days`` up to the newest of them (one row joined, the positions are computed once)."""
+    end = positions.agg(F.max("first_ts").alias("_end"))
+    return positions.join(F.broadcast(end), F.col("first_ts") >= F.col("_end") - 86400 * days).drop("_end")
+
+
+def first_bet(trades: DataFrame, markets: DataFrame, least_risk: float = 1.0) -> DataFrame:
+    """Each wallet's earliest trade with over ``least_risk`` at risk in a settled contract: risk, log_vol, roi, won. trades: id, wallet,
+    contract_id, price, tokens, usdc, ts; equal times go by id. Prices are cut to [0, 1], and to 1e-6 from the ends in the return."""
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("price")))
+    long = F.col("tokens") > 0
+    risk = F.when(long, F.col("usdc")).otherwise(F.abs("tokens") * (1 - p))
+    x = trades.join(markets.where("outcome is not null").select("contract_id", "outcome"), "contract_id").withColumns({"risk": risk, "long": long}).where((F.col("risk") > least_risk) & F.col("ts").isNotNull())
+    names = ["id", "contract_id", "price", "long", "risk", "outcome", "ts"]
+    one = x.groupBy("wallet").agg(F.min_by(F.struct(*names), F.struct("ts", "id")).alias("x")).select("wallet", "x.*")
+    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("price")))
+    o = F.col("outcome")
+    roi = F.when(F.col("long"), (o - q) / q).otherwise((q - o) / (1 - q))
+    return one.select("wallet", "id", "ts", "price", "risk", F.log1p("risk").alias("log_vol"), roi.alias("roi"), F.when(F.col("long"), o > 0.5).otherwise(o < 0.5).alias("won"))
+
+
+def t_tail(t: float, df: float) -> float:
+    """Two-sided p-value of Student's t, by the continued fraction of the incomplete beta function."""
+    if df <= 0 or math.isnan(t):
+        return float("nan")
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= 1:
+        return 1.0
+    if x <= 0:
+        return 0.0
+
+    def fraction(x: float, a: float, b: float) -> float:
+        c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
+        h = d
+        for m in range(1, 500):
+            for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / (1 + top * d)
+                c = 1 + top / c
+                h *= c * d
+            if abs(c * d - 1) < 1e-15:
+                break
+        return h
+
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+
+
+def line(x: DataFrame, y: str, a: str) -> dict[str, float]:
+    """Slope, intercept, p-value of the slope, n: five sums come to the driver."""
+    r = x.agg(F.regr_count(y, a).alias("n"), F.regr_slope(y, a).alias("slope"), F.regr_intercept(y, a).alias("intercept"), F.regr_r2(y, a).alias("r2")).first()
+    n, r2 = r["n"], r["r2"]
+    if not n or n < 3 or r["slope"] is None or r2 is None:
+        return {"n": n or 0, "slope": 0.0, "intercept": 0.0, "p": 1.0}
+    t = math.copysign(math.inf, r["slope"]) if r2 >= 1 else math.copysign(math.sqrt(r2 * (n - 2) / (1 - r2)), r["slope"])
+    return {"n": n, "slope": r["slope"], "intercept": r["intercept"], "p": 0.0 if math.isinf(t) else t_tail(t, n - 2)}
+
+
+def brier_line(trades: DataFrame, known: DataFrame | None = None, before: int | None = None, least: int = 50) -> tuple[float, float]:
+    """Slope and intercept of the Brier score of unknown wallets' trades on log volume. trades: wallet, usdc, tokens, outcome, resolved_at; ``known``
+    wallets are left out, and what resolves at or after ``before``. Nothing is made of fewer than ``least`` trades, of a slope over -0.002 or of a
+    p-value of 0.2 and more: then 0 and 0.25. Else the slope is damped by its p-value, the intercept kept in [0.15, 0.35]."""
+    x = trades.where("outcome is not null and usdc is not null and tokens is not null")
+    if before is not None:
+        x = x.where(F.col("resolved_at") < before)
+    if known is not None:
+        x = x.join(known.select("wallet").distinct(), "wallet", "left_anti")
+    said = F.when(F.col("tokens") > 0, 1.0).otherwise(0.0)
+    f = line(x.select(F.pow(said - F.col("outcome"), 2).alias("brier"), F.log1p("usdc").alias("log_vol")), "brier", "log_vol")
+    if f["n"] < least or f["slope"] > -0.002 or f["p"] >= 0.2:
+        return 0.0, 0.25
+    return f["slope"] * (1 - f["p"] / 0.2), min(0.35, max(0.15, f["intercept"]))
+
+
+def logit(rows: DataFrame, y: str, features: list[str], least: int = 50, rounds: int = 25) -> list[float] | None:
+    """Maximum-likelihood logistic regression with an intercept, by Newton steps: each is one pass that sums gradient and curvature (a fixed number
+    for each pair of features) over the rows. None with fewer than ``least`` rows, or where the curvature cannot be inverted."""
+    import numpy as np
+
+    x = [F.lit(1.0), *(F.col(c).cast("double") for c in features)]
+    k = len(x)
+    beta = np.zeros(k)
+    kept = rows.where(" and ".join(f"{c} is not null" for c in [y, *features]))
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-sum((F.lit(float(b)) * c for b, c in zip(beta, x, strict=True)), F.lit(0.0))))
+        miss = F.col(y).cast("double") - p
+        sums = [F.count("*"), *(F.sum(miss * c) for c in x), *(F.sum(p * (1 - p) * x[i] * x[j]) for i in range(k) for j in range(k))]
+        got = [v or 0.0 for v in kept.agg(*(c.alias(f"s{i}") for i, c in enumerate(sums))).first()]
+        if got[0] < least:
+            return None
+        try:
+            step = np.linalg.solve(np.array(got[1 + k :], float).reshape(k, k), np.array(got[1 : 1 + k], float))
+        except np.linalg.LinAlgError:
+            return None
+        beta = beta + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return beta.tolist() if np.isfinite(beta).all() else None
+
+
+def boosted(rows: DataFrame, y: str, features: list[str], **settings):
+    """Gradient-boosted classifier: a fitted pyspark.ml model; its transform adds rawPrediction, probability and prediction."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    chosen = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 7} | settings
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), GBTClassifier(labelCol=y, featuresCol="features", **chosen)]).fit(rows)

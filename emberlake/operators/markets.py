@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed values of the exclusion rules.
-FAST_DOMAINS = r"(?i)(binance|coinbase|chain\.link|espn|nba|nfl|mlb)\."
-FAST_SPORTS = ("moneyline", "spreads", "totals")
-CRYPTO_WORDS = r"(?i)(bitcoin|btc|ethereum|eth|solana|xrp|dogecoin|up or down)"
+#: Fixed values of the exclusion rules and topics; patterns are searched in lower-cased text.
+FROZEN_DOMAINS = r"data\.chain\.link|binance\.com|dotabuff\.com|gol\.gg"
+FAST_DOMAINS = r"data\.chain\.link|binance\.com|dotabuff\.com|gol\.gg|hltv\.org"
+FROZEN_SPORTS = ("kill_over_under_game", "team_totals", "tennis_first_set_totals")
+FAST_SPORTS = ("kill_over_under_game", "team_totals", "tennis_first_set_totals", "cs2_odd_even_total_rounds", "soccer_anytime_goalscorer")
+CRYPTO_WORDS = r"bitcoin|btc|\beth\b|ethereum|crypto|solana|dogecoin|token"
+SPORTS_WORDS = r"\bvs\.?\b|game|match|nba|nfl|nhl|mlb|o/u|goalscorer|set \d"
+POLITICS_WORDS = r"election|president|senate|congress|minister|approval"
 LARGE_TEMPLATE = 1000
+LARGE_SHARE = 0.8
 #: Median life of a market in hours, used where no end is known.
 MEDIAN_LIFE_HOURS = 25.9
 
@@ -74,12 +79,41 @@ def scheduled_end(event_start: Column, resolution: Column, game_start: Column, s
 def is_hostile(template_size: Column, source: Column, sports: Column, question: Column) -> Column:
     """Clauses of which each counts as false where its input is null."""
     no = F.lit(False)
-    return F.coalesce(template_size >= LARGE_TEMPLATE, no) | F.coalesce(source.rlike(FAST_DOMAINS), no) | F.coalesce(sports.isin(*FAST_SPORTS), no) | F.coalesce(question.rlike(CRYPTO_WORDS), no)
+    return F.coalesce(template_size >= LARGE_TEMPLATE, no) | F.coalesce(F.lower(source).rlike(FAST_DOMAINS), no) | F.coalesce(sports.isin(*FAST_SPORTS), no) | F.coalesce(F.lower(question).rlike(CRYPTO_WORDS), no)
 
 
 def is_hostile_frozen(fees: Column, source: Column, sports: Column, liveness: Column) -> Column:
+    """fees: text; true and 1 count, in any case."""
     no = F.lit(False)
-    return F.coalesce(fees, no) | F.coalesce(source.rlike(FAST_DOMAINS), no) | F.coalesce(sports.isin(*FAST_SPORTS), no) | F.coalesce((liveness > 0) & (liveness <= 3600), no)
+    return F.coalesce(F.lower(fees).isin("true", "1"), no) | F.coalesce(F.lower(source).rlike(FROZEN_DOMAINS), no) | F.coalesce(sports.isin(*FROZEN_SPORTS), no) | F.coalesce((liveness > 0) & (liveness <= 3600), no)
+
+
+def rule_coverage(markets: DataFrame, hostile: str, most: float = LARGE_SHARE) -> DataFrame:
+    """Markets, those that a rule takes out, their share, and whether it is more than ``most``: then the rule, not the market, is in doubt."""
+    g = markets.agg(F.count_distinct("market_id").alias("markets"), F.count_distinct(F.when(F.col(hostile), F.col("market_id"))).alias("hostile"))
+    share = F.col("hostile") / F.greatest(F.col("markets"), F.lit(1))
+    return g.withColumn("share", share).withColumn("warn", F.col("share") > most)
+
+
+def in_life(ts: Column, start: Column, end: Column) -> Column:
+    """Trades before the start or after the end of their market do not count; a null bound is open."""
+    return F.coalesce(ts >= start, F.lit(True)) & F.coalesce(ts <= end, F.lit(True))
+
+
+def before_resolution(ts: Column, resolved_at: Column) -> Column:
+    """Nothing is learned from trades at or after the resolution; unresolved markets have none."""
+    return F.coalesce(ts < resolved_at, F.lit(True))
+
+
+def needs_review(markets: DataFrame, links: DataFrame, most_liquidity: float = 10_000.0, least_contracts: int = 5) -> DataFrame:
+    """links: market_id, entity. A market waits for a person if its liquidity is over the limit, or one of its entities has fewer
+    than ``least_contracts`` markets; without entities only liquidity counts. state: also 'no entities' and 'linked'."""
+    used = links.select("market_id", "entity").distinct()
+    rare = used.groupBy("entity").agg(F.count("*").alias("n"))
+    least = used.join(rare, "entity").groupBy("market_id").agg(F.min("n").alias("least"), F.count("*").alias("entities"))
+    x = markets.select("market_id", F.coalesce("liquidity", F.lit(0.0)).alias("liquidity")).join(least, "market_id", "left")
+    review = (F.col("liquidity") > most_liquidity) | F.coalesce(F.col("least") < least_contracts, F.lit(False))
+    return x.select("market_id", review.alias("review"), F.when(F.col("entities").isNull(), "no entities").when(review, "review").otherwise("linked").alias("state"))
 
 
 def template_sizes(markets: DataFrame) -> DataFrame:
@@ -102,6 +136,6 @@ def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def topic(question: Column) -> Column:
-    """Coarse topic; later rules win."""
+    """Coarse topic; politics goes before sports, and sports before crypto."""
     q = F.lower(question)
-    return F.when(q.rlike("elect|president|senate"), "politics").when(q.rlike("game|match|vs"), "sports").when(q.rlike("bitcoin|crypto|eth"), "crypto").otherwise("other")
+    return F.when(q.rlike(POLITICS_WORDS), "politics").when(q.rlike(SPORTS_WORDS), "sports").when(q.rlike(CRYPTO_WORDS), "crypto").otherwise("other")

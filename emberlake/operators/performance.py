@@ -17,15 +17,27 @@ def daily_equity(profits: DataFrame, start: float = 10_000.0) -> DataFrame:
     return d.withColumns({"drawdown": ratio(F.col("peak") - F.col("equity"), F.col("peak")), "ret": ratio(F.col("equity"), prev) - 1})
 
 
-def metrics(equity: DataFrame) -> DataFrame:
-    """Sharpe, Sortino, Calmar, yearly growth, profit factor and expectancy per key."""
-    down = F.sqrt(F.avg(F.pow(F.least(F.col("ret"), F.lit(0.0)), 2)))
-    g = equity.groupBy("key").agg(
-        F.count("*").alias("days"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), down.alias("down"), F.max("drawdown").alias("max_drawdown"),
-        F.max_by("equity", "day").alias("last"), F.min_by(F.col("equity") - F.col("pnl"), "day").alias("first"), F.sum(F.greatest("pnl", F.lit(0.0))).alias("won"), F.sum(F.least("pnl", F.lit(0.0))).alias("lost"), F.avg("pnl").alias("expectancy"),
+def every_day(equity: DataFrame) -> DataFrame:
+    """key, day, equity for every day from a key's first to its last; days without a row keep the last equity."""
+    days = equity.groupBy("key").agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
+    filled = F.last("equity", ignorenulls=True).over(Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    return days.join(equity.select("key", "day", "equity"), ["key", "day"], "left").withColumn("equity", filled)
+
+
+def metrics(equity: DataFrame, start: float = 10_000.0) -> DataFrame:
+    """Of each key's equity (key, day, equity, pnl) by calendar day: Sharpe and Sortino (over the sample deviation of the losing days) a year of
+    365 days, largest drop from the running peak as a share, yearly growth from ``start``, Calmar, profit factor and expectancy of the days with a row.
+    Sortino is null without spread among losing days; growth needs two days, Calmar also a drop."""
+    by = Window.partitionBy("key").orderBy("day")
+    d = every_day(equity).withColumns({"prev": F.lag("equity").over(by), "peak": F.max("equity").over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    d = d.withColumns({"ret": ratio(F.col("equity"), F.col("prev")) - 1, "drop": ratio(F.col("peak") - F.col("equity"), F.col("peak"))})
+    g = d.groupBy("key").agg(
+        (F.max("day") - F.min("day")).alias("days"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))).alias("down"),
+        F.max("drop").alias("max_drawdown"), F.max_by("equity", "day").alias("last"),
     )
-    growth = F.pow(F.greatest(ratio(F.col("last"), F.col("first")), F.lit(1e-9)), 365.0 / F.col("days")) - 1
-    g = g.withColumn("cagr", growth)
+    p = equity.groupBy("key").agg(F.sum(F.greatest("pnl", F.lit(0.0))).alias("won"), F.sum(F.least("pnl", F.lit(0.0))).alias("lost"), F.avg("pnl").alias("expectancy"))
+    growth = F.when(F.col("days") > 0, F.pow(F.greatest(F.col("last") / start, F.lit(0.0)), 365.0 / F.col("days")) - 1)
+    g = g.join(p, "key").withColumn("cagr", growth)
     root = 365.0**0.5
     return g.select(
         "key", "days", (root * ratio(F.col("mean"), F.col("sd"))).alias("sharpe"), (root * ratio(F.col("mean"), F.col("down"))).alias("sortino"), ratio(F.col("cagr"), F.col("max_drawdown")).alias("calmar"),

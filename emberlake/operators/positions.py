@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.functions.normalize import clamp, ratio
+from emberlake.operators.windows import running_total
 
 
 def accumulate(trades: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -73,13 +74,26 @@ def leaderboard_annual(pnl: DataFrame, least_invested: float = 100.0) -> DataFra
     return out.where(F.col("invested") > least_invested).withColumn("score", score)
 
 
-def elite(pnl: DataFrame, top: int = 50) -> DataFrame:
-    """The ``top`` wallets with enough markets, size and return by annual profit per drawdown."""
-    days = F.greatest((F.col("resolved_at") - F.col("first_ts")) / 86400.0, F.lit(1.0))
-    x = pnl.withColumns({"annual": F.col("pnl") * 365 / days, "cum": _running(F.col("pnl"), "c")})
+def elite(pnl: DataFrame, as_of: int | None = None, top: int = 500, least_size: float = 100.0, least_roi: float = 0.5) -> DataFrame:
+    """The ``top`` wallets by yearly profit per drawdown, of those with ten markets, a mean size of ``least_size`` and a yearly return
+    of ``least_roi`` (each market's return a year, weighted by the money in it). Markets resolved before the day of ``as_of`` (seconds) count;
+    profit is spread over the days since the wallet's first trade."""
+    day = lambda c: F.floor(c / 86400)
+    now = F.lit(as_of // 86400) if as_of is not None else None
+    x = pnl.where(F.col("invested") > 0)
+    if now is not None:
+        x = x.where(day(F.col("resolved_at")) < now)
+    held = F.greatest(F.lit(1), day(F.col("resolved_at")) + 1 - day(F.col("first_ts")))  # settled on the day after
+    annual = (F.col("pnl") / F.col("invested")) * (365.0 / held)
+    x = x.withColumns({"weighted": annual * F.col("invested"), "cum": _running(F.col("pnl"), "c")})
     x = x.withColumn("down", F.greatest(_running(F.col("cum"), "k", F.max), F.lit(0.0)) - F.col("cum"))
-    g = x.groupBy("wallet").agg(F.count("*").alias("n"), F.avg("invested").alias("size"), F.sum("annual").alias("annual"), F.sum("invested").alias("invested"), F.max("down").alias("drawdown"))
-    g = g.where("n >= 10 and size >= 10").withColumn("roi", ratio(F.col("annual"), F.col("invested")))
+    g = x.groupBy("wallet").agg(
+        F.count("*").alias("n"), F.sum("invested").alias("invested"), F.sum("weighted").alias("weighted"), F.sum("pnl").alias("pnl"), F.max("down").alias("drawdown"),
+        F.min("first_ts").alias("first_seen"), F.max("resolved_at").alias("last"),
+    )
+    g = g.withColumns({"size": F.col("invested") / F.col("n"), "roi": F.col("weighted") / F.col("invested")}).where((F.col("n") >= 10) & (F.col("size") >= least_size) & (F.col("roi") >= least_roi))
+    active = F.greatest(F.lit(1), (now if now is not None else day(F.col("last")) + 1) - day(F.col("first_seen")))
+    g = g.withColumn("annual", F.col("pnl") * (365.0 / active))
     score = F.col("annual") / F.greatest(F.col("drawdown"), F.greatest(F.lit(100.0), 0.05 * F.col("invested")))
     return g.withColumn("score", score).orderBy(F.desc(F.round("score", 9)), "wallet").limit(top)
 
@@ -115,6 +129,15 @@ def smart_price(trades: DataFrame, scores: DataFrame, default: float = 0.25) ->
 
 
 def percentile(scores: DataFrame) -> DataFrame:
-    """Share of scores of the same sign that are not larger in size."""
-    w = Window.partitionBy(F.signum("score")).orderBy(F.abs("score"))
-    return scores.where("score <> 0").withColumn("percentile", F.cume_dist().over(w))
+    """Share of scores of the same sign that are not larger in size, with that sign: -1 to 1.
+
+    Equal scores are counted first, and their running total goes by slices, so no task holds all scores of a sign."""
+    x = scores.where("score <> 0").withColumns({"sign": F.signum("score"), "size": F.abs("score")})
+    counts = x.groupBy("sign", "size").agg(F.count("*").alias("n"))
+    out = None
+    for sign in (1.0, -1.0):
+        own = counts.where(F.col("sign") == sign)
+        ranked = running_total(own, ["size"], {"upto": "n"}).withColumn("all", F.lit(own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
+        out = ranked if out is None else out.unionByName(ranked)
+    share = out.select("sign", "size", (F.col("sign") * F.col("upto") / F.col("all")).alias("percentile"))
+    return x.join(share, ["sign", "size"]).drop("sign", "size")

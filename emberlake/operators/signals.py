@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlake.functions.normalize import clamp, ratio
+from emberlake.functions.normalize import clamp, normal_cdf, ratio
+from emberlake.operators.windows import decayed_sum
 
-#: Weights under this share are dropped from decayed sums: 0.95 per minute reaches 1e-12 after nine hours.
-DECAY, HORIZON = 0.95, 9 * 3600
+#: What is left of a signal after a minute.
+DECAY = 0.95
 
 
 def running(ticks: DataFrame, key: str, order: tuple[str, ...] = ("ts", "id")) -> Window:
@@ -17,43 +18,66 @@ def running(ticks: DataFrame, key: str, order: tuple[str, ...] = ("ts", "id")) -
 
 
 def weight(ticks: DataFrame) -> DataFrame:
-    """Sum of score * usdc * side per market over its volume so far. ticks: id, contract, ts, usdc, side, score."""
+    """Sum of score * usdc * side per market over its volume so far. ticks: id, contract, ts, usdc, side, score; with a column
+    is_yes, trades of No tokens count the other way."""
     w = running(ticks, "contract")
-    return ticks.select("id", "contract", ratio(F.sum(F.col("score") * F.col("usdc") * F.col("side")).over(w), F.sum("usdc").over(w)).alias("signal"))
+    side = F.col("side") * (F.when(F.col("is_yes"), 1).otherwise(-1) if "is_yes" in ticks.columns else F.lit(1))
+    return ticks.select("id", "contract", ratio(F.sum(F.col("score") * F.col("usdc") * side).over(w), F.sum("usdc").over(w)).alias("signal"))
 
 
-def decayed(ticks: DataFrame, bucket: int = HORIZON) -> DataFrame:
+def decayed(ticks: DataFrame) -> DataFrame:
     """w decays by 0.95 a minute, gaps up to one second excepted, then adds usdc * (1 + min(2 ln(1 + 100 skill), 10)) * side.
-    Trades under 1 and negative scores are skipped. A self-join on time buckets bounds the rows compared."""
+    Trades under 1 and negative scores are skipped. One pass over each contract's ordered rows, with no horizon."""
     x = ticks.where("usdc >= 1 and score >= 0").withColumn("add", F.col("usdc") * (1 + F.least(2 * F.log(1 + 100 * F.col("score")), F.lit(10.0))) * F.col("side"))
     by = Window.partitionBy("contract").orderBy("ts", "id")
     gap = F.col("ts") - F.lag("ts").over(by)
     x = x.withColumn("gap", F.when(gap > 1, gap).otherwise(0)).withColumn("clock", F.sum("gap").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("n", F.row_number().over(by)).withColumn("slot", F.floor(F.col("clock") / bucket))
-    past = x.select("contract", F.col("clock").alias("c0"), F.col("n").alias("n0"), F.col("add").alias("a0"), F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    j = x.join(past, ["contract", "slot"]).where((F.col("n0") <= F.col("n")) & (F.col("clock") - F.col("c0") <= bucket))
-    return j.groupBy("id", "contract").agg(F.sum(F.col("a0") * F.pow(F.lit(DECAY), (F.col("clock") - F.col("c0")) / 60.0)).alias("signal"))
+    x = x.select("id", "contract", "ts", "add", (F.col("clock") / 60.0).alias("clock"))
+    return decayed_sum(x, "contract", ["ts", "id"], "clock", "add", DECAY, "signal").select("id", "contract", "signal")
 
 
 def edge_normal(w: Column, price: Column, days: Column, threshold: float) -> Column:
-    """p = 0.5 + (phi(w / (2 threshold)) - 0.5) e^(-0.01 days), in [0.01, 0.99], minus the price. phi: the normal distribution
-    function by its logistic form, as no erf is built in (largest difference 0.00014)."""
-    z = w / (2 * threshold)
-    phi = 1 / (1 + F.exp(-(1.5976 * z + 0.070565992 * z * z * z)))
+    """p = 0.5 + (phi(w / (2 threshold)) - 0.5) e^(-0.01 days), in [0.01, 0.99], minus the price. phi: the normal distribution function."""
+    phi = normal_cdf(w / (2 * threshold))
     return clamp(0.5 + (phi - 0.5) * F.exp(-0.01 * days), 0.01, 0.99) - price
 
 
+def edge_trigger(edge: Column, price: Column, days: Column, least: float = 0.05) -> Column:
+    """Whether an edge is acted on: the market still runs, the edge is large enough, and the price is not at an end."""
+    return (days > 0) & (F.abs(edge) >= least) & price.between(0.02, 0.98)
+
+
+def one_a_minute(triggers: DataFrame, key: str = "contract") -> DataFrame:
+    """Of the rows (key, ts, id) the first of each key and minute."""
+    w = Window.partitionBy(key, F.floor(F.col("ts") / 60)).orderBy("ts", "id")
+    return triggers.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def entry_signal(w: Column, splash: float) -> Column:
+    return F.when(F.abs(w) > splash, "BUY").otherwise("NONE")
+
+
+def smart_exit(position: Column, w: Column, splash: float, share: float) -> Column:
+    """A long position is left when the signal is under splash * share, a short one when it is over the negative of that."""
+    at = splash * share
+    return F.coalesce(F.when(position == "YES", w < at).when(position == "NO", w > -at), F.lit(False))
+
+
 def edge_tanh(w: Column, price: Column) -> Column:
     return 0.5 + 0.49 * F.tanh(w / 5000) - price
 
 
-def roi_gate(price: Column, w: Column, days: Column, least: float = 5.0) -> Column:
-    p = F.when(w > 0, price).otherwise(1 - price)
-    return ((1 - p) / F.nullif(p, F.lit(0.0))) * 365 / F.greatest(days, F.lit(1.0)) > least
+def roi_gate(price: Column, w: Column, days: Column, is_yes: Column, least: float = 5.0) -> Column:
+    """Whether the return a year is over ``least``; the side bought is the token's for a positive signal, else the other. Markets at or past
+    their end pass. Prices outside (0.05, 0.95) never do."""
+    p = F.when((w > 0) == is_yes, price).otherwise(1 - price)
+    annual = ((1 - p) / F.nullif(p, F.lit(0.0))) * (365.0 / F.nullif(days, F.lit(0.0)))
+    return (price > 0.05) & (price < 0.95) & (F.coalesce(annual > least, F.lit(False)) | (days <= 0))
 
 
-def fallback_score(volume: Column, slope: float, intercept: float, bound: float = 0.10) -> Column:
-    return clamp(intercept + slope * F.log(F.greatest(volume, F.lit(1.0))), -bound, bound)
+def fallback_score(volume: Column, slope: float, intercept: float, low: float = -0.10, high: float = 0.10) -> Column:
+    """Of an unknown wallet, from its volume: a return within +-0.10, or a Brier score within [0.10, 0.35]."""
+    return clamp(intercept + slope * F.log(F.greatest(volume, F.lit(1.0))), low, high)
 
 
 def streaks(ticks: DataFrame, is_signal: Column) -> DataFrame:
@@ -84,10 +108,16 @@ def stable_buckets(signals: DataFrame) -> DataFrame:
     return g.withColumn("edge", F.col("win_rate") - F.col("mean_price"))
 
 
-def life_price_grid(bets: DataFrame) -> DataFrame:
-    """Life decile x price bucket with all totals, in one pass."""
-    x = bets.withColumns({"life": F.least(F.floor(F.col("life_share") * 10), F.lit(9)).cast("int"), "bucket": F.least(F.floor(F.col("price") * 8), F.lit(7)).cast("int")})
-    g = x.cube("life", "bucket").agg(F.count("*").alias("n"), F.avg("outcome").alias("win_rate"), F.avg("price").alias("mean_price"), F.sum("pnl").alias("pnl"))
+def life_price_grid(bets: DataFrame, most_price: float = 0.40, step: float = 0.05) -> DataFrame:
+    """Life decile x price bucket with all totals, in one pass. bets: price, ts, start, end, outcome, pnl. Buckets are ``step`` wide
+    up to ``most_price``, the last one takes what is over; decile 10 holds bets of markets of unknown or no life. margin tells
+    the totals: 1 of all prices of a decile, 2 of all deciles of a price, 3 of everything."""
+    last = round(most_price / step) - 1
+    span = F.col("end") - F.col("start")
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("ts") - F.col("start")) / F.nullif(span, F.lit(0))))
+    life = F.when(span > 0, F.least(F.floor(share * 10), F.lit(9))).otherwise(10).cast("int")
+    x = bets.withColumns({"life": life, "bucket": F.least(F.floor(F.col("price") / step), F.lit(last)).cast("int")})
+    g = x.cube("life", "bucket").agg(F.grouping_id().cast("int").alias("margin"), F.count("*").alias("n"), F.avg("outcome").alias("win_rate"), F.avg("price").alias("mean_price"), F.sum("pnl").alias("pnl"))
     return g.withColumn("edge", F.col("win_rate") - F.col("mean_price"))
 
 

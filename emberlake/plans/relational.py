@@ -56,20 +56,53 @@ def q22_market_ends(spark, sf):
     return table(spark, sf, "part").select(k.alias("k"), mk.window_end(k % 3 != 0, ct, rt, st).alias("window_end"), mk.scheduled_end(es, rt, gs, st).alias("scheduled_end"))
 
 
-@query("""WITH p AS (SELECT *, regexp_replace(lower(p_name), '[0-9]+', '#', 'g') AS template FROM part), t AS (SELECT template, count(*) AS n FROM p GROUP BY template),
-x AS (SELECT p_partkey, coalesce(n >= 1000, false) OR coalesce(regexp_matches('www.' || CASE WHEN p_size % 10 = 0 THEN 'Binance' ELSE 'news' END || '.com', '(?i)(binance|coinbase|chain\\.link|espn|nba|nfl|mlb)\\.'), false) OR coalesce(CASE WHEN p_size % 7 = 0 THEN 'totals' END IN ('moneyline', 'spreads', 'totals'), false) AS hostile,
- coalesce(p_size % 2 = 0, false) AND p_size > 40 OR coalesce(p_size * 200 > 0 AND p_size * 200 <= 3600, false) AS frozen FROM p JOIN t USING (template))
-SELECT hostile, frozen, count(*) AS n FROM x GROUP BY ALL""".replace("\\\\.", "\\."))
-def q23_hostile_rules(spark, sf):
+#: Words and sources of the exclusion rules, put into the stand-in data, with what stands next to them.
+_SAYS = ("Bitcoin up", "an ethical whether", "ETH at 3", "a token", "A vs. B", "Evs or", "NBA final", "Election day", "set 2 of it", "nothing")
+_SOURCES = ("https://www.Binance.com/x", "https://binance.community", "https://data.chain.link/", "https://www.hltv.org/m", "https://espn.com")
+_KINDS = ("team_totals", "cs2_odd_even_total_rounds", "moneyline")
+
+
+def _pick(values, k):
+    return F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+
+
+_sql_pick = lambda values, k: "[" + ", ".join(f"'{v}'" for v in values) + f"][{k} % {len(values)} + 1]"
+_RULES = f"""WITH p AS (SELECT *, regexp_replace(lower(p_name), '[0-9]+', '#', 'g') AS template, {_sql_pick(_SAYS, "p_partkey")} AS says, CASE WHEN p_size % 4 = 0 THEN {_sql_pick(_SOURCES, "p_size // 4")} END AS src,
+ CASE WHEN p_size % 5 = 0 THEN {_sql_pick(_KINDS, "p_size // 5")} END AS sport, CASE WHEN p_size % 3 = 0 THEN 'True' WHEN p_size % 3 = 1 THEN 'no' END AS fees FROM part), t AS (SELECT template, count(*) AS n FROM p GROUP BY template),
+x AS (SELECT p_partkey AS market_id, lower(says) AS q, coalesce(n >= 1000, false) OR coalesce(regexp_matches(lower(src), 'data\\.chain\\.link|binance\\.com|dotabuff\\.com|gol\\.gg|hltv\\.org'), false)
+ OR coalesce(sport IN ('kill_over_under_game', 'team_totals', 'tennis_first_set_totals', 'cs2_odd_even_total_rounds', 'soccer_anytime_goalscorer'), false) OR regexp_matches(lower(says), 'bitcoin|btc|\\beth\\b|ethereum|crypto|solana|dogecoin|token') AS hostile,
+ coalesce(lower(fees) IN ('true', '1'), false) OR coalesce(regexp_matches(lower(src), 'data\\.chain\\.link|binance\\.com|dotabuff\\.com|gol\\.gg'), false) OR coalesce(sport IN ('kill_over_under_game', 'team_totals', 'tennis_first_set_totals'), false)
+ OR coalesce(p_size * 200 - 400 > 0 AND p_size * 200 - 400 <= 3600, false) AS frozen FROM p JOIN t USING (template))""".replace("\\\\", "\\")
+
+
+def _ruled(spark, sf):
     p = table(spark, sf, "part").withColumns({"question": F.col("p_name"), "template": F.regexp_replace(F.lower("p_name"), "[0-9]+", "#")})
-    s = F.col("p_size")
-    source = F.concat(F.lit("www."), F.when(s % 10 == 0, "Binance").otherwise("news"), F.lit(".com"))
-    sports = F.when(s % 7 == 0, "totals")
-    none = F.lit(None).cast("string")
-    x = p.join(mk.template_sizes(p), "template").select(
-        mk.is_hostile(F.col("template_size"), source, sports, none).alias("hostile"), mk.is_hostile_frozen((s % 2 == 0) & (s > 40), none, none, s * 200).alias("frozen")
-    )
-    return x.groupBy("hostile", "frozen").agg(F.count("*").alias("n"))
+    s, says = F.col("p_size"), _pick(_SAYS, F.col("p_partkey"))
+    source = F.when(s % 4 == 0, _pick(_SOURCES, F.floor(s / 4)))
+    sport = F.when(s % 5 == 0, _pick(_KINDS, F.floor(s / 5)))
+    fees = F.when(s % 3 == 0, "True").when(s % 3 == 1, "no")
+    return p.join(mk.template_sizes(p), "template").select(
+        F.col("p_partkey").alias("market_id"), mk.is_hostile(F.col("template_size"), source, sport, says).alias("hostile"), mk.is_hostile_frozen(fees, source, sport, s * 200 - 400).alias("frozen"), mk.topic(says).alias("topic")
+    )
+
+
+@query(f"{_RULES} SELECT market_id, hostile, frozen FROM x")
+def q23_hostile_rules(spark, sf):
+    return _ruled(spark, sf).select("market_id", "hostile", "frozen")
+
+
+@query(f"""{_RULES} SELECT count(*) AS markets, count(*) FILTER (hostile) AS hostile, round(count(*) FILTER (hostile) / count(*), 6) AS share, count(*) FILTER (hostile) / count(*) > 0.8 AS warn FROM x""")
+def q23b_rule_coverage(spark, sf):
+    return mk.rule_coverage(_ruled(spark, sf), "hostile").select("markets", "hostile", *r6(share="share"), "warn")
+
+
+_TOPIC = """CASE WHEN regexp_matches(q, 'election|president|senate|congress|minister|approval') THEN 'politics' WHEN regexp_matches(q, '\\bvs\\.?\\b|game|match|nba|nfl|nhl|mlb|o/u|goalscorer|set \\d') THEN 'sports'
+ WHEN regexp_matches(q, 'bitcoin|btc|\\beth\\b|ethereum|crypto|solana|dogecoin|token') THEN 'crypto' ELSE 'other' END"""
+
+
+@query(f"{_RULES} SELECT {_TOPIC} AS topic, frozen AS hostile, count(*) AS markets FROM x GROUP BY ALL")
+def q47c_topic_hostile(spark, sf):
+    return _ruled(spark, sf).groupBy("topic", F.col("frozen").alias("hostile")).agg(F.count("*").alias("markets"))
 
 
 @query(f"""WITH {MARKETS}, g AS (SELECT market_id, coalesce(bool_or(outcome = 1), false) AS won, count(outcome) AS known, count(*) AS n, coalesce(bool_and(abs(outcome - 0.5) < 1e-9), false) AS half FROM markets GROUP BY market_id)
@@ -207,9 +240,9 @@ def q47_topic_coverage(spark, sf):
     return features.topic_flags(table(spark, sf, "documents"), _TOPICS).select("topic", "hits", "n", *r6(coverage="coverage"))
 
 
-@query("""SELECT p_partkey, CASE WHEN regexp_matches(q, 'elect|president|senate') THEN 'politics' WHEN regexp_matches(q, 'game|match|vs') THEN 'sports' WHEN regexp_matches(q, 'bitcoin|crypto|eth') THEN 'crypto' ELSE 'other' END AS topic FROM (SELECT p_partkey, lower(p_name || ' ' || p_type) AS q FROM part)""")
+@query(f"""SELECT p_partkey, {_TOPIC} AS topic FROM (SELECT p_partkey, lower({_sql_pick(_SAYS, "p_partkey")} || ' ' || p_name) AS q FROM part)""")
 def q47b_coarse_topic(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", mk.topic(F.concat_ws(" ", "p_name", "p_type")).alias("topic"))
+    return table(spark, sf, "part").select("p_partkey", mk.topic(F.concat_ws(" ", _pick(_SAYS, F.col("p_partkey")), "p_name")).alias("topic"))
 
 
 @query(f"""WITH {TRADES}, {MARKETS} SELECT wallet, brand AS entity, round(ln(1 + sum(abs(usdc))), 6) AS weight FROM trades JOIN markets USING (contract_id) GROUP BY ALL""")

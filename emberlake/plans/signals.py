@@ -18,14 +18,14 @@ def _scored(spark, sf):
     return ticks(spark, sf).withColumn("score", ((F.col("wallet") % 11) / 100.0).cast("double"))
 
 
-@query(f"""{_W} SELECT id, contract, round(sum({_SCORE} * usdc * side) OVER w / nullif(sum(usdc) OVER w, 0), 6) AS signal FROM ticks WINDOW w AS (PARTITION BY contract ORDER BY ts, id ROWS UNBOUNDED PRECEDING)""")
+@query(f"""{_W} SELECT id, contract, round(sum({_SCORE} * usdc * side * CASE WHEN id % 5 <> 0 THEN 1 ELSE -1 END) OVER w / nullif(sum(usdc) OVER w, 0), 6) AS signal FROM ticks WINDOW w AS (PARTITION BY contract ORDER BY ts, id ROWS UNBOUNDED PRECEDING)""")
 def q13_signal_weight(spark, sf):
-    return signals.weight(_scored(spark, sf)).select("id", "contract", *r6(signal="signal"))
+    return signals.weight(_scored(spark, sf).withColumn("is_yes", F.col("id") % 5 != 0)).select("id", "contract", *r6(signal="signal"))
 
 
 @query(f"""{_W}, x AS (SELECT *, usdc * (1 + least(2 * ln(1 + 100 * {_SCORE}), 10e0)) * side AS add, row_number() OVER w AS n, ts - lag(ts) OVER w AS g FROM ticks WHERE usdc >= 1 WINDOW w AS (PARTITION BY contract ORDER BY ts, id)),
 y AS (SELECT *, sum(CASE WHEN g > 1 THEN g ELSE 0 END) OVER (PARTITION BY contract ORDER BY n) AS clock FROM x)
-SELECT a.id, a.contract, round(sum(b.add * pow(0.95e0, (a.clock - b.clock) / 60e0)), 4) AS signal FROM y a JOIN y b ON a.contract = b.contract AND b.n <= a.n AND a.clock - b.clock <= 32400 GROUP BY ALL""")
+SELECT a.id, a.contract, round(sum(b.add * pow(0.95e0, (a.clock - b.clock) / 60e0)), 4) AS signal FROM y a JOIN y b ON a.contract = b.contract AND b.n <= a.n GROUP BY ALL""")
 def q14_signal_decay(spark, sf):
     return signals.decayed(_scored(spark, sf)).select("id", "contract", F.round("signal", 4).alias("signal"))
 
@@ -58,22 +58,25 @@ def q18_stable_buckets(spark, sf):
     return signals.stable_buckets(x).select("bucket", "bets", "markets", *r6(mean_price="mean_price", win_rate="win_rate", edge="edge"))
 
 
-@query(f"""{_W}, x AS (SELECT CAST(least(floor(((id % 97) / 97e0) * 10), 9) AS INTEGER) AS life, CAST(least(floor(price * 8), 7) AS INTEGER) AS bucket, price, (id % 2)::DOUBLE AS outcome, usdc * side AS pnl FROM ticks)
-SELECT life, bucket, count(*) AS n, round(avg(outcome), 6) AS win_rate, round(avg(price), 6) AS mean_price, round(sum(pnl), 4) AS pnl, round(avg(outcome) - avg(price), 6) AS edge FROM x GROUP BY CUBE (life, bucket)""")
+@query(f"""{_W}, b AS (SELECT *, ts - (id % 97) * 1000 AS st, CASE WHEN id % 11 <> 0 THEN ts + (id % 31) * 2000 - 10000 END AS en FROM ticks),
+x AS (SELECT CASE WHEN en - st > 0 THEN CAST(least(floor(greatest(0e0, least(1e0, (ts - st) / nullif(en - st, 0))) * 10), 9) AS INTEGER) ELSE 10 END AS life, CAST(least(floor(price / 0.05::DOUBLE), 7) AS INTEGER) AS bucket, price, (id % 2)::DOUBLE AS outcome, usdc * side AS pnl FROM b)
+SELECT life, bucket, CAST(GROUPING(life, bucket) AS INTEGER) AS margin, count(*) AS n, round(avg(outcome), 6) AS win_rate, round(avg(price), 6) AS mean_price, round(sum(pnl), 4) AS pnl, round(avg(outcome) - avg(price), 6) AS edge FROM x GROUP BY CUBE (life, bucket)""")
 def q19_life_price_grid(spark, sf):
-    x = ticks(spark, sf).select(((F.col("id") % 97) / F.lit(97.0)).alias("life_share"), "price", (F.col("id") % 2).cast("double").alias("outcome"), (F.col("usdc") * F.col("side")).alias("pnl"))
-    return signals.life_price_grid(x).select("life", "bucket", "n", *r6(win_rate="win_rate", mean_price="mean_price", edge="edge"), F.round("pnl", 4).alias("pnl"))
+    i, t = F.col("id"), F.col("ts")
+    end = F.when(i % 11 != 0, t + (i % 31) * 2000 - 10000)
+    x = ticks(spark, sf).select("ts", (t - (i % 97) * 1000).alias("start"), end.alias("end"), "price", (i % 2).cast("double").alias("outcome"), (F.col("usdc") * F.col("side")).alias("pnl"))
+    return signals.life_price_grid(x).select("life", "bucket", "margin", "n", *r6(win_rate="win_rate", mean_price="mean_price", edge="edge"), F.round("pnl", 4).alias("pnl"))
 
 
-@query(f"""{_W}, x AS (SELECT id, price, usdc * side * 20 AS w, (id % 30)::DOUBLE AS days FROM ticks)
+@query(f"""{_W}, x0 AS (SELECT id, price, usdc * side * 20 AS w, (id % 30)::DOUBLE AS days, id % 3 = 1 AS yes FROM ticks), x AS (SELECT *, greatest(-6e0, least(6e0, w / 4000 / sqrt(2e0))) AS x, CASE WHEN (w > 0) = yes THEN price ELSE 1 - price END AS p FROM x0)
 SELECT id, round(0.5 + 0.49 * tanh(w / 5000) - price, 6) AS edge_tanh,
- round(greatest(0.01e0, least(0.99e0, 0.5 + (1 / (1 + exp(-(1.5976 * (w / 4000) + 0.070565992 * (w / 4000) * (w / 4000) * (w / 4000)))) - 0.5) * exp(-0.01 * days))) - price, 6) AS edge_normal,
- ((1 - CASE WHEN w > 0 THEN price ELSE 1 - price END) / nullif(CASE WHEN w > 0 THEN price ELSE 1 - price END, 0)) * 365 / greatest(days, 1e0) > 5 AS gate,
- round(greatest(-0.1e0, least(0.1e0, 0.02 - 0.01 * ln(greatest(abs(w), 1e0)))), 6) AS fallback FROM x""")
+ round(greatest(0.01e0, least(0.99e0, 0.5 + 0.5 * exp(-x * x) * list_sum([pow(x, 2 * n + 1) / gamma(n + 1.5) FOR n IN range(0, 140)]) * exp(-0.01 * days))) - price, 6) AS edge_normal,
+ price > 0.05 AND price < 0.95 AND (coalesce((1 - p) / nullif(p, 0) * (365 / nullif(days, 0)) > 5, false) OR days <= 0) AS gate,
+ round(greatest(-0.1e0, least(0.1e0, 0.02 - 0.01 * ln(greatest(abs(w), 1e0)))), 6) AS fallback, round(greatest(0.1e0, least(0.35e0, 0.3 - 0.02 * ln(greatest(abs(w), 1e0)))), 6) AS fallback_brier FROM x""")
 def q19b_edges(spark, sf):
     x = ticks(spark, sf).select("id", "price", (F.col("usdc") * F.col("side") * 20).alias("w"), (F.col("id") % 30).cast("double").alias("days"))
     w, p, d = F.col("w"), F.col("price"), F.col("days")
-    return x.select("id", *r6(edge_tanh=signals.edge_tanh(w, p), edge_normal=signals.edge_normal(w, p, d, 2000.0), fallback=signals.fallback_score(F.abs(w), -0.01, 0.02)), signals.roi_gate(p, w, d).alias("gate"))
+    return x.select("id", *r6(edge_tanh=signals.edge_tanh(w, p), edge_normal=signals.edge_normal(w, p, d, 2000.0), fallback=signals.fallback_score(F.abs(w), -0.01, 0.02), fallback_brier=signals.fallback_score(F.abs(w), -0.02, 0.3, 0.10, 0.35)), signals.roi_gate(p, w, d, F.col("id") % 3 == 1).alias("gate"))
 
 
 @query(f"""{_W}, s AS (SELECT id, contract, ts, sum(usdc * side) OVER (PARTITION BY contract ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS signal FROM ticks),
@@ -140,13 +143,17 @@ def q55_variance_fit(spark, sf):
 
 def q55b_bayes_wager(spark, sf):
     t = ticks(spark, sf).select("id", "ts", "wallet", F.col("usdc").alias("invest"), "price", (F.col("side") > 0).alias("yes"))
-    return bayes.wager(t).select("id", "wallet", *r6(fraction="fraction", p_true="p_true"))
+    back = t.where("id % 3 <> 0").select((F.col("ts") + 86400 * (1 + F.col("id") % 4)).alias("ts"), "wallet", F.when(F.col("id") % 10 == 1, 2 * F.col("invest")).otherwise(F.col("invest")).alias("invest"))
+    return bayes.wager(t, back).select("id", "wallet", *r6(fraction="fraction", p_true="p_true"))
 
 
-query(f"""{_W}, x AS (SELECT *, CAST(floor(ts / 86400) AS BIGINT) AS day FROM ticks), e AS (SELECT *, sum(usdc) OVER (PARTITION BY wallet, day ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS ex FROM x),
-p AS (SELECT *, max(ex) OVER w AS peak, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY wallet ORDER BY ts, id ROWS UNBOUNDED PRECEDING)),
-a AS (SELECT day + 1 AS day, avg(peak) AS ap FROM (SELECT wallet, day, max(peak) AS peak FROM p GROUP BY ALL) GROUP BY 1),
-f AS (SELECT p.*, least(1e0, usdc / greatest(usdc, peak, (n * peak + 5 * coalesce(ap, peak)) / (n + 5))) AS f FROM p LEFT JOIN a USING (day))
+query(f"""{_W}, u AS (SELECT id, ts, wallet, usdc AS i, price, side, 1 AS kind FROM ticks UNION ALL SELECT NULL, ts + 86400 * (1 + id % 4), wallet, -CASE WHEN id % 10 = 1 THEN 2 * usdc ELSE usdc END, NULL, NULL, 0 FROM ticks WHERE id % 3 <> 0),
+s AS (SELECT *, sum(i) OVER w AS s FROM u WINDOW w AS (PARTITION BY wallet ORDER BY ts, kind, id ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, s - least(0e0, min(s) OVER w) AS ex FROM s WINDOW w AS (PARTITION BY wallet ORDER BY ts, kind, id ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, max(ex) OVER w AS peak, row_number() OVER w AS n FROM e WHERE kind = 1 WINDOW w AS (PARTITION BY wallet ORDER BY ts, id ROWS UNBOUNDED PRECEDING)),
+o AS (SELECT *, coalesce(lag(peak) OVER (PARTITION BY wallet ORDER BY ts, id), 0e0) AS old FROM p),
+g AS (SELECT *, (sum(peak - old) OVER w - (peak - old) - old) / sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) OVER w AS m FROM o WINDOW w AS (ORDER BY ts, id ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, least(1e0, i / greatest(i, peak, (n * peak + 5 * m) / (n + 5))) AS f FROM g)
 SELECT id, wallet, round(f, 6) AS fraction, round(greatest(0.001e0, least(0.999e0, CASE WHEN side > 0 THEN price + f * (1 - price) ELSE price - f * price END)), 6) AS p_true FROM f""")(q55b_bayes_wager)
 
 
@@ -162,23 +169,27 @@ def q55c_bayes_resolve(spark, sf):
 _PATH = {"h1": 3600, "h6": 21600, "h24": 86400}
 
 
-@query(f"""{_W} SELECT id, {', '.join(f'round(price - last_value(price) OVER (PARTITION BY contract ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND {s} PRECEDING), 6) AS {n}' for n, s in _PATH.items())},
-round(max(price) OVER (PARTITION BY contract ORDER BY ts RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) - price, 6) AS down24
-FROM (SELECT *, count(*) OVER (PARTITION BY contract, ts) AS same FROM ticks) WHERE same = 1""")
+@query(f"""{_W}, l AS (SELECT contract, ts, arg_max(price, id) AS price FROM ticks GROUP BY ALL)
+SELECT id, {', '.join(f'round(t.price - (SELECT arg_max(l.price, l.ts) FROM l WHERE l.contract = t.contract AND l.ts <= t.ts - {s}), 6) AS {n}' for n, s in _PATH.items())},
+round((SELECT max(m.price) FROM ticks m WHERE m.contract = t.contract AND m.ts BETWEEN t.ts - 86400 AND t.ts) - t.price, 6) AS down24 FROM ticks t""")
 def q33_q34_path_features(spark, sf):
-    t = ticks(spark, sf).withColumn("same", F.count("*").over(Window.partitionBy("contract", "ts"))).where("same = 1")
+    """Of several rows at a time the one with the largest id stands for it, in the look back; every row gets its features."""
     by = Window.partitionBy("contract").orderBy("ts")
-    back = {n: F.col("price") - F.last("price").over(by.rangeBetween(Window.unboundedPreceding, -s)) for n, s in _PATH.items()}
-    return t.select("id", *r6(**back, down24=F.max("price").over(by.rangeBetween(-86400, 0)) - F.col("price")))
+    last = F.max(F.struct("ts", "id", "price"))
+    back = {n: F.col("price") - last.over(by.rangeBetween(Window.unboundedPreceding, -s))["price"] for n, s in _PATH.items()}
+    return ticks(spark, sf).select("id", *r6(**back, down24=F.max("price").over(by.rangeBetween(-86400, 0)) - F.col("price")))
 
 
-@query(f"""{_W}, o AS (SELECT * FROM ticks WHERE id % 5 = 0), j AS (SELECT o.id AS order_id, o.usdc AS wanted, f.* FROM o JOIN ticks f ON f.contract = o.contract AND f.ts BETWEEN o.ts AND o.ts + 300 AND f.id <> o.id AND f.side = -o.side
-  AND CASE WHEN o.side > 0 THEN f.price <= o.price ELSE f.price >= o.price END),
-t AS (SELECT *, greatest(0e0, least(usdc * 0.5, wanted - coalesce(sum(usdc * 0.5) OVER (PARTITION BY order_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))) AS took FROM j)
-SELECT order_id, round(sum(took), 4) AS filled, round(sum(took * price) / nullif(sum(took), 0), 6) AS price, count(CASE WHEN took > 0 THEN 1 END) AS fills FROM t GROUP BY order_id""")
+@query(f"""{_W}, o AS (SELECT * FROM ticks), j AS (SELECT o.id AS order_id, o.side AS os, o.usdc AS wanted, f.*, CASE WHEN o.side > 0 THEN f.price ELSE 1 - f.price END AS each FROM o JOIN ticks f ON f.contract = o.contract AND f.ts BETWEEN o.ts AND o.ts + 300 AND f.id <> o.id AND f.side = -o.side
+  AND CASE WHEN o.side > 0 THEN f.price <= o.price ELSE f.price >= o.price END AND f.price > 0.001 AND f.price < 0.999),
+t AS (SELECT *, coalesce(sum(usdc / price * 0.5 * each) OVER (PARTITION BY order_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before FROM j),
+k AS (SELECT *, least(usdc / price * 0.5 * each, wanted - before) AS took FROM t WHERE before < wanted * 0.999),
+g AS (SELECT order_id, os, sum(took) AS filled, sum(took / each) AS shares, count(*) AS fills FROM k WHERE took / each > 1e-6 GROUP BY ALL)
+SELECT order_id, round(filled, 4) AS filled, round(CASE WHEN os > 0 THEN filled / shares ELSE 1 - filled / shares END, 6) AS price, fills FROM g""")
 def q35_match_flow(spark, sf):
+    """Every tick as an order against the ticks of its contract."""
     t = ticks(spark, sf)
-    return execution.match_flow(t.where("id % 5 = 0"), t).select("order_id", F.round("filled", 4).alias("filled"), F.round("price", 6).alias("price"), "fills")
+    return execution.match_flow(t, t).select("order_id", F.round("filled", 4).alias("filled"), F.round("price", 6).alias("price"), "fills")
 
 
 _WALK = """, w AS (SELECT *, greatest(0e0, least(price * size, 500 - coalesce(sum(price * size) OVER (PARTITION BY contract ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))) AS spent FROM l)
@@ -195,16 +206,22 @@ def q36_vwap_walk(spark, sf):
     return g.select("contract", F.round("spent", 4).alias("spent"), F.round("quantity", 4).alias("quantity"), *r6(worst="worst", vwap="vwap"))
 
 
-@query(f"{_W}, l0 AS (SELECT contract, price, sum(usdc) / 50 AS size FROM ticks GROUP BY ALL), l AS (SELECT * FROM (SELECT *, min(price) OVER (PARTITION BY contract) AS best FROM l0) WHERE price <= best * 3){_WALK}")
+@query(f"""{_W}, l0 AS (SELECT contract, price, sum(usdc) / 50 AS size FROM ticks GROUP BY ALL), l AS (SELECT *, 0.02 AS signal, 0.009 AS bid, min(price) OVER (PARTITION BY contract) AS ask FROM l0),
+w AS (SELECT *, greatest(0e0, least(price * size, 500 - coalesce(sum(price * size) OVER (PARTITION BY contract ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))) AS spent FROM l),
+m AS (SELECT *, sum(spent) OVER v / sum(spent / price) OVER v AS mean FROM w WHERE spent > 0 WINDOW v AS (PARTITION BY contract ORDER BY price ROWS UNBOUNDED PRECEDING))
+SELECT contract, round(sum(spent), 4) AS spent, round(sum(spent / price), 4) AS quantity, round(max(price), 6) AS worst, round(sum(spent) / nullif(sum(spent / price), 0), 6) AS vwap
+FROM m WHERE NOT ((mean - signal) / signal + (ask - bid) / ask > 0.6 AND mean - signal > 0.005) GROUP BY contract""")
 def q36b_sweep_limit(spark, sf):
-    g = execution.sweep_limit(_levels(spark, sf).withColumn("size", F.col("size") / 50), 500.0, 2.0, "contract")
+    l = _levels(spark, sf).withColumns({"size": F.col("size") / 50, "signal": F.lit(0.02), "best_bid": F.lit(0.009)})
+    g = execution.sweep_limit(l, 500.0, 0.6, 0.005, "contract")
     return g.select("contract", F.round("spent", 4).alias("spent"), F.round("quantity", 4).alias("quantity"), *r6(worst="worst", vwap="vwap"))
 
 
-@query(f"""{_W}, x AS (SELECT *, greatest(0.005e0, 0.05 / (1 + ln(1 + usdc))) AS s FROM ticks)
-SELECT id, round(greatest(0.01e0, price - s / 2), 6) AS bid, round(least(0.99e0, price + s / 2), 6) AS ask, round(usdc * CASE WHEN side > 0 THEN 1.5e0 ELSE 0.5e0 END, 4) AS depth FROM x""")
+@query(f"""{_W}, x AS (SELECT *, least(0.2e0, 0.01 + 20000 / (greatest(1000e0, usdc * 50) + 1000) * 0.0025) AS s FROM ticks),
+y AS (SELECT *, greatest(0e0, CASE WHEN side < 0 THEN price - s ELSE price END) AS b, least(1e0, CASE WHEN side < 0 THEN price ELSE price + s END) AS a FROM x)
+SELECT id, round(b, 6) AS bid, round(CASE WHEN b > a THEN least(1e0, b + 0.001) ELSE a END, 6) AS ask, round(greatest(100e0, usdc / price * 2), 4) AS depth FROM y""")
 def q37_synth_quotes(spark, sf):
-    return execution.synth_quotes(ticks(spark, sf)).select("id", *r6(bid="bid", ask="ask"), F.round("depth", 4).alias("depth"))
+    return execution.synth_quotes(ticks(spark, sf).withColumn("size", F.col("usdc") / F.col("price"))).select("id", "bid", "ask", "depth")
 
 
 @query("""WITH m AS (SELECT event_id AS seq, event_type AS token, CASE WHEN event_id % 1000 = 1 THEN 'book' ELSE 'delta' END AS kind, CASE WHEN event_id % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, round((event_id % 40) / 100e0, 2) AS price,
@@ -226,14 +243,22 @@ def q39_average_cost(spark, sf):
     return execution.average_cost(ticks(spark, sf)).select("id", "wallet", "contract", F.round("qty", 4).alias("qty"), *r6(avg_cost="avg_cost"))
 
 
-@query()
+@query(f"""{_W.replace("WITH", "WITH RECURSIVE", 1)}, f AS (SELECT wallet, contract, side, usdc / price AS q, price AS p, row_number() OVER (PARTITION BY wallet, contract ORDER BY ts, id) AS n, count(*) OVER (PARTITION BY wallet, contract) AS last FROM ticks),
+r AS (SELECT wallet, contract, 0::BIGINT AS n, 0e0 AS qty, 0e0 AS cost, 0e0 AS gained FROM f WHERE n = 1 UNION ALL
+ SELECT r.wallet, r.contract, f.n, CASE WHEN f.side > 0 THEN r.qty + f.q ELSE r.qty - least(f.q, r.qty) END, CASE WHEN f.side > 0 THEN r.cost + f.q * f.p WHEN r.qty > 0 THEN r.cost - least(f.q, r.qty) * r.cost / r.qty ELSE r.cost END,
+  CASE WHEN f.side < 0 AND r.qty > 0 THEN r.gained + least(f.q, r.qty) * (f.p - r.cost / r.qty) ELSE r.gained END FROM r JOIN f ON f.wallet = r.wallet AND f.contract = r.contract AND f.n = r.n + 1)
+SELECT r.wallet, r.contract, round(qty, 4) AS qty, round(CASE WHEN qty > 1e-9 THEN cost / qty ELSE 0e0 END, 4) AS avg_cost, round(gained, 4) AS realised FROM r JOIN f ON f.wallet = r.wallet AND f.contract = r.contract AND f.n = r.n AND f.n = f.last""")
 def q39b_positions_with_sales(spark, sf):
-    return execution.positions_with_sales(ticks(spark, sf).select("wallet", "contract", "ts", "id", "side", (F.col("usdc") / F.col("price")).alias("qty"), "price"))
+    g = execution.positions_with_sales(ticks(spark, sf).select("wallet", "contract", "ts", "id", "side", (F.col("usdc") / F.col("price")).alias("qty"), "price"))
+    return g.select("wallet", "contract", *(F.round(c, 4).alias(c) for c in ("qty", "avg_cost", "realised")))
 
 
-@query()
+@query(f"""{_W.replace("WITH", "WITH RECURSIVE", 1)}, m AS (SELECT id, contract, usdc, abs(price - lag(price) OVER w) AS d, row_number() OVER w AS n FROM ticks WINDOW w AS (PARTITION BY contract ORDER BY ts, id)),
+r AS (SELECT contract, 0::BIGINT AS n, NULL::BIGINT AS id, 10000e0 AS l FROM m WHERE n = 1 UNION ALL
+ SELECT r.contract, m.n, m.id, CASE WHEN m.d > 0.005 AND m.usdc > 10 THEN 0.9e0 * r.l + 0.1e0 * 0.5e0 * m.usdc / m.d ELSE r.l END FROM r JOIN m ON m.contract = r.contract AND m.n = r.n + 1)
+SELECT contract, id, round(l, 4) AS liquidity FROM r WHERE id IS NOT NULL""")
 def q39c_implied_liquidity(spark, sf):
-    return execution.implied_liquidity(ticks(spark, sf))
+    return execution.implied_liquidity(ticks(spark, sf)).select("contract", "id", F.round("liquidity", 4).alias("liquidity"))
 
 
 _EQ = f"""{_W}, d AS (SELECT contract AS key, CAST(floor(ts / 86400) AS BIGINT) AS day, sum(usdc * side * (price - 0.33)) AS pnl FROM ticks GROUP BY ALL),
@@ -252,8 +277,12 @@ def q40_daily_equity(spark, sf):
     return _equity(spark, sf).select("key", "day", F.round("equity", 4).alias("equity"), *r6(drawdown="drawdown", ret="ret"))
 
 
-@query(f"""{_EQ}, g AS (SELECT key, count(*) AS days, avg(ret) AS m, stddev_samp(ret) AS sd, sqrt(avg(pow(least(ret, 0e0), 2))) AS dn, max(drawdown) AS mdd, arg_max(equity, day) AS l, arg_min(equity - pnl, day) AS f,
-  sum(greatest(pnl, 0e0)) AS won, sum(least(pnl, 0e0)) AS lost, avg(pnl) AS ex FROM q GROUP BY key), h AS (SELECT *, pow(greatest(l / nullif(f, 0), 1e-9), 365e0 / days) - 1 AS cagr FROM g)
+@query(f"""{_EQ}, c AS (SELECT key, unnest(range(min(day), max(day) + 1)) AS day FROM q GROUP BY key),
+filled AS (SELECT c.key, c.day, last_value(equity IGNORE NULLS) OVER (PARTITION BY c.key ORDER BY c.day ROWS UNBOUNDED PRECEDING) AS equity FROM c LEFT JOIN q ON q.key = c.key AND q.day = c.day),
+r AS (SELECT *, equity / nullif(lag(equity) OVER w, 0) - 1 AS ret, max(equity) OVER w AS peak FROM filled WINDOW w AS (PARTITION BY key ORDER BY day ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT key, max(day) - min(day) AS days, avg(ret) AS m, stddev_samp(ret) AS sd, stddev_samp(CASE WHEN ret < 0 THEN ret END) AS dn, max((peak - equity) / nullif(peak, 0)) AS mdd, arg_max(equity, day) AS l FROM r GROUP BY key),
+p AS (SELECT key, sum(greatest(pnl, 0e0)) AS won, sum(least(pnl, 0e0)) AS lost, avg(pnl) AS ex FROM q GROUP BY key),
+h AS (SELECT *, CASE WHEN days > 0 THEN pow(greatest(l / 10000, 0e0), 365e0 / days) - 1 END AS cagr FROM g JOIN p USING (key))
 SELECT key, days, round(sqrt(365) * m / nullif(sd, 0), 5) AS sharpe, round(sqrt(365) * m / nullif(dn, 0), 5) AS sortino, round(cagr / nullif(mdd, 0), 4) AS calmar, round(cagr, 5) AS cagr, round(mdd, 6) AS max_drawdown, round(won / nullif(-lost, 0), 6) AS profit_factor, round(ex, 5) AS expectancy FROM h""")
 def q41_metrics(spark, sf):
     g = performance.metrics(_equity(spark, sf))
@@ -266,9 +295,9 @@ def q42_underwater(spark, sf):
     return performance.longest_underwater(_equity(spark, sf))
 
 
-@query(f"{_EQ} SELECT key, min(day) AS halt_day FROM q WHERE drawdown > 0.05 GROUP BY key")
+@query(f"{_EQ} SELECT key, min(day) AS halt_day FROM q WHERE drawdown > 0.0005 GROUP BY key")
 def q42b_halt(spark, sf):
-    return performance.halted(_equity(spark, sf), 0.05)
+    return performance.halted(_equity(spark, sf), 0.0005)
 
 
 _FOLDS = performance.folds(19723, 19753, 10, 2, 5)
@@ -336,14 +365,17 @@ def q58_covariance(spark, sf):
     return features.covariance(ticks(spark, sf), ["usdc", "price", "side"]).select("a", "b", F.round("cov", 5).alias("cov"))
 
 
-@query(f"""{_W}, x AS (SELECT id, price AS m, greatest(0.01, price - 0.1) AS lo, least(0.99, price + 0.1) AS hi, 0.05 + (id % 20) / 100e0 AS br FROM ticks),
-y AS (SELECT *, greatest(m * (1 - m) / greatest(pow((hi - lo) / (2 * 1.96), 2), 1e-9) - 1, 1e-6) AS n1, greatest(m * (1 - m) / greatest(br, 1e-6) - 1, 1e-6) AS n2 FROM x),
-z AS (SELECT id, greatest(1 + (m * n1 - 1) + (m * n2 - 1), 1e-3) AS a, greatest(1 + ((1 - m) * n1 - 1) + ((1 - m) * n2 - 1), 1e-3) AS b FROM y)
-SELECT id, round(a / (a + b), 6) AS mean, round(a * b / ((a + b) * (a + b) * (a + b + 1)), 6) AS variance FROM z""")
+@query(f"""{_W}, x AS (SELECT id, CASE WHEN id % 50 = 0 THEN 1e0 WHEN id % 50 = 1 THEN 0e0 ELSE price END AS m, greatest(0::DOUBLE, price - 0.1) AS lo, least(1::DOUBLE, price + CASE WHEN id % 7 = 0 THEN 0.9 ELSE 0.1 END) AS hi, 0.05 + (id % 20) / 100e0 AS br, price AS m2 FROM ticks),
+w AS (SELECT *, pow((hi - lo) / 4, 2) AS v, NOT (lo >= 0 AND lo <= m AND m <= hi AND hi <= 1) OR hi = lo OR m * (1 - m) < pow((hi - lo) / 4, 2) AS weak FROM x),
+n AS (SELECT *, CASE WHEN m * (1 - m) / nullif(v, 0) - 1 <= 0 THEN 1e-6 ELSE m * (1 - m) / nullif(v, 0) - 1 END AS n1, greatest(m2 * (1 - m2) / greatest(br, 1e-6) - 1, 1e-6) AS n2 FROM w),
+y AS (SELECT *, CASE WHEN m = 0 THEN 1e0 WHEN m = 1 THEN 'inf'::DOUBLE WHEN weak THEN 1e0 ELSE m * n1 END AS a1, CASE WHEN m = 0 THEN 'inf'::DOUBLE WHEN m = 1 THEN 1e0 WHEN weak THEN 1e0 ELSE (1 - m) * n1 END AS b1 FROM n),
+z AS (SELECT id, greatest(1 + (a1 - 1) + (m2 * n2 - 1), 1e-3) AS a, greatest(1 + (b1 - 1) + ((1 - m2) * n2 - 1), 1e-3) AS b FROM y)
+SELECT id, round(CASE WHEN isinf(a) THEN 1e0 WHEN isinf(b) THEN 0e0 ELSE a / (a + b) END, 6) AS mean, round(CASE WHEN isinf(a) OR isinf(b) THEN 0e0 ELSE a * b / ((a + b) * (a + b) * (a + b + 1)) END, 6) AS variance FROM z""")
 def q59_beta_fusion(spark, sf):
-    m = F.col("price")
-    one = features.beta_from_interval(m, F.greatest(F.lit(0.01), m - 0.1), F.least(F.lit(0.99), m + 0.1))
-    two = features.beta_from_brier(m, F.lit(0.05) + (F.col("id") % 20) / 100.0)
+    i, p = F.col("id"), F.col("price")
+    m = F.when(i % 50 == 0, 1.0).when(i % 50 == 1, 0.0).otherwise(p)
+    one = features.beta_from_interval(m, F.greatest(F.lit(0.0), p - 0.1), F.least(F.lit(1.0), p + F.when(i % 7 == 0, 0.9).otherwise(0.1)))
+    two = features.beta_from_brier(p, F.lit(0.05) + (i % 20) / 100.0)
     f = features.fuse_betas(one["alpha"], one["beta"], two["alpha"], two["beta"])
     return ticks(spark, sf).select("id", *r6(mean=f["mean"], variance=f["variance"]))
 
@@ -354,10 +386,11 @@ def q59b_kelly_cap(spark, sf):
     return features.kelly_cap(b).select("id", *r6(capped="capped"))
 
 
-@query()
+@query(f"""{_W}, x AS (SELECT id, price - 0.5 AS e, sqrt(price * (1 - price)) AS sd, id % 500 AS c FROM ticks), s AS (SELECT c, count(*) AS n, sum(e / sd) AS s FROM x GROUP BY c),
+f AS (SELECT id, c, (e / sd - 0.2e0 / (0.8e0 + 0.2e0 * n) * s) / (sd * 0.8e0) AS f FROM x JOIN s USING (c)) SELECT CAST(c AS INTEGER) AS cluster, id, round(f * least(1e0, 0.8e0 / nullif(sum(abs(f)) OVER (PARTITION BY c), 0)), 6) AS fraction FROM f""")
 def q59c_kelly_cluster(spark, sf):
     b = ticks(spark, sf).select("id", (F.col("price") - 0.5).alias("edge"), (F.col("price") * (1 - F.col("price"))).alias("variance"), (F.col("id") % 500).cast("int").alias("cluster"))
-    return features.kelly_cluster(b)
+    return features.kelly_cluster(b, 0.2, 0.8).select("cluster", "id", *r6(fraction="fraction"))
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS none FROM events""")

@@ -35,9 +35,14 @@ down AS (SELECT *, greatest(max(cum) {_OVER}, 0e0) - cum AS down FROM cum),
 g AS (SELECT wallet, sum(pnl) AS pnl, sum(invested) AS invested, max(down) AS drawdown, sum(n_trades) AS n FROM down GROUP BY wallet)"""
 
 
-@query(f"{_CUM} SELECT wallet, round(pnl, 6) AS pnl, round(drawdown, 6) AS drawdown, round(100 * pnl / nullif(invested, 0) + pnl / (drawdown + 1e-6), 2) AS score FROM g WHERE n >= 2 AND invested > 10")
+def _gated(spark, sf):
+    """Prices at the ends do not count in the earliest leaderboard."""
+    return positions.with_pnl(positions.accumulate(trades(spark, sf), 0.001, 0.999), markets(spark, sf))
+
+
+@query(f"{_CUM.replace('BETWEEN 0 AND 1', 'BETWEEN 0.001 AND 0.999')} SELECT wallet, round(pnl, 6) AS pnl, round(drawdown, 6) AS drawdown, round(100 * pnl / nullif(invested, 0) + pnl / (drawdown + 1e-6), 2) AS score FROM g WHERE n >= 2 AND invested > 10")
 def q02_leaderboard_uncapped(spark, sf):
-    return positions.leaderboard_uncapped(_pnl(spark, sf)).select("wallet", *r6(pnl="pnl", drawdown="drawdown"), F.round("score", 2).alias("score"))
+    return positions.leaderboard_uncapped(_gated(spark, sf)).select("wallet", *r6(pnl="pnl", drawdown="drawdown"), F.round("score", 2).alias("score"))
 
 
 @query(f"{_CUM} SELECT wallet, round(least(5e0, pnl / (drawdown + 1e-6)) + pnl / nullif(invested, 0), 6) AS score FROM g WHERE n > 1 AND n >= 2 AND invested > 10")
@@ -53,13 +58,18 @@ def q03_leaderboard_annual(spark, sf):
     return positions.leaderboard_annual(_pnl(spark, sf)).select("wallet", "n", *r6(irr="irr", score="score"))
 
 
-@query(f"""{_POS}, x AS (SELECT *, pnl * 365 / greatest((resolved_at - first_ts) / 86400e0, 1e0) AS annual, sum(pnl) {_OVER} AS cum FROM pnl),
-y AS (SELECT *, greatest(max(cum) {_OVER}, 0e0) - cum AS down FROM x),
-g AS (SELECT wallet, count(*) AS n, avg(invested) AS size, sum(annual) AS annual, sum(invested) AS invested, max(down) AS drawdown FROM y GROUP BY wallet)
-SELECT wallet, n, round(annual, 6) AS annual, round(annual / greatest(drawdown, greatest(100e0, 0.05 * invested)), 6) AS score FROM g WHERE n >= 10 AND size >= 10
-ORDER BY round(annual / greatest(drawdown, greatest(100e0, 0.05 * invested)), 9) DESC, wallet LIMIT 50""")
+def _elite_sql(now: str, least_size: float, least_roi: float) -> str:
+    return f"""{_POS}, x AS (SELECT *, floor(resolved_at / 86400) AS rd, floor(first_ts / 86400) AS fd, sum(pnl) {_OVER} AS cum FROM pnl WHERE invested > 0{now and f" AND floor(resolved_at / 86400) < {now}"}),
+y AS (SELECT *, greatest(max(cum) {_OVER}, 0e0) - cum AS down, (pnl / invested) * (365e0 / greatest(1, rd + 1 - fd)) * invested AS weighted FROM x),
+g AS (SELECT wallet, count(*) AS n, sum(invested) AS invested, sum(weighted) AS weighted, sum(pnl) AS pnl, max(down) AS drawdown, min(fd) AS fd, max(rd) AS rd FROM y GROUP BY wallet),
+h AS (SELECT *, pnl * (365e0 / greatest(1, {now or "rd + 1"} - fd)) AS annual FROM g WHERE n >= 10 AND invested / n >= {least_size} AND weighted / invested >= {least_roi})
+SELECT wallet, n, round(annual, 6) AS annual, round(annual / greatest(drawdown, greatest(100e0, 0.05 * invested)), 6) AS score FROM h
+ORDER BY round(annual / greatest(drawdown, greatest(100e0, 0.05 * invested)), 9) DESC, wallet LIMIT 500"""
+
+
+@query(_elite_sql("11631", 12, 0))  # the day of 1,005,000,000
 def q04_elite(spark, sf):
-    return positions.elite(_pnl(spark, sf)).select("wallet", "n", *r6(annual="annual", score="score"))
+    return positions.elite(_pnl(spark, sf), 1_005_000_000, least_size=12.0, least_roi=0.0).select("wallet", "n", *r6(annual="annual", score="score"))
 
 
 @query(f"""WITH {TRADES}, {MARKETS} SELECT wallet, brand AS topic, count(*) AS n, round(avg(greatest(-1e0, least(3e0, CASE WHEN tokens > 0 THEN (outcome - price) / price ELSE (price - outcome) / greatest(1 - price, 0.01) END))), 6) AS roi
@@ -111,15 +121,14 @@ def q09b_fresh_buckets(spark, sf):
 
 
 @query(f"""{_FRESH}, s AS (SELECT count(*)::DOUBLE AS n, sum(log_vol) AS a, sum(vwap) AS b, sum(roi) AS y, sum(log_vol * log_vol) AS aa, sum(vwap * vwap) AS bb, sum(log_vol * vwap) AS ab, sum(log_vol * roi) AS ay, sum(vwap * roi) AS vy
-  FROM x WHERE first_ts >= (SELECT max(first_ts) FROM x) - 365 * 86400),
+  FROM x WHERE first_ts >= (SELECT max(first_ts) FROM x) - 3650 * 86400),
 d AS (SELECT *, n * (aa * bb - ab * ab) - a * (a * bb - ab * b) + b * (a * ab - aa * b) AS det FROM s)
 SELECT CAST(n AS BIGINT) AS n, round((y * (aa * bb - ab * ab) - a * (ay * bb - ab * vy) + b * (ay * ab - aa * vy)) / nullif(det, 0), 5) AS c0,
        round((n * (ay * bb - ab * vy) - y * (a * bb - ab * b) + b * (a * vy - ay * b)) / nullif(det, 0), 5) AS c1,
-       round((n * (aa * vy - ay * ab) - a * (a * vy - ay * b) + y * (a * ab - aa * b)) / nullif(det, 0), 5) AS c2 FROM d""")
+       round((n * (aa * vy - ay * ab) - a * (a * vy - ay * b) + y * (a * ab - aa * b)) / nullif(det, 0), 5) AS c2 FROM d WHERE n >= 50""")
 def q10_fresh_ols(spark, sf):
     x = fresh.first_position(trades(spark, sf), markets(spark, sf))
-    end = x.agg(F.max("first_ts")).first()[0] or 0
-    g = fresh.ols_two(x.where(F.col("first_ts") >= end - 365 * 86400), "roi", "log_vol", "vwap")
+    g = fresh.ols_two(fresh.last_year(x, 3650), "roi", "log_vol", "vwap").where("n >= 50")
     return g.select(F.col("n").cast("long").alias("n"), *(F.round(c, 5).alias(c) for c in ("c0", "c1", "c2")))
 
 
@@ -131,7 +140,7 @@ def q11_fresh_linear(spark, sf):
 
 
 @query(f"""{_POS}, g AS (SELECT wallet, round(sum(pnl), 4) AS score FROM pnl GROUP BY wallet)
-SELECT wallet, score, round(cume_dist() OVER (PARTITION BY sign(score) ORDER BY abs(score)), 6) AS percentile FROM g WHERE score <> 0""")
+SELECT wallet, score, round(sign(score) * cume_dist() OVER (PARTITION BY sign(score) ORDER BY abs(score)), 6) AS percentile FROM g WHERE score <> 0""")
 def q12_percentile(spark, sf):
     s = _pnl(spark, sf).groupBy("wallet").agg(F.round(F.sum("pnl"), 4).alias("score"))
     return positions.percentile(s).select("wallet", "score", *r6(percentile="percentile"))
