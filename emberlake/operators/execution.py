@@ -136,3 +136,10 @@ def implied_liquidity(ticks: DataFrame, known: float = 10_000.0) -> DataFrame:
     x = x.withColumns({"n": F.sum("hit").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("double"), "add": F.when(F.col("hit") == 1, 0.1 * 0.5 * F.col("usdc") / F.col("move")).otherwise(0.0)})
     y = decayed_sum(x.select("contract", "id", "ts", "n", "add", "first"), "contract", ["ts", "id"], "n", "add", 0.9, "ema")
     return y.select("contract", "id", (F.col("ema") + F.col("first") * F.pow(F.lit(0.9), "n")).alias("liquidity"))
+
+
+def band_pairs(rows: DataFrame, key: str, at: str, width: int) -> DataFrame:
+    """Pairs (a, b) of a key's rows with a < b <= a + width, by slots of that width: each row meets its own slot and the next."""
+    x = rows.select(key, F.col(at).alias("a")).withColumn("slot", F.explode(F.array(F.floor(F.col("a") / width), F.floor(F.col("a") / width) + 1)))
+    y = rows.select(key, F.col(at).alias("b")).withColumn("slot", F.floor(F.col("b") / width))
+    return x.join(y, [key, "slot"]).where((F.col("b") > F.col("a")) & (F.col("b") <= F.col("a") + width)).select("a", "b")

@@ -25,6 +25,24 @@ def gaps(ranges: DataFrame, floor: int, head: int, *keys: str) -> DataFrame:
     return out.where("lo <= hi")
 
 
+def completeness(ranges: DataFrame, ledgers: DataFrame, floor: int, head: int, key: str) -> DataFrame:
+    """For every ledger (also one without ranges): numbers of [floor, head] that are missing, gaps, and whether it is complete."""
+    bare = ledgers.select(key).distinct()
+    held = ranges.where((F.col("hi") >= floor) & (F.col("lo") <= head))
+    none = bare.join(held.select(key), key, "left_anti").select(key, F.lit(floor).cast("long").alias("lo"), F.lit(head).cast("long").alias("hi"))
+    holes = gaps(held, floor, head, key).select(key, F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).unionByName(none)
+    g = holes.groupBy(key).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("missing"), F.count("*").alias("gaps"))
+    x = bare.join(g, key, "left").withColumns({"missing": F.coalesce("missing", F.lit(0)), "gaps": F.coalesce("gaps", F.lit(0))})
+    return x.withColumn("complete", F.col("gaps") == 0)
+
+
+def prove_complete(ranges: DataFrame, ledgers: DataFrame, floor: int, head: int, key: str) -> None:
+    """Raises if any ledger lacks a number of [floor, head]; names the first ten."""
+    lacking = completeness(ranges, ledgers, floor, head, key).where("not complete").orderBy(key).limit(10).collect()
+    if lacking:
+        raise ValueError("incomplete: " + ", ".join(f"{r[key]} lacks {r['missing']} in {r['gaps']} gaps" for r in lacking))
+
+
 def missing_ids(ids: DataFrame, column: str) -> DataFrame:
     """Whole numbers between the least and the largest id that do not occur."""
     lo, hi = ids.agg(F.min(column), F.max(column)).first()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlake.operators.windows import running_total
+
 #: Fixed values of the exclusion rules and topics; patterns are searched in lower-cased text.
 FROZEN_DOMAINS = r"data\.chain\.link|binance\.com|dotabuff\.com|gol\.gg"
 FAST_DOMAINS = r"data\.chain\.link|binance\.com|dotabuff\.com|gol\.gg|hltv\.org"
@@ -139,3 +141,15 @@ def topic(question: Column) -> Column:
     """Coarse topic; politics goes before sports, and sports before crypto."""
     q = F.lower(question)
     return F.when(q.rlike(POLITICS_WORDS), "politics").when(q.rlike(SPORTS_WORDS), "sports").when(q.rlike(CRYPTO_WORDS), "crypto").otherwise("other")
+
+
+def event_stream(made: DataFrame, trades: DataFrame, resolved: DataFrame, old_days: int = 30) -> DataFrame:
+    """NEW_CONTRACT, RESOLUTION and PRICE_UPDATE events with their place in one order: time, then that order of kinds, then id and contract. made: contract, made;
+    trades: contract, ts, id, price; resolved: contract, ts. A contract made more than ``old_days`` before its first trade is new a day before that."""
+    first = trades.groupBy("contract").agg(F.min("ts").alias("first"))
+    late = F.col("made") < F.col("first") - 86400 * old_days
+    new = made.join(first, "contract", "left").select("contract", F.when(late, F.col("first") - 86400).otherwise(F.col("made")).alias("ts"), F.lit("NEW").alias("kind"), F.lit(0).cast("long").alias("id"))
+    end = resolved.select("contract", "ts", F.lit("RESOLUTION").alias("kind"), F.lit(0).cast("long").alias("id"))
+    x = new.unionByName(end).unionByName(trades.withColumn("kind", F.lit("PRICE_UPDATE")), allowMissingColumns=True)
+    x = x.withColumns({"pri": F.when(F.col("kind") == "NEW", 0).when(F.col("kind") == "RESOLUTION", 1).otherwise(2), "_one": F.lit(1)})
+    return running_total(x, ["ts", "pri", "id", "contract"], {"place": "_one"}).drop("_one", "pri")

@@ -1,7 +1,9 @@
 """Queries on market metadata, joins, sets, text, graphs and streams."""
 
+import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -345,23 +347,41 @@ def q64_contributors(spark, sf):
     return s.select("id", mid.alias("median_life"))
 
 
-def _stream(spark, sf, build, mode="append"):
-    """Runs a streaming form over the events table as a file source until nothing is left, and returns its rows."""
-    base = tempfile.mkdtemp(prefix="emberlake-stream-")
-    e = table(spark, sf, "events")
-    out = []
+def _shared(spark) -> str:
+    """The cluster's shared folder; a temporary one where none is set (tests)."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    made = tempfile.mkdtemp(prefix="emberlake-stream-")
+    atexit.register(shutil.rmtree, made, True)
+    return made
 
-    def each(frame, _):
-        out.append(f"{base}/out/{len(out)}")
-        frame.write.parquet(out[-1])
 
-    e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{base}/in")
-    df = build(streams.events_stream(spark, f"{base}/in", e.schema))
-    streams.run_available(df, "", f"{base}/cp", mode, each)
-    import atexit
+def _fresh(spark) -> str:
+    """A folder of this run below the shared one; the last run's is deleted by then, its rows are read until the session ends."""
+    return f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _stream(spark, sf, build, mode="append", files=None):
+    """Runs a streaming form over the events table as a file source until nothing is left, and returns its rows. The table is read where it lies; only
+    the rows of the result and the checkpoint are written, below the shared folder. files: a list of tables that are written as files to come one by one."""
+    base = _fresh(spark)
+    made = []
 
-    atexit.register(shutil.rmtree, base, True)
-    return spark.read.schema(df.schema).parquet(*out) if out else spark.createDataFrame([], df.schema)
+    def each(frame, batch_id):
+        frame.write.mode("overwrite").parquet(f"{base}/out/{batch_id}")
+        made.append(f"{base}/out/{batch_id}")
+
+    if files is None:
+        e = table(spark, sf, "events")
+        df = build(streams.events_stream(spark, f"{sf}/events.parque[t]", e.schema))
+    else:
+        for i, part in enumerate(files):
+            part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+            del i
+        df = build(spark.readStream.schema(files[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+    streams.run_available(df, "", f"{base}/cp", mode, each)
+    return spark.read.schema(df.schema).parquet(*made) if made else spark.createDataFrame([], df.schema)
 
 
 _CLOSED = "(SELECT CAST(epoch_us(max(ts)) AS BIGINT) - 1800000000 AS us FROM events)"
@@ -391,16 +411,106 @@ def s4_once_stream(spark, sf):
     return _stream(spark, sf, lambda e: streams.once(e.unionByName(e)).select("event_id", "user_id"))
 
 
-@query()
+@query("""WITH x AS (SELECT user_id, value, event_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s FROM events), g AS (SELECT *, s - lag(s) OVER w AS gap, row_number() OVER w AS i FROM x WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)),
+c AS (SELECT *, sum(CASE WHEN gap > 1 THEN gap ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS clock FROM g), l AS (SELECT user_id, max(clock) AS last, max(s) AS last_ts, count(*) AS n FROM c GROUP BY 1)
+SELECT user_id, round(sum(value * pow(0.95e0, (last - clock) / 60e0)), 4) AS weight, any_value(last_ts) AS last_ts, any_value(n) AS n FROM c JOIN l USING (user_id) GROUP BY user_id""")
 def s5_decay_stream(spark, sf):
-    return _stream(spark, sf, streams.decayed_weight, "update")
+    return _stream(spark, sf, streams.decayed_weight, "update").withColumn("weight", F.round("weight", 4))
+
+
+def _late_parts(spark, sf):
+    """Two streams as files that come one by one: trades first, then the metadata of half of them, which is late."""
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    trades = e.withColumns({"kind": F.lit("trade"), "known_at": F.lit(None).cast("timestamp")})
+    meta = e.where("event_id % 2 = 0").select("event_id", "at", F.lit("meta").alias("kind"), (F.col("at") + F.expr("interval 10 minutes")).alias("known_at"))
+    return [trades, meta]
 
 
-@query("SELECT event_id, event_id % 2 = 0 AS known FROM events WHERE event_id % 2 = 0")
+@query(f"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN true END AS known FROM events WHERE event_id % 2 = 0 OR epoch_us(ts) + 1800000000 < (SELECT least(max(epoch_us(ts)), max(CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) + 600000000 END)) - 1800000000 FROM events)""")
 def s6_late_metadata_stream(spark, sf):
+    """Trades wait for metadata that comes in a later file; those that get none go on without it once the watermark has passed."""
+    base = _fresh(spark)
+    parts = _late_parts(spark, sf)
+    for name, part in zip(("trades", "meta"), parts, strict=True):
+        part.coalesce(1).write.parquet(f"{base}/{name}")
+    read = lambda name, part: spark.readStream.schema(part.schema).parquet(f"{base}/{name}")
+    t = read("trades", parts[0]).select("event_id", "at")
+    m = read("meta", parts[1]).select("event_id", "known_at", F.lit(True).alias("known"))
+    df = streams.with_late_metadata(t, m, "event_id").select("event_id", "known")
+    made = []
+
+    def each(frame, batch_id):
+        frame.write.mode("overwrite").parquet(f"{base}/out/{batch_id}")
+        made.append(f"{base}/out/{batch_id}")
+
+    streams.run_available(df, "", f"{base}/cp", "append", each)
+    return spark.read.schema(df.schema).parquet(*made)
+
+
+@query(f"""WITH x AS (SELECT event_id, user_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s FROM events), l AS (SELECT user_id, max(s) AS last_ts, count(*) AS n FROM x GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS key, last_ts, n FROM l WHERE (last_ts + 6 * 3600) * 1000000 <= {_CLOSED}""")
+def s7_timer_stream(spark, sf):
+    """Users idle for six hours at the end of the stream: their timers fire."""
+    return _stream(spark, sf, lambda e: streams.idle_contracts(e, "user_id", "6 hours"))
+
+
+def _book_messages(spark, sf):
+    e = table(spark, sf, "events")
+    k = F.col("event_id")
+    return e.select(
+        k.alias("seq"), F.col("event_type").alias("token"), F.when(k % 1000 < 20, "book").otherwise("delta").alias("kind"), F.when(k % 2 == 0, "bid").otherwise("ask").alias("side"),
+        F.round((k % 40) / 100.0, 2).cast("string").alias("price"), F.when(k % 9 == 0, 0.0).otherwise(F.col("value")).alias("size"),
+    )
+
+
+@query("""WITH m AS (SELECT event_id AS seq, event_type AS token, event_id % 1000 < 20 AS book, CASE WHEN event_id % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, round((event_id % 40) / 100e0, 2) AS price, CASE WHEN event_id % 9 = 0 THEN 0e0 ELSE value END AS size FROM events),
+b AS (SELECT *, book AND coalesce(NOT lag(book) OVER (PARTITION BY token ORDER BY seq), true) AS begins FROM m), s AS (SELECT token, max(seq) AS since FROM b WHERE begins GROUP BY token),
+l AS (SELECT token, side, price, arg_max(size, seq) AS size FROM m JOIN s USING (token) WHERE seq >= since GROUP BY ALL)
+SELECT token, max(CASE WHEN side = 'bid' THEN price END) AS best_bid, min(CASE WHEN side = 'ask' THEN price END) AS best_ask, CAST(count(*) AS INTEGER) AS levels FROM l WHERE size > 0 GROUP BY token""")
+def s8_book_stream(spark, sf):
+    """The book after the last of three files."""
+    m = _book_messages(spark, sf)
+    cut = [m.where("seq < 3000"), m.where("seq >= 3000 and seq < 6000"), m.where("seq >= 6000")]
+    out = _stream(spark, sf, streams.order_books, "update", cut)
+    return out.groupBy("token").agg(F.max_by(F.struct("best_bid", "best_ask", "levels"), "seq").alias("x")).select("token", "x.*")
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'old' ELSE NULL END AS label FROM events WHERE event_id < 4000 UNION ALL SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN 'new' END FROM events WHERE event_id >= 4000""")
+def s9_dimension_stream(spark, sf):
+    """The dimension changes between the first file and the second."""
+    base = _fresh(spark)
+    e = table(spark, sf, "events").select("event_id", "user_id")
+    users = e.select("user_id").distinct()
+    for part in (e.where("event_id < 4000"), e.where("event_id >= 4000")):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    versions = [users.where("user_id % 2 = 0").withColumn("label", F.lit("old")), users.where("user_id % 3 <> 0").withColumn("label", F.lit("new"))]
+    seen = []
+
+    def load():
+        return versions[min(len(seen), 1)]
+
+    def keep(frame, batch_id):
+        frame.write.mode("overwrite").parquet(f"{base}/out/{batch_id}")
+        seen.append(batch_id)
+
+    df = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    streams.run_available(df, "", f"{base}/cp", "append", streams.with_dimension(df, load, "user_id", keep))
+    return spark.read.parquet(*(f"{base}/out/{i}" for i in seen)).select("event_id", "label")
+
+
+@query(f"""SELECT id, wallet, side * s AS side_mult, role FROM (SELECT event_id AS id, user_id AS wallet, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS side, 1 AS s, 'taker' AS role FROM events UNION ALL SELECT event_id, (user_id + 1) % 150, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END, -1, 'maker' FROM events)""")
+def s10_legs_stream(spark, sf):
+    def build(e):
+        return streams.legs(e.select(F.col("event_id").alias("id"), F.col("user_id").alias("taker"), ((F.col("user_id") + 1) % 150).alias("maker"), F.when(F.col("event_id") % 3 == 0, -1).otherwise(1).alias("side_mult")))
+
+    return _stream(spark, sf, build)
+
+
+@query(f"""SELECT CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS start, count(*) AS n, min(event_id) AS first_block, max(event_id) AS last_block FROM events GROUP BY 1 HAVING max(epoch_us(time_bucket(INTERVAL '1 hour', ts))) + 3600000000 <= {_CLOSED}""")
+def s11_log_order_stream(spark, sf):
+    """Logs in reverse order, each twice."""
     def build(e):
-        meta = e.where("event_id % 2 = 0").select(F.col("event_id").alias("mid"), F.col("at").alias("known_at"), F.lit(True).alias("known"))
-        t = e.select("event_id", "at", F.col("event_id").alias("mid"))
-        return streams.with_late_metadata(t, meta, "mid").where("known").select("event_id", "known")
+        x = e.select("at", F.col("event_id").alias("block"), F.lit(0).alias("index"))
+        return streams.in_block_order(x.unionByName(x))
 
     return _stream(spark, sf, build)

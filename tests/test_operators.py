@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from emberlake.operators import bayes, execution, features, intervals, performance, replay
+from emberlake.operators import bayes, execution, intervals, performance, replay
 from emberlake.sources import tables
 
 
@@ -60,11 +60,6 @@ def test_folds_keep_the_embargo():
         assert b - a == 30 and c - b == 2 and c < d <= 100
 
 
-def test_shrinkage_keeps_variances():
-    c = np.cov(np.random.default_rng(1).normal(size=(50, 4)).T)
-    assert np.allclose(np.diag(features.shrink(c, 0.4)), np.diag(c))
-
-
 def test_sources(spark, tmp_path):
     path = str(tmp_path / "t.csv")
     with open(path, "w") as f:
