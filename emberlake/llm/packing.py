@@ -4,8 +4,8 @@ Tokenising and packing happen in the scan task. Each task packs its own stream b
 at most ``open_bins`` sequences are open, filed by free space, with a bitset over the free sizes; an item goes to
 the fullest open sequence that holds it, and when a new one is needed and all are open, the fullest closes. Items
 come in blocks of a scanned chunk, longest first. What tasks leave part-filled is packed once more, whole sequences
-as items, in parts of ``second_part`` sequences, longest first and with as many open sequences as items: best-fit
-decreasing in which none closes, so only the first pass has the bound ``open_bins``.
+as items, by the same rule: tasks of about ``second_part`` sequences, dealt by hash, each in blocks of ``block`` sequences, longest
+first, with at most ``open_bins`` open.
 
 Null texts are empty: such a document is one piece that holds only the end id. Repeated doc_ids are packed row by row.
 Only documents longer than ``capacity`` are cut. An empty table gives no rows.
@@ -32,9 +32,8 @@ SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin l
 class PackParams:
     capacity: int = 4096
     open_bins: int = 128
-    #: Sequences with less free space than this are not packed again.
-    least_free: int = 16
     second_part: int = 200_000
+    block: int = 16_384
 
 
 class BestFit:
@@ -69,14 +68,20 @@ class BestFit:
         return number, self.capacity - free
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x, or a copy of twice the size where n entries do not fit."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
 class WordTokenizer:
     """Ids of a lower-casing word BPE, equal to ``tokenizers``' own.
 
     Text of ASCII and Latin-1 letters is split into runs of letters, single digits and runs of other signs by byte
-    class; distinct runs are encoded once per worker. Any other text is encoded by the library as a whole.
+    class; distinct runs are encoded once per worker, filed by their bytes. Any other text, and any chunk in which the
+    library does not close each run as one word, is encoded by the library as a whole.
     """
 
-    MOST_CACHED = 1 << 20
+    MOST_CACHED = 1 << 19
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -100,8 +105,8 @@ class WordTokenizer:
         self.kind, self.low = kind, low
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.ids, self.bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.slots: dict[bytes, int] = {}
+        self.ids, self.bounds, self.n_ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in a row, and the place of each row's first id."""
@@ -127,43 +132,48 @@ class WordTokenizer:
         ends = np.append(starts[1:], len(data))
         keep = (kind[starts] != 0) & ~slow[np.searchsorted(offsets, starts, "right") - 1]
         starts, ends = starts[keep], ends[keep]
-        hashes = textscan.range_hash(textscan.prefix_hash(low), starts, ends)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        first, inverse = textscan.factorize(low, starts, ends)
         if len(self.slots) > self.MOST_CACHED:
             self._forget()
-        keys = distinct.tolist()
+        raw = low.tobytes()
+        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         slot = list(map(self.slots.get, keys))
         new = [i for i, s in enumerate(slot) if s is None]
         if new:
-            at = first[new]
-            raw = low.tobytes()
-            text = b" ".join([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]).decode()
-            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.library.encode(b" ".join([keys[i] for i in new]).decode(), add_special_tokens=False).ids, np.int64)
             closed = np.flatnonzero(self.ends[ids]) + 1
             if len(closed) != len(new):
-                raise AssertionError("a run of one kind is not one word of the tokenizer")
-            base = len(self.bounds) - 1
+                return self._by_library(data, offsets)
+            base, known = len(self.slots), self.n_ids
             for j, i in enumerate(new):
                 slot[i] = self.slots[keys[i]] = base + j
-            self.bounds = np.concatenate([self.bounds, closed + self.bounds[-1]])
-            self.ids = np.concatenate([self.ids, ids])
+            self.n_ids += len(ids)
+            self.ids, self.bounds = _room(self.ids, self.n_ids), _room(self.bounds, len(self.slots) + 1)
+            self.ids[known : self.n_ids] = ids
+            self.bounds[base + 1 : len(self.slots) + 1] = closed + known
         of = np.array(slot, np.int64)[inverse] if len(slot) else np.zeros(0, np.int64)
         counts = self.bounds[of + 1] - self.bounds[of]
         ptr = np.concatenate([[0], np.cumsum(counts)])
         flat = np.arange(ptr[-1]) + np.repeat(self.bounds[of] - ptr[:-1], counts)
         ids, rows = self.ids[flat], ptr[np.searchsorted(starts, offsets)]
         if slow.any():
-            parts, sizes = [], np.diff(rows)
+            odd_ids, odd_rows = self._by_library(data, np.stack([offsets[:-1], offsets[1:]], axis=1)[slow])
+            parts, turn = [], iter(range(len(odd_rows) - 1))
             for i in range(n):
                 if slow[i]:
-                    own = self.library.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids
-                    parts.append(np.array(own, np.int64))
-                    sizes[i] = len(own)
+                    j = next(turn)
+                    parts.append(odd_ids[odd_rows[j] : odd_rows[j + 1]])
                 else:
                     parts.append(ids[rows[i] : rows[i + 1]])
-            ids, rows = np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+            ids, rows = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         return ids, rows
 
+    def _by_library(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and places as from ``encode``, text by text. offsets: of all rows in a row, or (start, end) of each."""
+        bounds = offsets if offsets.ndim == 2 else np.stack([offsets[:-1], offsets[1:]], axis=1)
+        own = [np.array(self.library.encode(data[a:b].tobytes().decode(), add_special_tokens=False).ids, np.int64) for a, b in bounds.tolist()]
+        return np.concatenate([np.zeros(0, np.int64), *own]), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -204,7 +214,7 @@ def pack(docs: DataFrame, vocabulary: str, p: PackParams = PackParams()) -> Data
 
         task = TaskContext.get().partitionId() << 36
         encode, bins = word_tokenizer(vocabulary), BestFit(p.capacity, p.open_bins)
-        for batch, data, offsets in textscan.chunks(batches):
+        for batch, data, offsets in textscan.chunks(batches, most=2 << 20):
             ids, rows = encode(data, offsets)
             out = []
             for x in sorted(_pieces(batch.column(0).to_pylist(), ids, rows, p.capacity), key=lambda x: -x[3]):
@@ -214,21 +224,27 @@ def pack(docs: DataFrame, vocabulary: str, p: PackParams = PackParams()) -> Data
 
     pieces = scratch.write(docs.select("doc_id", "text").mapInArrow(first, SCHEMA), "pieces")
     fills = pieces.groupBy("bin").agg(F.sum("length").alias("fill"))
-    partial = scratch.write(fills.where(F.col("fill") <= p.capacity - p.least_free), "partial")
+    partial = scratch.write(fills.where(F.col("fill") < p.capacity), "partial")
     parts = 1 + partial.count() // p.second_part
 
     def second(batches):
         from pyspark import TaskContext
 
         task = (TaskContext.get().partitionId() << 36) + (1 << 62)
-        found = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        bins, out = BestFit(p.capacity, max(p.open_bins, len(found))), []
-        for old, fill in sorted(found, key=lambda x: (-x[1], x[0])):
-            number, offset = bins.place(fill)
-            out.append((old, task + number, offset))
-        if out:
-            c = list(zip(*out, strict=True))
-            yield textscan.batch(bin=pa.array(c[0], pa.int64()), sequence_id=pa.array(c[1], pa.int64()), base=pa.array(c[2], pa.int64()))
+        bins, held = BestFit(p.capacity, p.open_bins), []
+
+        def placed(block):
+            out = [(old, *bins.place(fill)) for old, fill in sorted(block, key=lambda x: (-x[1], x[0]))]
+            old, number, base = (np.array(c, np.int64) for c in zip(*out, strict=True))
+            return textscan.batch(bin=old, sequence_id=task + number, base=base)
+
+        for b in batches:
+            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            while len(held) >= p.block:
+                yield placed(held[: p.block])
+                held = held[p.block :]
+        if held:
+            yield placed(held)
 
     moved = partial.repartition(parts, "bin").mapInArrow(second, "bin long, sequence_id long, base long")
     return pieces.join(moved, "bin", "left").select(
