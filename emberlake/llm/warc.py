@@ -8,7 +8,9 @@ Headers of a resolved revisit are the response's, overlaid with the revisit's ex
 
 The as-of join never gathers one URL in one task: time is cut into buckets, a window runs within (url, bucket),
 and the last response of each bucket, one row, is carried to later buckets. Null urls or times never match
-('missing'); an exactly repeated record is resolved like the first; an empty table gives no rows.
+('missing'), not even each other; rows with null urls are dealt by record, not to one task. Of a repeated record every row is
+resolved, alike; a null record_id ranks first among equal times; an empty table gives no rows. Other columns are not read; a long
+url or header is a value like others.
 """
 
 from __future__ import annotations
@@ -48,17 +50,19 @@ def resolve_revisits(records: DataFrame, bucket: int = 3600) -> DataFrame:
         "record_id", canonical_url(F.col("url")).alias("url_key"), "ts", "kind", "etag", "last_modified", "digest", "headers",
         F.floor(F.col("ts") / bucket).alias("slot"),
     )
-    full = F.when((F.col("kind") == "response") & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
+    full = F.when((F.col("kind") == "response") & F.col("ts").isNotNull() & F.col("url_key").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
     order = F.struct("ts", "record_id")
-    last = r.where("kind = 'response' and ts is not null").groupBy("url_key", "slot").agg(F.max_by(full, order).alias("end"))
-    revisits = r.where("kind = 'revisit'")
+    last = r.where("kind = 'response' and ts is not null and url_key is not null").groupBy("url_key", "slot").agg(F.max_by(full, order).alias("end"))
+    revisits = r.where("kind = 'revisit' and url_key is not null and slot is not null")
     slots = revisits.select("url_key", "slot").distinct().join(last, ["url_key", "slot"], "full")
     before = Window.partitionBy("url_key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = slots.select("url_key", "slot", F.last("end", ignorenulls=True).over(before).alias("carried"))
-    within = Window.partitionBy("url_key", "slot").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    dealt = F.when(F.col("url_key").isNull(), F.xxhash64("record_id"))
+    within = Window.partitionBy("url_key", "slot", "dealt").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     # equal times: the largest record_id stands for them, so the frame's last value is well defined
-    same = Window.partitionBy("url_key", "slot", "ts", "kind").orderBy(F.desc("record_id"))
-    seen = r.withColumn("first", F.row_number().over(same)).withColumn("here", F.last(F.when(F.col("first") == 1, full), ignorenulls=True).over(within))
+    same = Window.partitionBy("url_key", "slot", "dealt", "ts", "kind").orderBy(F.desc("record_id"))
+    dealt_out = r.withColumn("dealt", dealt).repartition("url_key", "slot", "dealt")  # once, for both windows
+    seen = dealt_out.withColumn("first", F.row_number().over(same)).withColumn("here", F.last(F.when(F.col("first") == 1, full), ignorenulls=True).over(within))
     found = seen.where("kind = 'revisit'").join(carried, ["url_key", "slot"], "left").withColumn("got", F.coalesce("here", "carried"))
     got = F.col("got")
     same_value = (
