@@ -1,15 +1,22 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree searched best bin first.
 
 The tree is fitted on the ``most_fitted`` vectors with the smallest id hashes (a documented bound); every vector is
-then indexed by descending to a leaf. A query walks the tree through a priority queue ordered by the inner product with
-node centres, so it meets leaves best first. How many leaves are visited is calibrated: for ``calibration`` vectors the
+then indexed by descending to a leaf. A query walks the tree through a priority queue ordered by what it may expect of a node:
+the inner product with the centre, and the query's length times the node's spread times the reach of the largest of its rows, so
+it meets leaves best first whatever the lengths of vectors. How many leaves are visited is calibrated: for ``calibration`` vectors the
 true neighbours are found in blocks over all rows, and the visits are widened until their mean recall in those
-neighbours reaches ``recall``. Each (query, leaf) visit goes to the leaf's rows; large leaves are cut into parts
-by id hash and every part is visited, so a vector repeated in a third of all rows is no hot group.
+neighbours reaches ``recall``; a query goes on where its leaves hold fewer candidates than it asks for.
+
+Neighbouring leaves make up cells of about ``part_rows`` rows; larger leaves are cut into several cells by id hash, all of
+which are visited, so a vector repeated in a third of all rows is no hot group. A query goes once to each cell of which it
+visits leaves, with their list. Queries are dealt in parts of about ``query_part``, so that a task holds at most a
+cell and a part of the queries. On vectors without structure calibration widens the visits to a fixed share of the leaves, and work grows with queries
+times rows; the tree then saves only the leaves it leaves out.
 
 Scores are inner products of the original vectors in double precision, summed in one fixed way, so equal vectors tie
 exactly; ties go to the smaller id. Vectors that are null, zero, of another dimension than most, or hold null or
-non-finite components take no part. Rows with equal id are never each other's neighbours.
+non-finite components take no part, nor do rows without id. Of rows with equal id the least vector stands for all, so no id is found twice, nor by itself.
+Fewer than ``top`` candidates give them all; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,19 +38,22 @@ class TreeParams:
     top: int = 20
     recall: float = 0.95
     branching: int = 8
-    leaf_rows: int = 2048
+    leaf_rows: int = 512
     most_fitted: int = 20_000
-    most_leaves: int = 4096
+    #: Fitted vectors for each leaf, at least: with more than most_fitted / least_fitted * leaf_rows rows, leaves grow.
+    least_fitted: int = 16
     calibration: int = 128
     part_rows: int = 16_384
+    query_part: int = 4096
     rounds: int = 8
 
 
 class Tree:
-    """centres: of all nodes; children: node to child nodes (leaves have none); leaf: number of each leaf node or -1."""
+    """centres: of all nodes; children: node to child nodes (leaves have none); leaf: number of each leaf node or -1;
+    reach: of each node, what its rows' inner products with a unit vector may exceed the centre's by."""
 
-    def __init__(self, centres: np.ndarray, children: list[list[int]]):
-        self.centres, self.children = centres, children
+    def __init__(self, centres: np.ndarray, children: list[list[int]], reach: np.ndarray):
+        self.centres, self.children, self.reach = centres, children, reach
         self.leaf = np.full(len(children), -1)
         leaves = [i for i, c in enumerate(children) if not c]
         self.leaf[leaves] = np.arange(len(leaves))
@@ -52,6 +63,7 @@ class Tree:
     def fit(cls, x: np.ndarray, leaf_rows: int, branching: int, rounds: int) -> Tree:
         rng = np.random.default_rng(7)
         centres, children, todo = [x.mean(0) if len(x) else np.zeros(1)], [[]], [(0, np.arange(len(x)))]
+        reach = [0.0]
         while todo:
             node, rows = todo.pop()
             if len(rows) <= leaf_rows:
@@ -71,9 +83,12 @@ class Tree:
             for k in kept:
                 children[node].append(len(centres))
                 todo.append((len(centres), rows[of == k]))
-                centres.append(c[k])
+                own_rows = x[rows[of == k]]
+                centres.append(own_rows.mean(0))
+                spread = np.sqrt(((own_rows - centres[-1]) ** 2).sum(1).mean() / x.shape[1])
+                reach.append(spread * np.sqrt(2 * np.log(len(own_rows) + 1)))
                 children.append([])
-        return cls(np.array(centres), children)
+        return cls(np.array(centres), children, np.array(reach))
 
     def descend(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector: the nearest child at every level."""
@@ -88,14 +103,16 @@ class Tree:
             moving = moving[[bool(self.children[i]) for i in node[moving]]]
         return self.leaf[node]
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """Up to ``most`` leaves, best bin first."""
-        scores = self.centres @ q
+    def visits(self, q: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """Up to ``most`` leaves, best bin first; more, where these hold fewer than ``least`` rows by ``sizes``."""
+        scores = self.centres @ q + self.reach * np.sqrt(q @ q)
         queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+        rows = 0
+        while queue and (len(out) < most or rows < least):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(int(self.leaf[node]))
+                rows += sizes.get(out[-1], 0) if sizes else 0
             for kid in self.children[node]:
                 heapq.heappush(queue, (-float(scores[kid]), kid))
         return out
@@ -153,10 +170,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, v (array<double>) of the rows that take part."""
+    """vec_id, v (array<double>) of the rows that take part, one for each id."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null").where(F.coalesce(finite & (F.size("v") > 0) & F.exists("v", lambda x: x != 0), F.lit(False)))
+    if good.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").take(1):
+        good = good.groupBy("vec_id").agg(F.min("v").alias("v"))
     sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     return good.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
 
@@ -168,7 +187,7 @@ def search(vectors: DataFrame, queries: DataFrame, p: TreeParams = TreeParams())
     n = vectors.count()
     by_hash = vectors.orderBy(F.xxhash64("vec_id"), "vec_id")
     sample = np.array([r["v"] for r in by_hash.limit(p.most_fitted).select("v").toLocalIterator()], dtype=np.float64)
-    leaves = min(p.most_leaves, max(1, n // p.leaf_rows))
+    leaves = min(p.most_fitted // p.least_fitted, max(1, n // p.leaf_rows))
     tree = Tree.fit(sample if len(sample) else np.zeros((0, 1)), max(2, len(sample) // leaves), p.branching, p.rounds)
     shared = spark.sparkContext.broadcast(tree)
 
@@ -181,53 +200,83 @@ def search(vectors: DataFrame, queries: DataFrame, p: TreeParams = TreeParams())
     width = _calibrated(indexed, shared, p) if n else 1
 
     sizes = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # at most as many as leaves
-    parts = {leaf: -(-size // p.part_rows) for leaf, size in sizes.items()}
-    cut = spark.sparkContext.broadcast(parts)
+    cells, at, room = {}, 0, p.part_rows  # first cell and number of cells of each leaf
+    for leaf, size in sorted(sizes.items()):
+        parts = -(-size // p.part_rows)
+        if parts > 1 or size > room:
+            at, room = at + 1, p.part_rows
+        cells[leaf] = (at, parts)
+        at, room = (at + parts, p.part_rows) if parts > 1 else (at, room - size)
+    where = spark.sparkContext.broadcast((cells, sizes))
 
     def visit(batches):
         for b in batches:
             ids, flat = b.column(0).to_pylist(), _matrix(b.column(1)) if b.num_rows else ()
-            at, leaf, part = [], [], []
+            out, cell, leaves = [], [], []
             for i, q in enumerate(flat):
-                for x in shared.value.visits(q, width):
-                    for k in range(cut.value.get(x, 0)):
-                        at.append(i)
-                        leaf.append(x)
-                        part.append(k)
-            yield textscan.batch(query_id=pa.array([ids[i] for i in at], pa.int64()), q=b.column(1).take(pa.array(at, pa.int64())), leaf=pa.array(leaf, pa.int32()), part=pa.array(part, pa.int32()))
-
-    # parts by leaf reach the rows through a map literal: at most one entry for each leaf
-    big = {k: v for k, v in parts.items() if v > 1}
-    of = F.lit(1)
-    if big:
-        table = F.create_map(*[F.lit(x) for kv in big.items() for x in kv])
-        of = F.coalesce(F.try_element_at(table, "leaf"), F.lit(1))
-    rows = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id"), of).cast("int"))
-    asked = queries.select("vec_id", "v").mapInArrow(visit, "query_id long, q array<double>, leaf int, part int")
+                of: dict[int, list[int]] = {}
+                cells, sizes = where.value
+                for x in shared.value.visits(q, width, sizes, p.top + 1):
+                    first, parts = cells.get(x, (0, 0))
+                    for k in range(parts):
+                        of.setdefault(first + k, []).append(x)
+                for k, listed in of.items():
+                    out.append(i)
+                    cell.append(k)
+                    leaves.append(listed)
+            yield textscan.batch(query_id=pa.array([ids[i] for i in out], pa.int64()), q=b.column(1).take(pa.array(out, pa.int64())), cell=pa.array(cell, pa.int32()), leaves=pa.array(leaves, pa.list_(pa.int32())))
+
+    placed = spark.createDataFrame([(leaf, first, parts) for leaf, (first, parts) in cells.items()], "leaf int, first int, parts int")  # one row a leaf
+    query_parts = max(1, -(-queries.count() // p.query_part))
+    rows = indexed.join(F.broadcast(placed), "leaf").withColumn("cell", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    rows = rows.select("vec_id", "v", "leaf", "cell", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("deal"))
+    asked = queries.select("vec_id", "v").mapInArrow(visit, "query_id long, q array<double>, cell int, leaves array<int>")
+    asked = asked.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int"))
 
     def compare(key, left, right):
-        asked_ids, found_ids, scores, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if left.num_rows and right.num_rows:
-            ids, x = left.column("vec_id").combine_chunks().to_numpy(), _matrix(left.column("v").combine_chunks())
-            q_ids, q = right.column("query_id").combine_chunks().to_numpy(), _matrix(right.column("q").combine_chunks())
-            for lo in range(0, len(q), 256):
-                got, s, n = nearest_many(ids, x, q_ids[lo : lo + 256], q[lo : lo + 256], p.top)
-                asked_ids.append(q_ids[lo : lo + 256])
-                found_ids.append(got)
-                scores.append(s)
-                sizes.append(n)
-        bounds = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32())
-        lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(v))) for v in (found_ids, scores)]
-        return pa.table({"query_id": pa.array(np.concatenate(asked_ids)), "ids": lists[0], "scores": lists[1]})
-
-    found = rows.groupBy("leaf", "part").cogroup(asked.groupBy("leaf", "part")).applyInArrow(compare, "query_id long, ids array<long>, scores array<double>")
+            left, right = left.sort_by("leaf").combine_chunks(), right.combine_chunks()
+            ids, x, leaf = left.column("vec_id").to_numpy(), _matrix(left.column("v").combine_chunks()), left.column("leaf").to_numpy()
+            q_ids, q = right.column("query_id").to_numpy(), _matrix(right.column("q").combine_chunks())
+            lists = right.column("leaves").combine_chunks()
+            wanted = lists.flatten().to_numpy()
+            asker = np.repeat(np.arange(len(q)), pc.list_value_length(lists).to_numpy())
+            for k in np.unique(leaf):
+                lo, hi = np.searchsorted(leaf, [k, k + 1])
+                own = asker[wanted == k]
+                for i in range(0, len(own), 256):
+                    some = own[i : i + 256]
+                    got, s, n = nearest_many(ids[lo:hi], x[lo:hi], q_ids[some], q[some], p.top)
+                    out.append((np.repeat(some, n), got, s))
+                if len(out) > 64:
+                    out = [_best(*(np.concatenate(c) for c in zip(*out, strict=True)), p.top)]
+        at, got, s = _best(*(np.concatenate(c) for c in zip(*out, strict=True)), p.top)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+        bounds = pa.array(np.append(first, len(at)), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(v)) for v in (got, s)]
+        return pa.table({"query_id": pa.array(q_ids[at[first]] if len(at) else np.zeros(0, np.int64)), "ids": lists[0], "scores": lists[1]})
+
+    found = rows.groupBy("cell", "deal").cogroup(asked.groupBy("cell", "deal")).applyInArrow(compare, "query_id long, ids array<long>, scores array<double>")
     return _merge(found, p.top)
 
 
+def _best(at: np.ndarray, ids: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The top entries of each number in at, in order."""
+    by = np.lexsort((ids, -scores, at))
+    at, ids, scores = at[by], ids[by], scores[by]
+    if not len(at):
+        return at, ids, scores
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    keep = rank < top
+    return at[keep], ids[keep], scores[keep]
+
+
 def _merge(found: DataFrame, top: int) -> DataFrame:
     """The best of each query's partial lists: query_id, rank, vec_id, score."""
     zipped = F.zip_with("ids", "scores", lambda i, s: F.struct((-s).alias("cost"), i.alias("vec_id"), s.alias("score")))
-    gathered = found.select("query_id", zipped.alias("near")).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    gathered = found.select("query_id", zipped.alias("near")).groupBy("query_id").agg(F.flatten(F.collect_list("near")).alias("near"))
     best = gathered.select("query_id", F.posexplode(F.slice(F.array_sort("near"), 1, top)).alias("at", "x"))
     return best.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
