@@ -184,3 +184,19 @@ def boosted(rows: DataFrame, y: str, features: list[str], **settings):
 
     chosen = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 7} | settings
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), GBTClassifier(labelCol=y, featuresCol="features", **chosen)]).fit(rows)
+
+
+def calibrate(first_bets: DataFrame, variances: dict[str, DataFrame], now: int, days: int = 365, newest: int = 100_000) -> dict[str, list[float] | None]:
+    """The models of a daily run: 'logit' of first bets (ts, log_vol, price, log_ttr, won) of the last ``days``, None under 50; and for each side of ``variances`` (ts, id, price,
+    error) the parabola a, b, c of its ``newest`` rows, None under 1,000 rows or where it cannot be a variance."""
+    recent = first_bets.where(F.col("ts") >= now - 86400 * days)
+    out: dict[str, list[float] | None] = {"logit": logit(recent, "won", ["log_vol", "price", "log_ttr"])}
+    for side, rows in variances.items():
+        fit = quadratic_fit(rows.orderBy(F.desc("ts"), F.desc("id")).limit(newest), "error", "price").first()
+        out[side] = None
+        if fit["n"] >= 1000 and fit["c0"] is not None:
+            a, b, c = fit["c2"], fit["c1"], fit["c0"]
+            middle = a / 4 + b / 2 + c
+            if a <= 0 and c >= -0.02 and a + b + c >= -0.02 and 0.001 < middle <= 0.35:
+                out[side] = [a, b, c]
+    return out

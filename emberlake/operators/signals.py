@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,17 +90,32 @@ def streaks(ticks: DataFrame, is_signal: Column) -> DataFrame:
     return x.withColumn("streak", F.sum("hit").over(inner)).select("id", "contract", "streak", "cumulative")
 
 
-def threshold_sweep(signals: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Per threshold the first row of each market at or over it (mirrored for negative signals), and the outcome of those bets.
-    signals: id, ts, market, signal, price, outcome. The thresholds are exploded, a fixed number per row."""
-    side = F.when(F.col("signal") > 0, 1).otherwise(-1)
-    price = F.when(F.col("signal") > 0, F.col("price")).otherwise(1 - F.col("price"))
-    won = F.when(F.col("signal") > 0, F.col("outcome")).otherwise(1 - F.col("outcome"))
-    x = signals.withColumns({"side": side, "paid": price, "won": won}).where(F.col("paid").between(0.05, 0.95) & F.col("outcome").isNotNull())
-    x = x.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).where(F.abs("signal") >= F.col("threshold"))
+def threshold_sweep(signals: DataFrame, thresholds: list[float], fresh_seconds: int | None = None) -> DataFrame:
+    """Ten figures of the bets on each market's first row at or over each threshold (side 1), and at or under its negative (side -1, on No).
+
+    signals: id, ts, market, signal, price, outcome, is_yes (of the token; others are turned to Yes), volume, started_at, resolved_at. With
+    ``fresh_seconds`` only rows and markets of that last stretch count. Prices of Yes outside [0.05, 0.95] do not. A bet runs to the resolution, a day at least;
+    its return a year is -1 if lost, else ((1 - p) / p) ** (1 / years) - 1, at most 6,570; won bets of 5 and less are left out, as are those without
+    volume. The thresholds are exploded, a fixed number per row."""
+    turn = lambda c: F.when(F.col("is_yes"), F.col(c)).otherwise(1 - F.col(c))
+    x = signals.where("outcome is not null").withColumns({"price": turn("price"), "outcome": turn("outcome")})
+    ends = signals.agg(F.max("ts").alias("_max"), F.min("ts").alias("_min"))  # one row
+    x = x.join(F.broadcast(ends), F.lit(True)).withColumn("_from", F.col("_max") - fresh_seconds if fresh_seconds is not None else F.col("_min"))
+    x = x.where((F.col("ts") >= F.col("_from")) & F.col("price").between(0.05, 0.95) & (F.col("started_at") >= F.col("_from"))).drop("_max", "_min", "_from")
+    x = x.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("side", F.when(F.col("signal") > 0, 1).otherwise(-1)).where(F.abs("signal") >= F.col("threshold"))
     w = Window.partitionBy("threshold", "market", "side").orderBy("ts", "id")
-    first = x.withColumn("rn", F.row_number().over(w)).where("rn = 1").withColumn("roi", F.col("won") / F.col("paid") - 1)
-    return first.groupBy("threshold").agg(F.count("*").alias("bets"), F.avg("roi").alias("mean_roi"), F.avg("won").alias("win_rate"), F.avg("paid").alias("mean_price"), F.stddev_samp("roi").alias("spread"), F.median("roi").alias("median_roi"))
+    first = x.withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    mirror = lambda c: F.when(F.col("side") > 0, F.col(c)).otherwise(1 - F.col(c))
+    days = (F.col("resolved_at") - F.col("ts")) / 86400.0
+    b = first.withColumns({"paid": mirror("price"), "won": mirror("outcome"), "days": days}).where("days > 0 and paid > 0 and volume > 0")
+    rate = F.log((1 - F.col("paid")) / F.col("paid")) / F.greatest(F.col("days") / 365.25, F.lit(1 / 365.25))
+    irr = F.when(F.col("won") != 1, -1.0).when(rate > math.log(6571), 6570.0).otherwise(F.exp(rate) - 1)
+    b = b.withColumn("irr", irr).where("irr > 5 or won = 0")
+    g = b.groupBy("threshold", "side").agg(
+        F.avg("paid").alias("mean_price"), F.avg("irr").alias("mean_irr"), F.count("*").alias("bets"), F.count_if(F.col("won") == 1).alias("wins"), F.count_if(F.col("won") == 0).alias("losses"),
+    )
+    g = g.withColumn("win_rate", F.col("wins") / F.col("bets")).withColumn("margin", F.col("win_rate") - F.col("mean_price"))
+    return g.withColumns({"win_loss": ratio(F.col("wins").cast("double"), F.col("losses")), "margin_share": F.col("margin") / F.col("mean_price"), "total": F.col("margin") * F.col("bets") / 100})
 
 
 def stable_buckets(signals: DataFrame) -> DataFrame:

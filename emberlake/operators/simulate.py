@@ -13,6 +13,7 @@ import itertools
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -388,6 +389,26 @@ def tune(events: DataFrame, splash: list[float], size: list[float], least_edge:
     return ranked.select("place", "config", F.element_at(of, F.col("config") + 1).alias("g"), "trades", "final_value", "drawdown", "score").select("place", "config", "g.*", "trades", "final_value", "drawdown", "score")
 
 
+def walk_forward(events: DataFrame, plan: list[tuple[int, int, int, int]], splash: list[float], size: list[float], least_edge: list[float], p: EventParams = EventParams()) -> DataFrame:
+    """For each fold of ``plan`` (train start, train end, test start, test end in seconds, ends open) the combination that does best in training, and what it
+    gives in the test: fold, splash, size, least_edge, train_score, test_value, test_drawdown, trades. Folds without rows give none."""
+    grid = list(itertools.product(splash, size, least_edge))
+    plans = [replace(p, splash=a, size=b, least_edge=c) for a, b, c in grid]
+    within = lambda lo, hi: (F.col("ts") >= lo) & (F.col("ts") < hi)
+    trained = [events.where(within(a, b)).select("*", F.explode(F.array(*(F.lit(i * len(grid) + g) for g in range(len(grid))))).alias("config")) for i, (a, b, _, _) in enumerate(plan)]
+    done = _events(reduce(DataFrame.unionByName, trained), lambda c: EventMachine(plans[c % len(grid)]))
+    score = (F.col("final_value") / p.cash - 1) / (F.col("drawdown") + 0.01)
+    ranked = done.select(F.floor(F.col("config") / len(grid)).cast("int").alias("fold"), (F.col("config") % len(grid)).alias("g"), score.alias("score"))
+    best = ranked.groupBy("fold").agg(F.max_by(F.struct("g", "score"), F.struct(F.round("score", 9), -F.col("g"))).alias("b")).collect()  # one row a fold
+    chosen = {r["fold"]: (r["b"]["g"], r["b"]["score"]) for r in best}
+    if not chosen:
+        return events.sparkSession.createDataFrame([], "fold int, splash double, size double, least_edge double, train_score double, test_value double, test_drawdown double, trades int")
+    tested = [events.where(within(plan[i][2], plan[i][3])).withColumn("config", F.lit(i)) for i in sorted(chosen)]
+    out = _events(reduce(DataFrame.unionByName, tested), lambda c: EventMachine(plans[chosen[c][0]]))
+    named = events.sparkSession.createDataFrame([(i, *grid[g], s) for i, (g, s) in chosen.items()], "fold int, splash double, size double, least_edge double, train_score double")
+    return named.join(out.select(F.col("config").alias("fold"), F.col("final_value").alias("test_value"), F.col("drawdown").alias("test_drawdown"), "trades"), "fold")
+
+
 @dataclass(frozen=True)
 class PortfolioParams:
     bank: float = 10_000.0

@@ -293,3 +293,19 @@ def q49d_cluster_pairs(spark, sf):
     """Pairs of contracts of a cluster that stand near each other: a band join within the cluster, by slots of the band's width."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("c"))
     return execution.band_pairs(p, "c", "a", 60)
+
+
+@query()
+def q43b_walk_forward_replay(spark, sf):
+    day, first = 86400, 1704067200
+    plan = [tuple(first + day * d for d in (i, i + 12, i + 14, i + 19)) for i in (0, 5, 10)]
+    return simulate.walk_forward(_event_rows(spark, sf), plan, [1000.0, 4000.0], [0.1, 0.5], [0.05, 0.2])
+
+
+@query()
+def q55g_calibrated(spark, sf):
+    """The models of a daily run, one row each, null where there is none."""
+    t = _bets(spark, sf).join(ticks(spark, sf).select("id", "ts"), "id")
+    v = t.select("ts", "id", "price", F.pow(F.col("won") - F.col("price"), 2).alias("error"))
+    got = fresh.calibrate(t, {"yes": v, "no": v.where("id < 500")}, 1706659200)
+    return spark.createDataFrame([(k, [round(x, 6) for x in m] if m else None) for k, m in got.items()], "model string, parameters array<double>")

@@ -37,17 +37,37 @@ def q15_q16_streaks(spark, sf):
 
 
 def _sweep_rows(spark, sf):
-    return ticks(spark, sf).select("id", "ts", F.col("wallet").alias("market"), (F.col("usdc") * F.col("side") / 100).alias("signal"), "price", (F.col("id") % 2).cast("double").alias("outcome"))
+    i, w, t = F.col("id"), F.col("wallet"), F.col("ts")
+    return ticks(spark, sf).select(
+        "id", "ts", w.alias("market"), (F.col("usdc") * F.col("side") / 100).alias("signal"), "price", (i % 2).cast("double").alias("outcome"), (i % 4 != 1).alias("is_yes"), F.when(i % 13 == 0, 0.0).otherwise(F.col("usdc")).alias("volume"),
+        (F.lit(1704067200) + (w % 9) * 100000).alias("started_at"), (t + (w % 40 - 2) * 43200).alias("resolved_at"),
+    )
+
+
+_SWEEP = _W + f""", s AS (SELECT id, ts, wallet AS market, usdc * side / 100 AS signal, CASE WHEN id % 4 <> 1 THEN price ELSE 1 - price END AS price, CASE WHEN id % 4 <> 1 THEN (id % 2)::DOUBLE ELSE 1 - (id % 2)::DOUBLE END AS outcome,
+ CASE WHEN id % 13 = 0 THEN 0e0 ELSE usdc END AS volume, 1704067200 + (wallet % 9) * 100000 AS st, ts + (wallet % 40 - 2) * 43200 AS en FROM ticks),
+y AS (SELECT *, CASE WHEN signal > 0 THEN 1 ELSE -1 END AS side FROM s, (VALUES (0.5e0), (1e0), (2e0), (4e0)) t(threshold) WHERE ts >= (SELECT @@ FROM ticks) AND st >= (SELECT @@ FROM ticks) AND price BETWEEN 0.05 AND 0.95 AND abs(signal) >= threshold),
+f AS (SELECT threshold, side, CASE WHEN side > 0 THEN price ELSE 1 - price END AS p, CASE WHEN side > 0 THEN outcome ELSE 1 - outcome END AS won, (en - ts) / 86400e0 AS days, volume FROM (SELECT *, row_number() OVER (PARTITION BY threshold, market, side ORDER BY ts, id) AS rn FROM y) WHERE rn = 1),
+r AS (SELECT *, ln((1 - p) / p) / greatest(days / 365.25, 1 / 365.25) AS rate FROM f WHERE days > 0 AND p > 0 AND volume > 0), i AS (SELECT *, CASE WHEN won <> 1 THEN -1e0 WHEN rate > ln(6571) THEN 6570e0 ELSE exp(rate) - 1 END AS irr FROM r),
+g AS (SELECT threshold, side, avg(p) AS mp, avg(irr) AS mi, count(*) AS bets, count(*) FILTER (won = 1) AS wins, count(*) FILTER (won = 0) AS losses FROM i WHERE irr > 5 OR won = 0 GROUP BY ALL)
+SELECT threshold, side, bets, wins, losses, round(mp, 6) AS mean_price, round(mi, 4) AS mean_irr, round(wins / bets, 6) AS win_rate, round(wins / nullif(losses, 0), 6) AS win_loss, round(wins / bets - mp, 6) AS margin, round((wins / bets - mp) / mp, 6) AS margin_share,
+ round((wins / bets - mp) * bets / 100, 6) AS total FROM g"""
+
 
+def _sweep(spark, sf, fresh_seconds):
+    g = signals.threshold_sweep(_sweep_rows(spark, sf), [0.5, 1.0, 2.0, 4.0], fresh_seconds)
+    return g.select("threshold", "side", "bets", "wins", "losses", F.round("mean_irr", 4).alias("mean_irr"), *r6(**{c: c for c in ("mean_price", "win_rate", "win_loss", "margin", "margin_share", "total")}))
 
-@query(f"""{_W}, s AS (SELECT id, ts, wallet AS market, usdc * side / 100 AS signal, price, (id % 2)::DOUBLE AS outcome FROM ticks),
-x AS (SELECT *, CASE WHEN signal > 0 THEN 1 ELSE -1 END AS sd, CASE WHEN signal > 0 THEN price ELSE 1 - price END AS paid, CASE WHEN signal > 0 THEN outcome ELSE 1 - outcome END AS won FROM s),
-y AS (SELECT * FROM x, (VALUES (0.5e0), (1e0), (2e0), (4e0)) t(threshold) WHERE paid BETWEEN 0.05 AND 0.95 AND abs(signal) >= threshold),
-f AS (SELECT *, won / paid - 1 AS roi FROM (SELECT *, row_number() OVER (PARTITION BY threshold, market, sd ORDER BY ts, id) AS rn FROM y) WHERE rn = 1)
-SELECT threshold, count(*) AS bets, round(avg(roi), 6) AS mean_roi, round(avg(won), 6) AS win_rate, round(avg(paid), 6) AS mean_price, round(stddev_samp(roi), 6) AS spread, round(median(roi), 6) AS median_roi FROM f GROUP BY threshold""")
+
+@query(_SWEEP.replace("@@", "min(ts)"))
 def q17_threshold_sweep(spark, sf):
-    g = signals.threshold_sweep(_sweep_rows(spark, sf), [0.5, 1.0, 2.0, 4.0])
-    return g.select("threshold", "bets", *r6(mean_roi="mean_roi", win_rate="win_rate", mean_price="mean_price", spread="spread", median_roi="median_roi"))
+    return _sweep(spark, sf, None)
+
+
+@query(_SWEEP.replace("@@", "max(ts) - 2000000"))
+def q17b_fresh_sweep(spark, sf):
+    """Of the last 2,000,000 seconds."""
+    return _sweep(spark, sf, 2_000_000)
 
 
 @query(f"""{_W}, x AS (SELECT wallet AS market, price, (id % 2)::DOUBLE AS outcome, ((id * 53) % 100) / 100e0 AS prob, ((id * 7) % 30) / 100e0 AS variance FROM ticks)
