@@ -11,50 +11,54 @@ from pyspark.sql import functions as F
 
 from emberlake.llm import decontam, language_id, minhash, packing, suffix_dedup
 from emberlake.llm.queries import vocabulary_path
-from emberlake.llm.runtime import Scratch, prepare, table
+from emberlake.llm.runtime import Scratch, prepare, row_keys, table
 
 LEAST_LANGUAGE_SCORE = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and texts whose language is in doubt. Learns from the labelled rows of docs."""
+    """Drops texts without letters and texts whose language is in doubt. Learns from the labelled rows of docs; without any,
+    nothing is known of languages, and only texts without letters go. Null and empty texts go; rows are judged one by one."""
     langs, matrix = language_id.train(docs)
-    judged = language_id.predict(docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns if c != "text"}), langs, matrix, carry=[c if c == "text" else f"d_{c}" for c in docs.columns])
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.select(*(F.col(c if c == "text" else f"d_{c}").alias(c) for c in docs.columns))
-
-
-def with_row_ids(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with own_id as doc_id was, and a doc_id that no other row has. Tables of unique ids are not written anew."""
-    same = docs.withColumn("own_id", F.col("doc_id"))
-    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").take(1):
-        return same
-    return Scratch(spark).write(same.withColumn("doc_id", F.monotonically_increasing_id()), "rows")
+    own = {c: f"d_{c}" for c in docs.columns}
+    judged = language_id.predict(docs.select(*(F.col(c).alias(n) for c, n in own.items()), "text"), langs, matrix, carry=list(own.values()))
+    sure = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE) if langs else F.col("d_text").rlike(r"\p{L}")
+    return judged.where(sure).select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays: the one with the smallest id, null last."""
-    rows = with_row_ids(spark, docs)
-    groups = minhash.near_duplicates(rows, minhash.SketchParams(k=5)).select("doc_id", "component_id")
-    order = F.struct(F.col("own_id").isNull(), "own_id", "doc_id")
-    first = rows.select("doc_id", "own_id").join(groups, "doc_id").groupBy("component_id").agg(F.min_by("doc_id", order).alias("doc_id"))
-    return rows.join(first, "doc_id", "left_semi").withColumn("doc_id", F.col("own_id")).select(*docs.columns)
+    """One row of each near-duplicate group stays: the one with the smallest doc_id, null last. Rows with null or repeated ids are
+    told apart, texts without words are groups of their own, so no row goes for its id or for being empty."""
+    scratch = Scratch(spark)
+    own = {c: f"d_{c}" for c in docs.columns}
+    rows, _ = row_keys(docs.select(*(F.col(c).alias(n) for c, n in own.items())), scratch, "d_doc_id")
+    groups = minhash.linked_rows(rows.select("row", F.col("d_text").alias("text")), scratch, minhash.SketchParams(k=5)).select("row", "component")
+    order = F.struct(F.col("d_doc_id").isNull(), "d_doc_id", "row")
+    first = rows.select("row", "d_doc_id").join(groups, "row").groupBy("component").agg(F.min_by("row", order).alias("row"))
+    return rows.join(first, "row", "left_semi").select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts byte strings of 200 and more that occur elsewhere; drops documents of which nothing is left."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars", "doc_id")]
-    done = suffix_dedup.remove_repeats(with_row_ids(spark, docs), carry=[*others, "own_id"], as_text=True).withColumnRenamed("kept", "text")
-    left = done.where((F.size("spans") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long"))
-    return left.withColumn("doc_id", F.col("own_id")).select(*docs.columns)
+    """Cuts byte strings of 200 and more that occur elsewhere; drops documents of which nothing is left. Documents without such a
+    string stay as they are, null and empty ones too."""
+    own = {c: f"d_{c}" for c in docs.columns if c != "text"}
+    plain = docs.select(F.col("doc_id"), "text", *(F.col(c).alias(n) for c, n in own.items()))
+    done = suffix_dedup.remove_repeats(plain, carry=list(own.values()), as_text=True)
+    touched = F.size("spans") > 0
+    left = done.where(~touched | (F.trim("kept") != ""))
+    made = {"text": F.col("kept")}
+    if "n_chars" in own:
+        made["n_chars"] = F.when(touched, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("d_n_chars"))
+    return left.select(*(made.get(c, F.col(own.get(c, c))).alias(c) for c in docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage, exact or with substituted words."""
+    """Drops documents that hold a benchmark passage, exact or with substituted words; null and empty texts stay."""
     return decontam.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences; a null or empty text is one piece that holds only the end id."""
     return packing.pack(docs, vocabulary_path())
 
 
