@@ -27,6 +27,22 @@ def first_position(trades: DataFrame, markets: DataFrame) -> DataFrame:
     return x.withColumn("won", F.when(F.col("long"), F.col("outcome") > 0.5).otherwise(F.col("outcome") < 0.5))
 
 
+def update_first(state: DataFrame, trades: DataFrame) -> DataFrame:
+    """First positions after more trades: state and result have wallet, contract_id, long, first_ts, risk, qty, cost (price times quantity), one row a wallet. Known wallets
+    add what fits their contract and side, new ones start with their first trade; batches in order of time give what one run over all trades gives."""
+    q, long = F.abs("tokens"), F.col("tokens") > 0
+    risk = F.when(long, F.col("usdc")).otherwise(q * (1 - F.col("price")))
+    t = trades.select("wallet", "contract_id", long.alias("long"), "ts", risk.alias("risk"), q.alias("qty"), (F.col("price") * q).alias("cost"), F.struct("ts", "order_id", "contract_id", "price", "tokens").alias("turn"))
+    known = state.select("wallet", F.col("contract_id").alias("_c"), F.col("long").alias("_l"), F.col("first_ts").alias("_t"))
+    first = t.groupBy("wallet").agg(F.min_by(F.struct("contract_id", "long", "ts"), "turn").alias("f"))
+    of = first.join(known, "wallet", "left").select(
+        "wallet", F.coalesce("_c", "f.contract_id").alias("contract_id"), F.coalesce("_l", "f.long").alias("long"), F.coalesce("_t", "f.ts").alias("first_ts"),
+    )
+    added = t.join(of, ["wallet", "contract_id", "long"]).groupBy("wallet", "contract_id", "long", "first_ts").agg(*(F.sum(c).alias(c) for c in ("risk", "qty", "cost")))
+    both = state.select(*added.columns).unionByName(added)
+    return both.groupBy("wallet", "contract_id", "long", "first_ts").agg(*(F.sum(c).alias(c) for c in ("risk", "qty", "cost")))
+
+
 def volume_bin(risk: Column) -> Column:
     """0 .. 8 by right-closed edges; null at 0 and below."""
     chain = F.when(risk <= 0, F.lit(None).cast("int"))

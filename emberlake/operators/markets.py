@@ -59,6 +59,23 @@ def repair_class(tokens: DataFrame) -> DataFrame:
     return g.select("market_id", kind.alias("class"))
 
 
+def price_fallback(tokens: DataFrame, win: float = 0.95, lose: float = 0.05) -> DataFrame:
+    """Outcomes by price for markets that are resolved, but of which no token has one: market_id, contract_id, outcome. tokens: market_id, contract_id, token_index,
+    outcome, resolved, last_price. The price is token 0's, else 1 less another token's (the lowest index that has one); a market without token 0 takes its lowest as
+    such. From ``win`` on token 0 has won, up to ``lose`` the others have; between, and without price, nothing is said."""
+    w = Window.partitionBy("market_id")
+    x = tokens.withColumn("zero", F.col("token_index") == F.min("token_index").over(w))
+    known = F.when(F.col("last_price").isNotNull() & ~F.isnan("last_price"), F.col("last_price"))
+    g = x.withColumn("p", known).groupBy("market_id").agg(
+        F.min(F.when(F.col("zero"), F.col("p"))).alias("own"), F.min_by(F.when(~F.col("zero"), F.col("p")), F.when(~F.col("zero") & F.col("p").isNotNull(), F.col("token_index"))).alias("other"),
+        F.max(F.col("resolved")).alias("resolved"), F.count("outcome").alias("known"),
+    )
+    p = F.coalesce("own", 1 - F.col("other"))
+    first = F.when(p >= win, 1.0).when(p <= lose, 0.0)
+    said = g.where("resolved and known = 0").select("market_id", first.alias("first")).where("first is not null")
+    return x.join(said, "market_id").select("market_id", "contract_id", F.when(F.col("zero"), F.col("first")).otherwise(1 - F.col("first")).alias("outcome"))
+
+
 def authority(tokens: DataFrame) -> DataFrame:
     """Outcome per token: any 1 gives 1, any 0.5 gives 0.5, another winner in the market gives 0, else null."""
     t = tokens.groupBy("market_id", "contract_id").agg(F.max((F.col("outcome") == 1).cast("int")).alias("one"), F.max((F.col("outcome") == 0.5).cast("int")).alias("half"))

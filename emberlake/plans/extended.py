@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from emberlake.operators import bayes, execution, frames, fresh, intervals, markets as mk, signals, simulate
 from emberlake.plans.registry import query, r6
-from emberlake.plans.views import MARKETS, TICKS, TRADES, markets, table, ticks, trades
+from emberlake.plans.views import MARKETS, TICKS, TRADES, markets, register, table, ticks, trades
 
 _W = f"WITH {TICKS}"
 _NOW, _SINCE = 1_000_500_000, 980_000_000
@@ -309,3 +309,37 @@ def q55g_calibrated(spark, sf):
     v = t.select("ts", "id", "price", F.pow(F.col("won") - F.col("price"), 2).alias("error"))
     got = fresh.calibrate(t, {"yes": v, "no": v.where("id < 500")}, 1706659200)
     return spark.createDataFrame([(k, [round(x, 6) for x in m] if m else None) for k, m in got.items()], "model string, parameters array<double>")
+
+
+_VIEWS = """SELECT brand, count(*) AS n, round(sum(usdc), 2) AS usdc, round(avg(CASE WHEN tokens > 0 THEN price END), 6) AS mean_bought, count(DISTINCT wallet) AS wallets
+FROM trades JOIN markets USING (contract_id) WHERE price BETWEEN 0.01 AND 0.99 GROUP BY brand HAVING count(*) > 10"""
+
+
+@query(f"WITH {TRADES}, {MARKETS} {_VIEWS}")
+def q00_sql_views(spark, sf):
+    """The same text as SQL over the views."""
+    register(spark, sf)
+    return spark.sql(_VIEWS)
+
+
+@query(f"""WITH {TRADES}, s AS (SELECT *, abs(tokens) AS q, CASE WHEN tokens > 0 THEN usdc ELSE abs(tokens) * (1 - price) END AS risk FROM trades),
+f AS (SELECT wallet, contract_id, tokens > 0 AS long, ts AS first_ts FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY ts, order_id, contract_id, price, tokens) AS n FROM s) WHERE n = 1)
+SELECT wallet, contract_id, long, first_ts, round(sum(risk), 4) AS risk, round(sum(q), 4) AS qty, round(sum(price * q), 4) AS cost FROM s JOIN f USING (wallet, contract_id) WHERE (tokens > 0) = long GROUP BY ALL""")
+def q09c_first_by_batches(spark, sf):
+    """First positions kept up to date over three stretches of time."""
+    t = trades(spark, sf)
+    state = spark.createDataFrame([], "wallet long, contract_id long, long boolean, first_ts long, risk double, qty double, cost double")
+    for lo, hi in ((0, 850_000_000), (850_000_000, 900_000_000), (900_000_000, 2_000_000_000)):
+        state = fresh.update_first(state, t.where((F.col("ts") >= lo) & (F.col("ts") < hi)))
+    return state.select("wallet", "contract_id", "long", "first_ts", *(F.round(c, 4).alias(c) for c in ("risk", "qty", "cost")))
+
+
+@query(f"""WITH {MARKETS}, t AS (SELECT market_id, contract_id, token_index, CASE WHEN market_id % 2 = 0 THEN outcome END AS outcome, contract_id % 5 <> 0 AS resolved, CASE WHEN contract_id % 3 = 0 THEN NULL WHEN contract_id % 7 < 3 THEN 0.995 WHEN contract_id % 7 = 3 THEN 0.005 ELSE 0.5 END AS p FROM markets),
+z AS (SELECT *, token_index = min(token_index) OVER (PARTITION BY market_id) AS zero FROM t), g AS (SELECT market_id, max(CASE WHEN zero THEN p END) AS own, max(CASE WHEN NOT zero THEN p END) AS other, bool_or(resolved) AS r, count(outcome) AS k FROM z GROUP BY market_id),
+f AS (SELECT market_id, CASE WHEN coalesce(own, 1 - other) >= 0.95 THEN 1e0 WHEN coalesce(own, 1 - other) <= 0.05 THEN 0e0 END AS first FROM g WHERE r AND k = 0)
+SELECT market_id, contract_id, CASE WHEN zero THEN first ELSE 1 - first END AS outcome FROM z JOIN f USING (market_id) WHERE first IS NOT NULL""")
+def q24c_price_fallback(spark, sf):
+    k = F.col("contract_id")
+    price = F.when(k % 3 == 0, F.lit(None).cast("double")).when(k % 7 < 3, 0.995).when(k % 7 == 3, 0.005).otherwise(0.5)
+    outcome = F.when(F.col("market_id") % 2 == 0, F.col("outcome"))
+    return mk.price_fallback(markets(spark, sf).select("market_id", "contract_id", "token_index", outcome.alias("outcome"), (k % 5 != 0).alias("resolved"), price.alias("last_price")))

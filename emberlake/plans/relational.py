@@ -467,3 +467,16 @@ def s11_log_order_stream(spark, sf):
         return streams.in_block_order(x.unionByName(x))
 
     return _stream(spark, sf, build)
+
+
+@query("""SELECT event_id AS id, event_type AS asset, round(value, 2) AS price FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT event_id, 'again', 0.5 FROM events WHERE event_id % 7 <> 0 AND event_id % 3 = 0""")
+def s12_json_stream(spark, sf):
+    """Messages as text: an object, every third an array of two, every seventh broken."""
+    def build(e):
+        price = F.format_string("%.2f", F.round("value", 2))
+        one = F.concat(F.lit('{"id":'), "event_id", F.lit(',"asset":"'), "event_type", F.lit('","price":'), price, F.lit("}"))
+        two = F.concat(F.lit("["), one, F.lit(',{"id":'), "event_id", F.lit(',"asset":"again","price":0.5}]'))
+        text = F.when(F.col("event_id") % 7 == 0, "{broken").when(F.col("event_id") % 3 == 0, two).otherwise(one)
+        return streams.json_messages(e.select(text.alias("value")), "id long, asset string, price double").select("id", "asset", F.round("price", 2).alias("price"))
+
+    return _stream(spark, sf, build)

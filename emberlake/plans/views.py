@@ -64,3 +64,11 @@ TICKS = """ticks AS (
   SELECT event_id AS id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS ts, epoch_us(ts) AS us, user_id AS wallet, event_type AS contract, value AS usdc,
          (((event_id * 37) % 99 + 1) / 100.0)::DOUBLE AS price, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS side, props
   FROM events)"""
+
+
+def register(spark: SparkSession, sf_dir: str) -> None:
+    """Makes trades, markets, ticks and the tables themselves temporary views, for ``spark.sql``; nothing is read until a query asks for it."""
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    for name, made in (("trades", trades), ("markets", markets), ("ticks", ticks)):
+        made(spark, sf_dir).createOrReplaceTempView(name)

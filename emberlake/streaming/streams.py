@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 LATE = "30 minutes"
 
@@ -141,6 +142,19 @@ def legs(df: DataFrame) -> DataFrame:
     return df.select("id", F.explode(two).alias("x")).select("id", "x.*")
 
 
+def json_messages(raw: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """Fields of the messages of a socket or queue, which come as JSON text: objects, or arrays of objects. What is neither gives no row."""
+    one, many = F.from_json(column, schema), F.from_json(column, f"array<struct<{_fields(schema)}>>")
+    listed = F.when(F.ltrim(column).startswith("["), many).otherwise(F.array(one))
+    x = raw.withColumn("_m", F.explode(listed)).where(F.col("_m").isNotNull())
+    names = [f.name for f in StructType.fromDDL(schema)]
+    return x.where(F.coalesce(*(F.col(f"_m.{n}").cast("string") for n in names)).isNotNull()).select(*(c for c in raw.columns if c != column), "_m.*")
+
+
+def _fields(schema: str) -> str:
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(schema))
+
+
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append", each: Callable | None = None) -> DataFrame | None:
     """Processes what is there and stops: into a memory table, or batch by batch through ``each(frame, batch_id)``."""
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
