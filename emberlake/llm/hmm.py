@@ -7,14 +7,18 @@ the word: P(word | state) = P(class | state) * P(word | class), with P(word | cl
 the class's own counts C and types V, unknown words being one more type of their class. So texts have a proper
 probability, log10 P(text) = log10 forward likelihood of the class sequence + sum of log10 P(word | class).
 
-Training: expected counts of segments of ``segment`` tokens are computed in every scan task, summed by Spark, and
+Training: expected counts of segments of ``segment`` tokens are computed in every task, summed by Spark, and
 normalised on the driver (states x classes numbers, independent of the corpus). Every round uses all training texts. After
 ``first_rounds`` + ``full_rounds`` rounds they go on until the likelihood of a token gains less than ``least_gain`` (log10).
 
-Word counts of unbounded vocabularies are never broadcast: each block of ``block_rows`` texts asks for its distinct
-words, the counts are joined by word and come back to the block. Blocks follow the order of the scan, so ``docs`` must be a
-table that reads the same way twice; anything else is written to the shared folder first.
-Null texts are empty: the end token alone. An empty training set leaves the uniform model.
+Word counts of unbounded vocabularies are never broadcast. One scan writes, for blocks of about ``block_bytes`` of text, the
+distinct words of the block and each text as numbers of these; the counts are joined by word (a word is one row a block, so
+none is hot) and come back to the block, where texts become class sequences. These are written, and all rounds and the
+score read them; the texts are read once, so a plan that does not read the same way twice does no harm.
+
+Words are told apart by 64-bit hashes. Null texts are empty: the end token alone. An empty training set leaves the uniform
+model; an empty table gives no rows. Repeated rows and ids are scored, and learned from, row by row; rows whose ``training`` is null are not learned from.
+Other columns are not read. A very long text is a block of its own, at about 40 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -42,7 +46,11 @@ class HmmParams:
     first_rounds: int = 8
     full_rounds: int = 2
     least_gain: float = 1e-3
-    block_rows: int = 2048
+    block_bytes: int = 8 << 20
+    #: Tokens taken together in a round.
+    together: int = 1 << 18
+    #: Steps of the recursions between two scalings.
+    scaling: int = 8
     smoothing: float = 0.1
 
     @property
@@ -67,19 +75,6 @@ def tail_class(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: HmmPara
     return 1 + (textscan.mix(h) % _U(p.tail_classes)).astype(np.int64)
 
 
-def class_sequence(data: np.ndarray, offsets: np.ndarray, top: np.ndarray, p: HmmParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all tokens with an end after each text, row pointers into them, word hashes and their row pointers.
-    top: sorted hashes of the most frequent words."""
-    low = textscan.LOWER[data]
-    starts, ends, ptr = textscan.words(low, offsets)
-    h = textscan.range_hash(textscan.prefix_hash(low), starts, ends)
-    of = tail_class(low, starts, ends, p)
-    if len(top):
-        at = np.minimum(np.searchsorted(top, h), len(top) - 1)
-        of = np.where(top[at] == h, 1 + p.tail_classes + at, of)
-    return np.insert(of, ptr[1:], END), ptr + np.arange(len(ptr)), h, ptr
-
-
 def random_start(frequency: np.ndarray, p: HmmParams) -> Model:
     rng = np.random.default_rng(11)
     emit = frequency[:, None] * np.exp(rng.normal(0, 1.0, (len(frequency), p.states)))
@@ -91,98 +86,144 @@ def random_start(frequency: np.ndarray, p: HmmParams) -> Model:
     return Model(flat, flat.copy(), move, emit / emit.sum(0))
 
 
+def _in_step(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sequences sorted by falling size: how many are live at each step, and the place of each token, step by step."""
+    live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
+    first = np.cumsum(live) - live
+    row = np.arange(int(live.sum())) - np.repeat(first, live)
+    return live, begin[row] + np.repeat(np.arange(len(live)), live)
+
+
+def _forward(first: np.ndarray, e: np.ndarray, live: np.ndarray, move: np.ndarray, every: int) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]:
+    """Scaled forward recursion; e: emissions step by step, first: state probabilities of each sequence's first token. Forward
+    values, divisors by step, and log10 likelihood of each sequence."""
+    alpha, scales, fit = np.empty_like(e), {}, np.zeros(len(first))
+    at = 0
+    for t, k in enumerate(live.tolist()):
+        a = alpha[at : at + k]
+        if t:
+            np.matmul(alpha[before : before + k], move, out=a)  # noqa: F821
+        else:
+            a[:] = first
+        a *= e[at : at + k]
+        on = live[t + 1] if t + 1 < len(live) else 0
+        if t % every == every - 1:
+            scales[t] = s = a.sum(1)
+            a /= s[:, None]
+            fit[:k] += np.log10(s)
+        elif on < k:  # sequences that end here
+            fit[on:k] += np.log10(a[on:].sum(1))
+        before, at = at, at + k
+    return alpha, scales, fit
+
+
 def expected_counts(cls: np.ndarray, ptr: np.ndarray, model: Model, p: HmmParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over segments: counts of starts, later-segment starts, moves and emissions; log10 likelihood and tokens."""
     s = p.states
-    begin = np.concatenate([np.arange(a, b, p.segment) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]) if len(ptr) > 1 else np.zeros(0, np.int64)
-    row_first = np.isin(begin, ptr[:-1])
-    size = np.minimum(p.segment, ptr[np.searchsorted(ptr, begin, "right")] - begin)
+    n = np.maximum(-(-np.diff(ptr) // p.segment), 0)
+    turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.repeat(ptr[:-1], n) + turn * p.segment
+    size = np.minimum(p.segment, np.repeat(ptr[1:], n) - begin)
     by = np.argsort(-size, kind="stable")
-    begin, size, row_first = begin[by], size[by], row_first[by]
-    n, longest = len(begin), int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(longest), "left")  # segments with more than t tokens
-    alpha = [None] * longest
-    scale = [None] * longest
-    for t in range(longest):
-        k = live[t]
-        e = model.emit[cls[begin[:k] + t]]
-        before = np.where(row_first[:, None], model.start, model.again) if t == 0 else alpha[t - 1][:k] @ model.move
-        a = before * e
-        scale[t] = a.sum(1)
-        alpha[t] = a / scale[t][:, None]
-    start, again = np.zeros(s), np.zeros(s)
-    move, emit = np.zeros((s, s)), np.zeros((p.classes, s))
-    beta = np.ones((n, s))
-    gathered, classes = [], []
-    for t in range(longest - 1, -1, -1):
-        k = live[t]
-        gamma = alpha[t] * beta[:k]
-        gathered.append(gamma)
-        classes.append(cls[begin[:k] + t])
-        ahead = beta[:k] * model.emit[classes[-1]] / scale[t][:, None]
+    begin, size, row_first = begin[by], size[by], turn[by] == 0
+    live, token = _in_step(begin, size)
+    of = cls[token]
+    e = np.take(model.emit, of, axis=0)
+    alpha, scales, fit = _forward(np.where(row_first[:, None], model.start, model.again), e, live, model.move, p.scaling)
+    start, again, move = np.zeros(s), np.zeros(s), np.zeros((s, s))
+    gamma, beta = np.empty_like(e), np.ones((len(begin), s))
+    at = len(e)
+    back = np.ascontiguousarray(model.move.T)
+    for t in range(len(live) - 1, -1, -1):
+        k, on = int(live[t]), int(live[t + 1]) if t + 1 < len(live) else 0
+        at -= k
+        a, b = alpha[at : at + k], beta[:k]
+        if on < k:
+            b[on:] = 1 / a[on:].sum(1)[:, None]
+        np.multiply(a, b, out=gamma[at : at + k])  # sums to 1: the values behind are scaled by the likelihood
         if t:
-            move += alpha[t - 1][:k].T @ ahead
-            beta[:k] = ahead @ model.move.T
+            ahead = b * e[at : at + k]
+            if t in scales:
+                ahead /= scales[t][:, None]
+            move += alpha[at - live[t - 1] : at - live[t - 1] + k].T @ ahead
+            np.matmul(ahead, back, out=b)
         else:
-            start += gamma[row_first].sum(0)
-            again += gamma[~row_first].sum(0)
-    if gathered:
-        gamma, of = np.concatenate(gathered), np.concatenate(classes)
-        for i in range(s):
-            emit[:, i] = np.bincount(of, gamma[:, i], p.classes)
-    fit = np.array([sum(np.log10(x).sum() for x in scale), float(size.sum())])
-    return start, again, move * model.move, emit, fit
-
-
-def forward(cls: np.ndarray, ptr: np.ndarray, model: Model) -> np.ndarray:
-    """Exact log10 likelihood of each row's class sequence by the scaled forward recursion."""
+            start += gamma[:k][row_first].sum(0)
+            again += gamma[:k][~row_first].sum(0)
+    columns = np.ascontiguousarray(gamma.T)
+    emit = np.stack([np.bincount(of, columns[i], p.classes) for i in range(s)], axis=1)
+    return start, again, move * model.move, emit, np.array([fit.sum(), float(size.sum())])
+
+
+def forward(cls: np.ndarray, ptr: np.ndarray, model: Model, every: int = 8) -> np.ndarray:
+    """Exact log10 likelihood of each row's class sequence (none is empty) by the scaled forward recursion."""
     size = np.diff(ptr)
     by = np.argsort(-size, kind="stable")
-    begin, size = ptr[:-1][by], size[by]
-    total = np.zeros(len(by))
-    a = None
-    live = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")
-    for t, k in enumerate(live.tolist()):
-        e = model.emit[cls[begin[:k] + t]]
-        a = e * model.start if t == 0 else (a[:k] @ model.move) * e
-        scale = a.sum(1)
-        a /= scale[:, None]
-        total[:k] += np.log10(scale)
+    live, token = _in_step(ptr[:-1][by], size[by])
     out = np.empty(len(by))
-    out[by] = total
+    out[by] = _forward(np.broadcast_to(model.start, (len(by), len(model.start))), np.take(model.emit, cls[token], axis=0), live, model.move, every)[2]
     return out
 
 
-def _round(docs: DataFrame, top, model: Model, p: HmmParams) -> tuple[Model, float]:
-    """One Baum-Welch step over all rows of docs (text), and the log10 likelihood of a token before it."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _sequences(batches, column: int, most: int):
+    """Slices of the batches with about ``most`` tokens, with classes and row pointers."""
+    for batch in batches:
+        cls, ptr = textscan.unblob(batch.column(column), np.int16)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = min(max(int(np.searchsorted(ptr, ptr[lo] + most, "right")) - 1, lo + 1), batch.num_rows)
+            yield batch.slice(lo, hi - lo), cls[ptr[lo] : ptr[hi]].astype(np.int64), ptr[lo : hi + 1] - ptr[lo]
+            lo = hi
+
+
+def _round(learn: DataFrame, model: Model, p: HmmParams) -> tuple[Model, float]:
+    """One Baum-Welch step over all rows of learn (cls), and the log10 likelihood of a token before it."""
+    shared = learn.sparkSession.sparkContext.broadcast(model)
     s = p.states
 
     def count(batches):
         total = [np.zeros(s), np.zeros(s), np.zeros((s, s)), np.zeros((p.classes, s)), np.zeros(2)]
-        for _, data, offsets in textscan.chunks(batches):
-            cls, ptr, _, _ = class_sequence(data, offsets, top.value, p)
+        for cls, ptr in _together(batches, p.together):
             for x, y in zip(total, expected_counts(cls, ptr, shared.value, p), strict=True):
                 x += y
         flat = np.concatenate([x.ravel() for x in total])
         at = np.flatnonzero(flat)
         yield textscan.batch(at=at.astype(np.int32), v=flat[at])
 
-    got = docs.select("text").mapInArrow(count, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+    got = learn.select("cls").mapInArrow(count, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
     flat = np.zeros(2 * s + s * s + p.classes * s + 2)
     flat[got["at"].to_numpy(np.int64)] = got["v"].to_numpy()
     flat, fit = flat[:-2], flat[-2:]
     start, again, move, emit = flat[:s] + 1e-3, flat[s : 2 * s] + 1e-3, flat[2 * s : 2 * s + s * s].reshape(s, s) + 1e-3, flat[2 * s + s * s :].reshape(-1, s)
     share = emit.sum(1, keepdims=True) + 0.5
     emit = emit + p.smoothing * p.classes * share / share.sum()
+    shared.unpersist()
     return Model(start / start.sum(), again / again.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), fit[0] / max(1.0, fit[1])
 
 
-def train(learn: DataFrame, top, model: Model, p: HmmParams) -> tuple[Model, list[float]]:
+def _together(batches, most: int):
+    """Classes and row pointers of all batches, in portions of about ``most`` tokens."""
+    held, n = [], 0
+    for _, cls, ptr in _sequences(batches, 0, most):
+        held.append((cls, ptr))
+        n += len(cls)
+        if n >= most:
+            yield _joined(held)
+            held, n = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.concatenate([np.diff(ptr) for _, ptr in held])
+    return np.concatenate([cls for cls, _ in held]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def train(learn: DataFrame, model: Model, p: HmmParams) -> tuple[Model, list[float]]:
     """The model after all rounds, and the log10 likelihood of a token before each."""
     fits: list[float] = []
     while len(fits) < max(2, p.first_rounds + p.full_rounds) or fits[-1] - fits[-2] >= p.least_gain:
-        model, fit = _round(learn, top, model, p)
+        model, fit = _round(learn, model, p)
         fits.append(fit)
     return model, fits
 
@@ -193,91 +234,106 @@ def score_texts(docs: DataFrame, training: Column, p: HmmParams = HmmParams()) -
     spark = runtime.prepare(docs.sparkSession)
     scratch = runtime.Scratch(spark)
     docs = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("training"))
-    at = F.monotonically_increasing_id()
-    width = p.block_rows.bit_length() - 1
-    blocked = docs.select(F.shiftright(at, width).alias("block"), "doc_id", "text", "training")
 
-    def ask(batches):
-        """Distinct words of each block, with their count in training texts and their tail class."""
-        held: dict[int, list] = {}
-
-        def flush(block):
-            h, n, tail = (np.concatenate(x) for x in zip(*held.pop(block), strict=True))
-            distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            return textscan.batch(block=np.full(len(distinct), block), word=textscan.int64(distinct), n=np.bincount(inverse, n, len(distinct)).astype(np.int64), tail=tail[first].astype(np.int32))
+    def number(batches):
+        """A row for each text, with the places of its words among the block's; and a row for each word of the block: n (in training texts), tail."""
+        from pyspark import TaskContext
+
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush():
+            words, _, place = textscan.distinct(np.concatenate([x[2] for x in held]))
+            n, tail = np.zeros(len(words), np.int64), np.empty(len(words), np.int16)
+            at = 0
+            for rows, learned, own, own_tail, index, ptr in held:
+                to = place[at : at + len(own)]
+                at += len(own)
+                tail[to] = own_tail
+                n[to] += np.bincount(index, np.repeat(learned, np.diff(ptr)), len(own)).astype(np.int64)  # words of a chunk are different
+                yield _numbered(block, rows, texts=textscan.blobs(to[index].astype(np.int32), ptr))
+            for lo in range(0, len(words), 1 << 16):
+                yield _numbered(block, None, words=(np.arange(len(words), dtype=np.int32)[lo : lo + (1 << 16)], *(x[lo : lo + (1 << 16)] for x in (words.view(np.int64), n.astype(np.int32), tail))))
 
         for batch, data, offsets in textscan.chunks(batches):
             low = textscan.LOWER[data]
             starts, ends, ptr = textscan.words(low, offsets)
-            h, tail = textscan.range_hash(textscan.prefix_hash(low), starts, ends), tail_class(low, starts, ends, p)
-            block, learn = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            for b in np.unique(block):
-                if held and b not in held:
-                    yield flush(next(iter(held)))
-                own = np.flatnonzero(block == b)
-                lo, hi = ptr[own[0]], ptr[own[-1] + 1]
-                n = np.repeat(learn[own[0] : own[-1] + 1], np.diff(ptr[own[0] : own[-1] + 2])).astype(np.int64)
-                held.setdefault(b, []).append((h[lo:hi], n, tail[lo:hi]))
-                if sum(len(x[0]) for x in held[b]) > 4_000_000:
-                    yield flush(b)
-        for b in list(held):
-            yield flush(b)
-
-    asked = scratch.write(blocked.select("block", "text", "training").mapInArrow(ask, "block long, word long, n long, tail int"), "asked")
-    counts = scratch.write(asked.groupBy("word").agg(F.sum("n").alias("c"), F.min("tail").alias("tail")).where("c > 0"), "counts")
+            words, first, index = textscan.distinct(textscan.range_hash(low, starts, ends))
+            tail = tail_class(low, starts[first], ends[first], p).astype(np.int16)
+            held.append(((batch.column(0), batch.column(2)), batch.column(2).to_numpy(zero_copy_only=False), words, tail, index.astype(np.int32), ptr))
+            size += len(data)
+            if size >= p.block_bytes:
+                yield from flush()
+                block, held, size = block + 1, [], 0
+        if held:
+            yield from flush()
+
+    numbered = scratch.write(docs.mapInArrow(number, "block long, doc_id long, training boolean, place binary, at int, word long, n int, tail short"), "numbered")
+    listed = numbered.where("word is not null").select("block", "at", "word", "n", "tail")
+    counts = scratch.write(listed.groupBy("word").agg(F.sum("n").alias("c"), F.min("tail").alias("tail")).where("c > 0"), "counts")
     n_words, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_ends = docs.where("training").count()
     n_all, n_types = n_words + n_ends, n_types + (n_ends > 0)
 
-    best = sorted(np.array([r["word"] for r in counts.orderBy(F.desc("c"), "word").limit(p.top_words).collect()], np.int64).view(_U).tolist())
-    top = spark.sparkContext.broadcast(np.array(best, _U))
-    is_top = spark.createDataFrame([(int(x),) for x in np.array(best, _U).view(np.int64)], "word long")  # at most top_words rows
-    tail = counts.join(F.broadcast(is_top), "word", "left_anti").groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
+    frequent = counts.orderBy(F.desc("c"), "word").limit(p.top_words).select("word", "c").collect()
+    is_top = spark.createDataFrame([(r["word"], 1 + p.tail_classes + i) for i, r in enumerate(frequent)], "word long, top int")  # at most top_words rows
+    rest = counts.join(F.broadcast(is_top), "word", "left_anti").groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     mass = np.full(p.classes, 0.5)  # C + 0.5 (V + 1) of each class
-    for r in tail:
+    for r in rest:
         mass[r["tail"]] += r["c"] + 0.5 * r["v"]
     alone = np.zeros(p.classes, bool)
     alone[END] = True
     alone[1 + p.tail_classes :] = True
+    floor = np.log10(n_all + 0.5 * (n_types + 1)) if n_all else np.log10(0.5)
+
+    found = listed.select("block", "at", "word", "tail").join(counts.select("word", "c"), "word", "left").join(F.broadcast(is_top), "word", "left")
+    parts = max(1, listed.where("at = 0").count() // 4)  # blocks, by four
+    known = found.select("block", "at", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("top", "tail").cast("short").alias("class")).repartition(parts, "block")
+    given = scratch.read("numbered").where("place is not null").select("block", "doc_id", "training", "place").repartition(parts, "block")
+
+    def rate(key, texts, vocabulary):
+        """Class sequences, and the parts of the scores that need no model."""
+        own = texts.combine_chunks()
+        at = vocabulary.column("at").to_numpy()
+        c, of = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        c[at], of[at] = vocabulary.column("c").to_numpy(), vocabulary.column("class").to_numpy()
+        plain = np.log10(c + 0.5)
+        inside = np.where(alone[of], 0.0, plain - np.log10(mass[of]))
+        place, ptr = textscan.unblob(own.column("place").combine_chunks() if isinstance(own.column("place"), pa.ChunkedArray) else own.column("place"), np.int32)
+        many = len(ptr) - 1
+        row = np.repeat(np.arange(many), np.diff(ptr))
+        sums = lambda x: np.bincount(row, x[place], many)
+        tokens = np.diff(ptr) + 1
+        cls = np.insert(of.astype(np.int16)[place], ptr[1:], END)
+        return pa.table({
+            "doc_id": own.column("doc_id"), "training": own.column("training"), "n_tokens": pa.array(tokens), "n_known": sums(c > 0).astype(np.int64) + (n_ends > 0),
+            "base_score": sums(plain) + np.log10(n_ends + 0.5) - tokens * floor, "inside": sums(inside), "cls": textscan.blobs(cls, ptr + np.arange(len(ptr))),
+        })
+
+    result = "doc_id long, training boolean, n_tokens long, n_known long, base_score double, inside double, cls binary"
+    rated = scratch.write(given.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(rate, result), "sequences")
+    scratch.keep("sequences")
 
-    learn = docs.where("training").select("text")
     frequency = np.maximum(mass, 1.0)
-    for r in counts.orderBy(F.desc("c"), "word").limit(p.top_words).collect():
-        frequency[1 + p.tail_classes + np.searchsorted(top.value, np.array([r["word"]], np.int64).view(_U)[0])] = r["c"]
+    for i, r in enumerate(frequent):
+        frequency[1 + p.tail_classes + i] = r["c"]
     frequency[END] = max(1, n_ends)
     model = random_start(frequency / frequency.sum(), p)
     if n_ends:
-        model, _ = train(learn, top, model, p)
-    final = spark.sparkContext.broadcast((model, mass, alone))
-    known = asked.select("block", "word").join(counts.select("word", "c"), "word")
-    floor = np.log10(n_all + 0.5 * (n_types + 1)) if n_all else np.log10(0.5)
+        model, _ = train(rated.where("training").select("cls"), model, p)
+    final = spark.sparkContext.broadcast(model)
 
-    def rate(key, texts, vocabulary):
-        model, mass, alone = final.value
-        word = vocabulary.column("word").to_numpy().view(_U)
-        by = np.argsort(word)
-        word, c = word[by], vocabulary.column("c").to_numpy()[by]
-        out = []
-        flat = texts.combine_chunks().to_batches() if texts.num_rows else []
-        for batch, data, offsets in textscan.chunks(flat):
-            cls, ptr, h, own = class_sequence(data, offsets, top.value, p)
-            n = np.zeros(len(h))
-            if len(word):
-                place = np.minimum(np.searchsorted(word, h), len(word) - 1)
-                n = np.where(word[place] == h, c[place], 0)
-            plain = np.log10(n + 0.5)
-            of = np.delete(cls, ptr[1:] - 1)
-            inside = np.where(alone[of], 0.0, plain - np.log10(mass[of]))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(own))
-            sums = lambda x: np.bincount(row, x, batch.num_rows)  # noqa: E731,B023
-            tokens = np.diff(ptr)
-            out.append(textscan.batch(
-                doc_id=batch.column(batch.schema.get_field_index("doc_id")), training=batch.column(batch.schema.get_field_index("training")),
-                n_tokens=tokens, n_known=sums(n > 0).astype(np.int64) + (n_ends > 0), train_tokens=np.full(len(tokens), n_all),
-                base_score=sums(plain) + np.log10(n_ends + 0.5) - tokens * floor, score=forward(cls, ptr, model) + sums(inside),
-            ))
-        schema = pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        return pa.Table.from_batches(out, schema)
-
-    result = "doc_id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(rate, result)
+    def score(batches):
+        for batch, cls, ptr in _sequences(batches, 6, p.together):
+            total = forward(cls, ptr, final.value, p.scaling) + batch.column(5).to_numpy()
+            yield textscan.batch(doc_id=batch.column(0), training=batch.column(1), n_tokens=batch.column(2), n_known=batch.column(3), train_tokens=np.full(len(total), n_all), base_score=batch.column(4), score=total)
+
+    return rated.mapInArrow(score, "doc_id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _numbered(block: int, rows, texts: pa.Array | None = None, words: tuple | None = None) -> pa.RecordBatch:
+    """Rows of texts (doc_id and training in ``rows``), or of a block's words."""
+    n = len(texts) if words is None else len(words[0])
+    empty = lambda kind: pa.nulls(n, kind)
+    doc_id, training = rows if rows is not None else (empty(pa.int64()), empty(pa.bool_()))
+    at, word, count, tail = words if words is not None else map(empty, (pa.int32(), pa.int64(), pa.int32(), pa.int16()))
+    return textscan.batch(block=np.full(n, block), doc_id=doc_id, training=training, place=empty(pa.binary()) if texts is None else texts, at=at, word=word, n=count, tail=tail)

@@ -117,10 +117,18 @@ def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: n
     return same
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values in order of appearance, where each stands first, and the number of each value among them."""
+    coded = pa.array(values).dictionary_encode()
+    number = coded.indices.to_numpy().astype(np.int64)
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+    return coded.dictionary.to_numpy(), first, number
+
+
 def factorize(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A number for each distinct range, by its bytes: places of the first of each, and the number of each range."""
-    h = range_hash(data, starts, ends)
-    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    _, first, number = distinct(range_hash(data, starts, ends))
     if same_bytes(data, starts, ends, starts[first[number]], ends[first[number]]).all():
         return first, number
     raw, seen, first, number = data.tobytes(), {}, [], np.empty(len(starts), np.int64)  # equal hashes of different bytes
@@ -211,5 +219,19 @@ def int64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def blobs(values: np.ndarray, ptr: np.ndarray) -> pa.Array:
+    """Rows ptr[i] .. ptr[i + 1] of values as binary."""
+    values = np.ascontiguousarray(values)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ptr) - 1, [None, pa.py_buffer((ptr * values.itemsize).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def unblob(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of binary rows without nulls, and row pointers into them."""
+    _, offs, data = column.cast(pa.large_binary()).buffers()
+    offsets = np.frombuffer(offs, np.int64, len(column) + 1, column.offset * 8 if column.type == pa.large_binary() else 0)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(raw.tobytes(), kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
 def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
