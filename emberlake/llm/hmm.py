@@ -272,11 +272,13 @@ def score_texts(docs: DataFrame, training: Column, p: HmmParams = HmmParams()) -
     counts = scratch.write(listed.groupBy("word").agg(F.sum("n").alias("c"), F.min("tail").alias("tail")).where("c > 0"), "counts")
     n_words, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_ends = docs.where("training").count()
+    scratch.drop()  # the shuffle behind the counts goes before the next one begins
     n_all, n_types = n_words + n_ends, n_types + (n_ends > 0)
 
     frequent = counts.orderBy(F.desc("c"), "word").limit(p.top_words).select("word", "c").collect()
     is_top = spark.createDataFrame([(r["word"], 1 + p.tail_classes + i) for i, r in enumerate(frequent)], "word long, top int")  # at most top_words rows
     rest = counts.join(F.broadcast(is_top), "word", "left_anti").groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
+    scratch.drop()
     mass = np.full(p.classes, 0.5)  # C + 0.5 (V + 1) of each class
     for r in rest:
         mass[r["tail"]] += r["c"] + 0.5 * r["v"]

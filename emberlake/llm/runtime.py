@@ -16,6 +16,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 BATCH_ROWS = 2048
@@ -67,16 +68,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Named Parquet tables of one operator call in the shared folder."""
+    """Named Parquet tables of one operator call in the shared folder; what a result still reads is deleted when the session's process ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self.schemas: dict[str, StructType] = {}
         self.base = f"{shared_dir(spark).rstrip('/')}/emberlake-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, self.base)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.schemas[name] = df.schema
+        return self.read(name)
+
+    def read(self, name: str) -> DataFrame:
+        """A table as a plan of its own, so that it can be joined with itself."""
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.base}/{name}")
 
     def keep(self, *names: str) -> None:
         """Deletes all tables but these."""
@@ -97,6 +105,15 @@ class Scratch:
         jvm.System.gc()
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder at the end of the process, if Spark still runs then."""
+    context = spark.sparkContext
+    with contextlib.suppress(Exception):  # the cluster may be gone before this process
+        if context._jsc is not None:
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: A key with more than this share of all rows is hot; so at most this many keys are.
 HOT_SHARE = 2000
 

@@ -5,9 +5,13 @@ beta-binomial prior whose mean is the level above (host, registered domain, suff
 strength comes from the spread of that level (method of moments). A page is allowed if the lower posterior
 bound of its host's rate reaches ``floor``.
 
-Only DataFrame expressions; the one shuffle of the labelled rows is pre-aggregated by host. Null urls and urls
+Only DataFrame expressions. The labelled rows are summed by host before their one shuffle, and the sums are written, so they are read
+once; all spreads come from one job. Rows of a frequent host are dealt over several tasks when they get its bound.
+
+Null urls and urls
 without ``://`` have an empty host and path. Null outcomes are ignored; no labelled row at all gives the
-prior rate 0.5. Rule ties cannot arise: the longest rule string wins, equal strings are one rule.
+prior rate 0.5. Rule ties cannot arise: the longest rule string wins, equal strings are one rule (the last given). Repeated rows
+and ids are judged row by row, an empty table gives no rows, other columns are not read, and a long url is a value like others.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.llm import runtime
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Second-level labels under which domains are registered.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
-#: Rules are compiled into one expression; longer lists belong in ``rule_table``.
+#: So many rules are compiled into one expression; longer lists are joined, with the same result.
 MOST_COMPILED_RULES = 200
 
 
@@ -73,8 +79,6 @@ def public_suffix(host: Column) -> Column:
 
 def matching_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     """The longest fitting rule as struct(text, verdict), else null."""
-    if len(rules) > MOST_COMPILED_RULES:
-        raise ValueError("too many rules for one expression; use rule_table")
     out = F.lit(None).cast("struct<text:string,verdict:string>")
     for r in sorted(rules, key=lambda r: (len(r.text), r.text)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
@@ -95,50 +99,56 @@ def rule_table(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def host_posteriors(outcomes: DataFrame, hosts: DataFrame, params: Reputation = Reputation()) -> DataFrame:
-    """Lower posterior bound per host. outcomes: host, good (0/1); hosts: every host asked for.
+    """Lower posterior bound per host. outcomes: host, good (0/1); hosts: every host asked for, with columns that are kept.
 
-    The four scalars taken to the driver (the overall rate and three spreads) do not grow with the data.
+    Five sums for each of the three levels come to the driver, whatever the size of the data.
     """
-    by_host = outcomes.where("good is not null and host is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("k"))
-    by_host = by_host.withColumns({"domain": registered_domain(F.col("host")), "suffix": public_suffix(F.col("host"))})
+    scratch = runtime.Scratch(outcomes.sparkSession)
+    sums = F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("k")
+    by_host = outcomes.where("good is not null and host is not null").groupBy("host").agg(*sums)
+    by_host = scratch.write(by_host.withColumns({"domain": registered_domain(F.col("host")), "suffix": public_suffix(F.col("host"))}), "hosts")
     by_domain = by_host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    n, k = by_suffix.agg(F.sum("n"), F.sum("k")).first()
-    rate = k / n if n else 0.5
-    rate = min(max(rate, 0.01), 0.99)
-
-    def strength(level: DataFrame) -> float:
-        s, groups, more = level.agg(F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - rate, 2)), F.count("*"), F.sum(F.col("n") - 1)).first()
-        rho = (s / (rate * (1 - rate)) - groups) / more if more else params.most_rho
+    level = lambda i, x: x.agg(F.lit(i).alias("level"), F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk"), F.count("*").alias("groups"))
+    levels = {r["level"]: r for r in level(0, by_host).union(level(1, by_domain)).union(level(2, by_suffix)).collect()}
+    n, k = levels[0]["n"], levels[0]["k"]
+    rate = min(max(k / n if n else 0.5, 0.01), 0.99)
+
+    def strength(r) -> float:
+        """Of a level's prior: from the spread of its rates, the sum of n (k / n - rate)**2."""
+        more = (r["n"] or 0) - r["groups"]
+        spread = r["kk"] - 2 * rate * r["k"] + rate * rate * r["n"] if r["n"] else 0.0
+        rho = (spread / (rate * (1 - rate)) - r["groups"]) / more if more else params.most_rho
         rho = min(max(rho, params.least_rho), params.most_rho)
         return (1 - rho) / rho
 
-    at_host, at_domain, at_suffix = strength(by_host), strength(by_domain), strength(by_suffix)
+    at_host, at_domain, at_suffix = (strength(levels[i]) for i in range(3))
 
     def shrunk(above: Column, weight: float) -> Column:
         return (F.coalesce("k", F.lit(0.0)) + weight * above) / (F.coalesce("n", F.lit(0.0)) + weight)
 
-    asked = hosts.select("host").distinct().withColumns({"domain": registered_domain(F.col("host")), "suffix": public_suffix(F.col("host"))})
+    asked = hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": public_suffix(F.col("host"))})
     out = asked.join(by_suffix, "suffix", "left").withColumn("at_suffix", shrunk(F.lit(rate), at_suffix)).drop("n", "k")
     out = out.join(by_domain.drop("suffix"), "domain", "left").withColumn("at_domain", shrunk(F.col("at_suffix"), at_domain)).drop("n", "k")
     out = out.join(by_host.drop("domain", "suffix"), "host", "left").withColumn("rate", shrunk(F.col("at_domain"), at_host))
     weight = F.coalesce("n", F.lit(0.0)) + at_host + 1
     bound = F.col("rate") - params.z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / weight)
-    return out.select("host", "rate", bound.alias("bound"))
+    return out.select(*hosts.columns, "rate", bound.alias("bound"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], params: Reputation = Reputation(), url: str = "url", key: str = "page_id") -> DataFrame:
     """key, host, path, rule (or null), verdict, rate and bound of every row. outcomes: url, good."""
-    parts = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    spark = pages.sparkSession
+    parts = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     known = outcomes.select(host_of(F.col("url")).alias("host"), "good")
-    scores = host_posteriors(known, parts, params)
-    found = matching_rule(F.col("host"), F.col("path"), rules)
-    return (
-        parts.withColumn("found", found)
-        .join(scores, "host", "left")
-        .select(
-            key, "host", "path", F.col("found.text").alias("rule"),
-            F.coalesce(F.col("found.verdict"), F.when(F.col("bound") >= params.floor, "allow").otherwise("block")).alias("verdict"),
-            "rate", "bound",
-        )
-    )
+    hosts = runtime.Scratch(spark).write(parts.groupBy("host").agg(F.count("*").alias("rows")), "asked")
+    total = hosts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    if len(rules) <= MOST_COMPILED_RULES:
+        found = parts.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules))
+    else:
+        given = spark.createDataFrame([(r.text, r.verdict) for r in {r.text: r for r in rules}.values()], "text string, verdict string")
+        fitting = rule_table(parts, given).select("host", "path", F.struct(F.col("rule").alias("text"), "verdict").alias("found"))
+        found = parts.join(fitting, ["host", "path"], "left")
+    scored = runtime.join_hot(found, host_posteriors(known, hosts, params), ["host"], "rows", total, F.xxhash64("key", "path"))
+    verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("bound") >= params.floor, "allow").otherwise("block"))
+    return scored.select(F.col("key").alias(key), "host", "path", F.col("found.text").alias("rule"), verdict.alias("verdict"), "rate", "bound")
