@@ -107,7 +107,7 @@ def q39d_mark_price(spark, sf):
 def _portfolio(spark, sf):
     i, t = F.col("id"), F.col("ts")
     return ticks(spark, sf).select(
-        F.lit(0).alias("config"), "id", "ts", (F.col("wallet") % 60).cast("long").alias("contract"), (F.floor(F.col("wallet") % 60 / 2)).cast("long").alias("market"), "price", (F.col("usdc") > 150).alias("signal"), F.col("usdc").alias("priority"),
+        F.lit(0).alias("config"), "id", "ts", (F.col("wallet") % 60).cast("long").alias("contract"), (F.floor(F.col("wallet") % 60 / 2)).cast("long").alias("market"), "price", (F.col("usdc") > 40).alias("signal"), F.col("usdc").alias("priority"),
         F.when(F.col("wallet") % 60 % 7 != 0, (F.col("wallet") % 2).cast("double")).alias("outcome"), F.when(F.col("wallet") % 60 % 11 != 0, F.lit(1704067200).cast("long") + (F.col("wallet") % 60) * 40000).alias("end"),
     )
 
