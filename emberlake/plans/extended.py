@@ -113,7 +113,7 @@ def _portfolio(spark, sf):
 
 
 @query()
-def q44b_portfolio(spark, sf):
+def q44_replay(spark, sf):
     return simulate.portfolio_replay(_portfolio(spark, sf), simulate.PortfolioParams(bank=1500.0, required=2))
 
 
@@ -122,7 +122,7 @@ def q44c_drained(spark, sf):
     x = _portfolio(spark, sf)
     m = x.groupBy("contract").agg(F.max("outcome").alias("outcome"), F.max("end").alias("end"))
     last = x.groupBy("contract").agg(F.max_by("price", F.struct("ts", "id")).alias("price"))
-    done = simulate.drained(q44b_portfolio(spark, sf), m, last, 1704067200 + 45 * 40000)
+    done = simulate.drained(q44_replay(spark, sf), m, last, 1704067200 + 45 * 40000)
     return done.groupBy("state", "won").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
@@ -166,7 +166,7 @@ def q44g_event_replay(spark, sf):
 
 
 @query()
-def q45b_event_grid(spark, sf):
+def q45_grid_tuning(spark, sf):
     return simulate.tune(_event_rows(spark, sf), [1000.0, 2000.0, 4000.0], [0.1, 0.25, 0.5], [0.05, 0.1, 0.2])
 
 

@@ -5,9 +5,9 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from emberlake.operators import bayes, execution, features, fresh, performance, replay, signals
+from emberlake.operators import bayes, execution, features, fresh, performance, signals
 from emberlake.plans.registry import query, r6
-from emberlake.plans.views import MARKETS, TICKS, TRADES, markets, table, ticks, trades
+from emberlake.plans.views import TICKS, table, ticks
 
 _W = f"WITH {TICKS}"
 #: A wallet's skill in the stand-in data.
@@ -332,21 +332,6 @@ def q43_walk_forward(spark, sf):
     return g.select("fold", "n_test", *(F.round(c, 5).alias(c) for c in ("fitted", "seen", "error")))
 
 
-def _replay_rows(spark, sf):
-    t = ticks(spark, sf)
-    return t.select("id", "ts", F.col("wallet").alias("market"), "price", (F.col("usdc") / 1000).alias("edge"), F.col("usdc").alias("priority"), (F.col("ts") + 86400 * (1 + F.col("wallet") % 5)).alias("end_ts"), (F.col("wallet") % 2).cast("double").alias("outcome"))
-
-
-@query()
-def q44_replay(spark, sf):
-    return replay.replay(_replay_rows(spark, sf).withColumns({"config": F.lit(0), "least_edge": F.lit(0.1)}))
-
-
-@query()
-def q45_grid_tuning(spark, sf):
-    return replay.tune(_replay_rows(spark, sf), [0.0, 0.1, 0.2, 0.3, 0.4])
-
-
 @query(f"""{_W}, s AS (SELECT contract, avg(usdc) AS mu, stddev_pop(usdc) AS sd, min(ts) AS t0, max(ts) AS t1 FROM ticks GROUP BY contract), u AS (SELECT wallet, dense_rank() OVER (ORDER BY wallet) - 1 AS u_id FROM (SELECT DISTINCT wallet FROM ticks)),
 x AS (SELECT *, ((ts // 3600) % 24) * {2 * math.pi / 24!r} AS h FROM ticks JOIN s USING (contract) JOIN u USING (wallet))
 SELECT id, CAST(u_id AS INTEGER) AS u_id, round((usdc - mu) / nullif(sd, 0), 6) AS z, round(ln(1 + usdc), 6) AS log_usdc, round((ts - t0) / nullif((t1 - t0)::DOUBLE, 0), 6) AS progress, round(sin(h), 6) AS hour_sin, round(cos(h), 6) AS hour_cos FROM x""")

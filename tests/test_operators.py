@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from emberlake.operators import bayes, execution, intervals, performance, replay
+from emberlake.operators import bayes, execution, intervals, performance
 from emberlake.sources import tables
 
 
@@ -46,15 +46,6 @@ def test_positions_with_sales(spark):
     assert (r["qty"], r["realised"]) == pytest.approx((0.0, 50 * 0.15 - 150 * 0.25))
 
 
-def test_replay_takes_bets_in_order_of_priority_while_cash_lasts():
-    rows = [(0, 1, 10, "a", 0.5, 1.0, 5.0, 100, 1.0), (0, 2, 10, "b", 0.5, 1.0, 9.0, 100, 0.0), (0, 3, 20, "c", 0.5, 1.0, 1.0, 200, None)]
-    pdf = pd.DataFrame(rows, columns=["config", "id", "ts", "market", "price", "edge", "priority", "end_ts", "outcome"]).assign(exit_ts=np.nan, exit_price=np.nan)
-    r = replay.run_group(pdf, replay.ReplayParams(cash=100.0, stake=100.0, slippage=0.0)).iloc[0]
-    assert (r["bets"], r["final_cash"]) == (1, 0.0)  # b goes first and loses
-    r = replay.run_group(pdf, replay.ReplayParams(cash=300.0, stake=100.0, slippage=0.0)).iloc[0]
-    assert (r["bets"], r["wins"], r["final_cash"]) == (3, 1, 300.0)
-
-
 def test_folds_keep_the_embargo():
     for a, b, c, d in performance.folds(0, 100, 30, 2, 10):
         assert b - a == 30 and c - b == 2 and c < d <= 100

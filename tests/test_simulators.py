@@ -150,7 +150,7 @@ def test_events(spark):
     assert got["trades"] == 1 and got["open"] == 0 and got["final_value"] == pytest.approx(10_000 - 100 + put / entry)
     stopped = simulate.event_replay(spark.createDataFrame(rows[:2] + [(0, 120, 2, "TRADE", 1, 0.2, 1.0, True, 0.25, None, 86400 * 3)], row), simulate.EventParams(splash=1000.0, sizing="fixed", size=100.0, stop_loss=0.4)).first()
     assert stopped["open"] == 0 and stopped["final_value"] == pytest.approx(9_900 + put / entry * 0.2 * 0.998 * 0.97)
-    grid = extended.q45b_event_grid(spark, SF).orderBy("place").collect()
+    grid = extended.q45_grid_tuning(spark, SF).orderBy("place").collect()
     assert len({r["config"] for r in grid}) == 27 and all(a["score"] >= b["score"] - 1e-9 for a, b in zip(grid, grid[1:]))
     one = simulate.event_replay(extended._event_rows(spark, SF).withColumn("config", F.lit(0)), simulate.EventParams(splash=grid[0]["splash"], size=grid[0]["size"], least_edge=grid[0]["least_edge"])).first()
     assert one["final_value"] == pytest.approx(grid[0]["final_value"])
