@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from emberlake.llm import ann_tree, decontam, hmm, language_id, minhash, packing, quality, queries, runtime, suffix_dedup, textscan, url_filter, warc
+from emberlake.llm import ann_tree, decontam, hmm, language_id, minhash, packing, quality, queries, suffix_dedup, textscan, url_filter, warc
 
 PASSAGE = " ".join(f"shared{i} passage{i * 7 % 13}" for i in range(40))
 #: Names that the operators use for themselves.
