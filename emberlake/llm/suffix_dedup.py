@@ -6,21 +6,27 @@ stretches around anchors that occur twice can hold repeats. Stretches that are e
 themselves. The others, grouped by anchor, go to a column-wise construction: all stretches of a group are aligned at
 the anchor, and each round, from the last column to the first, puts one more symbol in front of every stretch's
 suffix, updates their order by a stable sort on that symbol (the column of the Burrows-Wheeler transform) and their
-common prefixes by range minima. Columns lie in a sequential temporary file, so a round holds only the order and the
-prefixes. Neighbours with a common prefix of ``length`` are repeats. As equal strings stand in equal columns, only the
+common prefixes by range minima. Columns lie in a sequential temporary file of the task, gone with its call, so a round
+holds only the order and the prefixes. Neighbours with a common prefix of ``length`` are repeats. As equal strings stand in equal columns, only the
 newest suffix of each stretch takes part in a round (the positional form of the transform).
 
+Occurrences are dealt by anchor and told apart in one streaming pass over the sorted rows; anchors that hold more than
+a 2,000th of all rows are found first, from the counts of blocks of rows, and go by pre-aggregated counts instead.
 A group with more than ``most`` different stretches (a passage in very many contexts) is not gathered: its stretches
 are cut into narrower classes of window starts with the longer part that these share as the new group, down to single
-windows, where equal ones are counted with pre-aggregation.
+windows, where equal ones are told by the same pass.
 
-Texts are UTF-8 bytes; null counts as empty. Matches never cross documents. Rows that repeat a doc_id count as
-different documents with equal text.
+Texts are UTF-8 bytes; null counts as empty. Matches never cross documents. Rows are told apart by number where a doc_id
+is null or repeated, so equal rows are repeats of each other, and all are returned. An empty table gives no rows. Other columns
+are carried whatever their names. A very long text is scanned in blocks, at about four bytes of memory for each of its bytes.
+Equal stretches are told by a 64-bit hash within an equal 64-bit anchor hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -44,6 +50,10 @@ class RepeatParams:
     widths: tuple[int, ...] = (20, 1)
     #: Stretches handled in one construction, unless one group has more.
     together: int = 6_000
+    #: Bytes scanned at once.
+    block: int = 1 << 17
+    #: Anchors with fewer occurrences than this are never hot.
+    least_hot: int = 1000
 
     @property
     def window(self) -> int:
@@ -62,44 +72,60 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, p: RepeatParams) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix hashes of the bytes, and the anchors' positions in them."""
-    prefix = textscan.prefix_hash(data)
-    n = len(data) - p.gram + 1
-    if n < p.window:
-        return prefix, np.zeros(0, np.int64)
-    at = np.arange(n)
-    h = (textscan.range_hash(prefix, at, at + p.gram) >> _U(32)).astype(np.uint32) | np.uint32(1)
-    least = sliding(h, p.window, np.minimum)
-    valid = np.zeros(len(least), bool)
+def anchors(data: np.ndarray, offsets: np.ndarray, p: RepeatParams) -> Iterator[dict[str, np.ndarray]]:
+    """The anchors of consecutive blocks: row, group key, hash of the stretch, first byte and number of window starts,
+    missing starts before."""
+    valid = np.zeros(len(data) + 1, bool)  # where a window starts
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if b - a >= p.length:
             valid[a : b - p.length + 1] = True
-    least[~valid] = 0
-    padded = np.zeros(len(least) + 2 * (p.window - 1), np.uint32)
-    padded[p.window - 1 : p.window - 1 + len(least)] = least
-    return prefix, np.flatnonzero(sliding(padded, p.window, np.maximum)[:n] == h)
-
-
-def stretches(prefix: np.ndarray, offsets: np.ndarray, at: np.ndarray, p: RepeatParams) -> dict[str, np.ndarray]:
-    """Of each anchor: row, group key, hash of the stretch, first byte and number of window starts, missing starts before."""
+    for at in range(0, len(data), p.block):
+        lo, hi = max(0, at - p.length), min(len(data), at + p.block + p.length)
+        own = data[lo:hi]
+        n = len(own) - p.gram + 1
+        if n < p.window or not valid[lo:hi].any():
+            continue
+        grams = textscan.window_hash(own, p.gram)
+        h = (grams >> _U(32)).astype(np.uint32) | np.uint32(1)
+        least = sliding(h, p.window, np.minimum)
+        least[~valid[lo : lo + len(least)]] = 0
+        padded = np.zeros(len(least) + 2 * (p.window - 1), np.uint32)
+        padded[p.window - 1 : p.window - 1 + len(least)] = least
+        found = np.flatnonzero(sliding(padded, p.window, np.maximum)[:n] == h)
+        found = found[(found >= at - lo) & (found < at - lo + p.block)]
+        if len(found):
+            yield _stretches(own, grams, offsets, found, lo, p)
+
+
+def _stretches(own: np.ndarray, grams: np.ndarray, offsets: np.ndarray, found: np.ndarray, base: int, p: RepeatParams) -> dict[str, np.ndarray]:
+    at = found + base
     row = np.searchsorted(offsets, at, "right") - 1
     begin, stop = offsets[row], offsets[row + 1]
-    lo = np.maximum(begin, at + p.gram - p.length)
-    hi = np.minimum(stop, at + p.length)
+    lo, hi = np.maximum(begin, at + p.gram - p.length), np.minimum(stop, at + p.length)
     pad = lo - (at + p.gram - p.length)
-    key = textscan.range_hash(prefix, at, at + p.gram)
-    whole = textscan.mix(textscan.range_hash(prefix, lo, hi) + (pad.astype(_U) << _U(32)) + (hi - lo).astype(_U))
-    return {"row": row, "key": key, "whole": whole, "lo": lo - begin, "starts": hi - lo - p.length + 1, "pad": pad}
+    whole = _whole(own, lo - base, hi - base, pad, p)
+    return {"row": row, "key": textscan.mix(grams[found]), "whole": whole, "lo": lo - begin, "starts": hi - lo - p.length + 1, "pad": pad}
+
+
+def _whole(own: np.ndarray, lo: np.ndarray, hi: np.ndarray, pad: np.ndarray, p: RepeatParams) -> np.ndarray:
+    """Hashes of stretches by three or more windows that together cover them, their length and their column."""
+    width = 8 * max(2, p.length // 16)
+    h = textscan.window_hash(own, width)
+    n = hi - lo
+    steps = max(1, -(-(2 * p.length - p.gram) // width))
+    out = textscan.mix(n.astype(_U) * _U(1 << 20) + pad.astype(_U))
+    for i in range(steps + 1):
+        out = textscan.mix(out * _U(0x9E3779B97F4A7C15) + h[lo + (n - width) * i // steps])
+    return out
 
 
-OCCURRENCE = "key long, whole long, doc_id long, lo long, starts int, pad int"
+OCCURRENCE = "key long, whole long, row long, lo int, starts short, pad short"
 
 
-def _occurrences(doc_id: pa.Array, s: dict[str, np.ndarray]) -> pa.RecordBatch:
+def _occurrences(rows: pa.Array, s: dict[str, np.ndarray]) -> pa.RecordBatch:
     return textscan.batch(
-        key=textscan.int64(s["key"]), whole=textscan.int64(s["whole"]), doc_id=doc_id.take(pa.array(s["row"])),
-        lo=s["lo"].astype(np.int64), starts=s["starts"].astype(np.int32), pad=s["pad"].astype(np.int32),
+        key=textscan.int64(s["key"]), whole=textscan.int64(s["whole"]), row=rows.take(pa.array(s["row"])),
+        lo=s["lo"].astype(np.int32), starts=s["starts"].astype(np.int16), pad=s["pad"].astype(np.int16),
     )
 
 
@@ -142,45 +168,177 @@ def _runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + length
 
 
+DECIDED = "asked boolean, key long, row long, lo int, starts short, pad short, large boolean"
+
+
+def _decide(found: DataFrame, p: RepeatParams) -> DataFrame:
+    """Of occurrences: asked = false for those whose stretch is equal to another's of their key; asked = true for one of
+    each stretch of a key with different stretches, large if the key has more than ``most`` of them."""
+
+    def run(batches):
+        state = _Groups(p.most)
+        for batch in batches:
+            if batch.num_rows:
+                yield from state.add(batch)
+        yield from state.close()
+
+    return found.repartition("key").sortWithinPartitions("key", "whole").mapInArrow(run, DECIDED)
+
+
+class _Groups:
+    """Streams occurrences sorted by key and stretch; holds at most the ``most`` first stretches of the last key."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.kept: list[pa.RecordBatch] = []  # the last stretch's first row, if it is not yet decided
+        self.firsts: list[pa.RecordBatch] = []  # first rows of the stretches of the last key
+        self.n, self.lone, self.large, self.last = 0, False, False, None
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        full = pa.Table.from_batches([*self.kept, batch]).combine_chunks().to_batches()[0]
+        key, whole = (full.column(i).to_numpy() for i in (0, 1))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(key)))
+        size[0] += self.more if self.kept else 0
+        twin = np.repeat(size > 1, np.diff(np.append(at, len(key))))
+        open_at, open_size = at[-1], size[-1]  # the last stretch may go on
+        out = twin.copy()
+        if self.kept and self.shown:
+            out[0] = False
+        self.shown = bool(twin[open_at])
+        if not self.shown:
+            out[open_at] = False
+        if out.any():
+            yield self._rows(full.filter(pa.array(out)), False, False)
+        if len(at) > 1:
+            yield from self._stretches(full.take(pa.array(at[:-1])), size[:-1])
+        self.kept, self.more = [full.slice(open_at, 1)], int(open_size) - 1
+
+    def _stretches(self, firsts: pa.RecordBatch, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Stretches that are over, by their first rows. Keys between the first and the last of them are over too."""
+        key = firsts.column(0).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        yield from self._part(firsts.slice(0, cuts[1]), size[: cuts[1]])
+        if len(cuts) > 2:
+            n = np.diff(cuts)[1:-1]
+            if len(n):
+                lone = np.logical_or.reduceat(size[: cuts[-2]] == 1, cuts[1:-2])
+                for large in (False, True):
+                    pick = np.repeat((n > 1) & lone & ((n > self.most) == large), n)
+                    if pick.any():
+                        yield self._rows(firsts.slice(cuts[1], len(pick)).filter(pa.array(pick)), True, large)
+            yield from self._part(firsts.slice(cuts[-2]), size[cuts[-2] :])
+
+    def _part(self, firsts: pa.RecordBatch, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Stretches of one key that may have had others before and may have others to come."""
+        key = firsts.column(0)[0].as_py()
+        if self.last != key:
+            yield from self._flush()
+        self.last = key
+        self.n += len(size)
+        self.lone |= bool((size == 1).any())
+        self.firsts.append(firsts)
+        if self.n > self.most:  # told to be large before the rest of the key is seen
+            self.large = True
+            yield from self._asked()
+
+    def _asked(self) -> Iterator[pa.RecordBatch]:
+        if self.firsts:
+            yield self._rows(pa.Table.from_batches(self.firsts).combine_chunks().to_batches()[0], True, self.large)
+        self.firsts = []
+
+    def _flush(self) -> Iterator[pa.RecordBatch]:
+        if self.large or (self.n > 1 and self.lone):
+            yield from self._asked()
+        self.firsts, self.n, self.lone, self.large, self.last = [], 0, False, False, None
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.kept:
+            yield from self._stretches(self.kept[0], np.array([self.more + 1]))
+            yield from self._flush()
+
+    @staticmethod
+    def _rows(batch: pa.RecordBatch, asked: bool, large: bool) -> pa.RecordBatch:
+        n = batch.num_rows
+        return textscan.batch(asked=pa.array(np.full(n, asked)), key=batch.column(0), row=batch.column(2), lo=batch.column(3), starts=batch.column(4), pad=batch.column(5), large=pa.array(np.full(n, large)))
+
+
+def _decide_hot(found: DataFrame, total: int, p: RepeatParams) -> DataFrame:
+    """As ``_decide``, for the rows of at most 2 * HOT_SHARE keys: counts are made before the shuffle, none gathers a key."""
+    classes = found.groupBy("key", "whole").agg(F.count("*").alias("n"))
+    sizes = classes.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least"))
+    alike = runtime.join_hot(found, classes.where("n > 1").select("key", "whole", "n"), ["key", "whole"], "n", total, F.xxhash64("row", "lo"), "inner")
+    spans = alike.select(F.lit(False).alias("asked"), "key", "row", "lo", "starts", "pad", F.lit(False).alias("large"))
+    firsts = found.groupBy("key", "whole").agg(F.min_by(F.struct("row", "lo", "starts", "pad"), F.struct("row", "lo")).alias("r"))
+    todo = firsts.join(F.broadcast(sizes.where("size > 1 and least = 1").select("key", "size")), "key")
+    return spans.union(todo.select(F.lit(True).alias("asked"), "key", "r.row", "r.lo", "r.starts", "r.pad", (F.col("size") > p.most).alias("large")))
+
+
+def _hot_keys(found: DataFrame, total: int, least: int) -> DataFrame:
+    """The keys with more than a HOT_SHARE-th of the ``total`` rows (and some with half of that): a key counts in the blocks of rows
+    in which it has more than half that share, so of all its rows at most half are missed."""
+    block = 64 * runtime.HOT_SHARE
+
+    def run(batches):
+        held, n = [], 0
+
+        def flush():
+            key, many = np.unique(np.concatenate(held), return_counts=True)
+            most = many > n // (2 * runtime.HOT_SHARE)
+            return textscan.batch(key=key[most], n=many[most])
+
+        for b in batches:
+            held.append(b.column(0).to_numpy())
+            n += b.num_rows
+            if n >= block:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    counted = found.select("key").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") > max(least, total // (2 * runtime.HOT_SHARE))).select("key")
+
+
 def repeated_spans(docs: DataFrame, scratch: runtime.Scratch, p: RepeatParams = RepeatParams()) -> DataFrame:
-    """doc_id, begin, stop: byte ranges that together are covered by repeated strings (they may overlap)."""
+    """row, begin, stop: byte ranges that together are covered by repeated strings (they may overlap). docs: row (unique), text."""
     runtime.prepare(docs.sparkSession)
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    docs = docs.select("row", "text")
 
     def scan(batches):
         for batch, data, offsets in textscan.chunks(batches):
-            prefix, at = anchors(data, offsets, p)
-            if len(at):
-                yield _occurrences(batch.column(0), stretches(prefix, offsets, at, p))
-
-    found = scratch.write(docs.mapInArrow(scan, OCCURRENCE), "anchors")
-    # written, so that the join below deals both sides anew and can split a key that very many anchors share
-    twice = scratch.write(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
-    scratch.drop()
-    seen = scratch.write(found.join(twice, "key"), "level-0")
-    del found, twice
-    scratch.drop("anchors", "twice")
+            for s in anchors(data, offsets, p):
+                yield _occurrences(batch.column(0), s)
+
+    seen = scratch.write(docs.mapInArrow(scan, OCCURRENCE), "level-0")
     spans = []
     for level in range(len(p.widths) + 1):
-        classes = seen.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo", "starts", "pad")).alias("r"))
-        classes = scratch.write(classes, f"classes-{level}")
-        many = classes.where("n > 1").select("key", "whole")
-        alike = seen.join(many, ["key", "whole"], "left_semi")
-        spans.append(alike.select("doc_id", F.col("lo").alias("begin"), (F.col("lo") + F.col("starts") + (p.length - 1)).alias("stop")))
-        sizes = classes.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1").select("key", "size")
-        todo = classes.join(sizes, "key").select("key", "r.*", (F.col("size") > p.most).alias("large"))
-        asked = todo.groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "starts", "pad", "large")).alias("asked"))
-        cut = _segments(docs, asked, p, p.widths[level] if level < len(p.widths) else 0)
-        cut = scratch.write(cut, f"segments-{level}")
-        small = cut.where("segment is not null").select("key", "doc_id", "lo", "pad", "segment")
-        spans.append(_construct(small, p))
-        seen = cut.where("segment is null").select("key", "whole", "doc_id", "lo", "starts", "pad")
+        total = seen.count()
+        hot = scratch.write(_hot_keys(seen, total, p.least_hot), f"hot-{level}")
+        decided = _decide(seen.join(F.broadcast(hot), "key", "left_anti"), p)
+        if hot.take(1):
+            decided = decided.union(_decide_hot(seen.join(F.broadcast(hot), "key", "left_semi"), total, p))
+        decided = scratch.write(decided, f"decided-{level}")
+        scratch.drop(f"level-{level}")
+        alike = decided.where("not asked")
+        spans.append(alike.select("row", F.col("lo").alias("begin"), (F.col("lo") + F.col("starts") + (p.length - 1)).cast("int").alias("stop")))
+        # dealt before they are gathered: lists made before the shuffle would be longer than their rows
+        asked = decided.where("asked").drop("asked").repartition("row").groupBy("row").agg(F.collect_list(F.struct("key", "lo", "starts", "pad", "large")).alias("asked"), F.count("*").alias("asks"))
+        # a comparison makes the optimiser see a selective side, and so sift texts by a Bloom filter (of bounded size) before the shuffle: later levels ask few
+        asked = scratch.write(asked, f"asked-{level}").where("asks >= 1").select("row", "asked")
+        with runtime.bloom_filters(docs.sparkSession):
+            cut = scratch.write(_segments(docs, asked, p, p.widths[level] if level < len(p.widths) else 0), f"segments-{level}")
+        scratch.drop(f"asked-{level}")
+        spans.append(_construct(cut.where("segment is not null").select("key", "row", "lo", "pad", "segment"), p))
+        seen = cut.where("segment is null").select("key", "whole", "row", "lo", "starts", "pad")
         if not seen.take(1):
             break
         seen = scratch.write(seen, f"level-{level + 1}")
     out = scratch.write(reduce(DataFrame.union, spans), "spans")
-    del spans, seen, alike, many, classes, sizes, todo, asked, cut, small
-    scratch.drop(*(f"{x}-{i}" for x in ("level", "classes", "segments") for i in range(level + 2)))
+    del spans, seen, alike, decided, asked, cut
+    scratch.keep("spans", "rows")
     return out
 
 
@@ -191,41 +349,35 @@ def _segments(docs: DataFrame, asked: DataFrame, p: RepeatParams, width: int) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = batch.column(1)
-            data, offsets = textscan.text_bytes(texts)
-            out: dict[str, list] = {x: [] for x in ("key", "whole", "doc_id", "lo", "starts", "pad", "segment")}
-            for i, (doc, listed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                own = data[offsets[i] : offsets[i + 1]]
-                prefix = textscan.prefix_hash(own) if any(x["large"] for x in listed) else None
-                raw = own.tobytes()
+            data, offsets = textscan.text_bytes(batch.column(1))
+            out: dict[str, list] = {x: [] for x in ("key", "whole", "row", "lo", "starts", "pad", "segment")}
+            for i, (row, listed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                raw = data[offsets[i] : offsets[i + 1]].tobytes()
                 for x in listed:
                     lo, starts, pad = x["lo"], x["starts"], x["pad"]
                     if not x["large"]:
-                        rows = [(x["key"], 0, lo, starts, pad, raw[lo : lo + starts + p.length - 1])]
+                        made = [(x["key"], 0, lo, starts, pad, raw[lo : lo + starts + p.length - 1])]
                     else:
                         # classes of window starts at fixed columns; every window of a class holds the core, the bytes
                         # from the last start of the class to the end of its first window
-                        rows = []
+                        made = []
                         for column in range(pad // width * width, pad + starts, width):
                             a, b = max(column, pad), min(column + width, pad + starts)
-                            core = np.array([lo + column + width - 1 - pad]), np.array([lo + column - pad + p.length])
-                            rows.append(_class(prefix, x["key"], core, lo + a - pad, b - a, a - column, p, width, column))
-                    for key, whole, first, n, gap, segment in rows:
-                        for name, value in zip(out, (key, whole, doc, first, n, gap, segment), strict=True):
+                            core = raw[lo + column + width - 1 - pad : lo + column - pad + p.length]
+                            own = raw[lo + a - pad : lo + b - pad + p.length - 1]
+                            made.append((_digest(core, x["key"], width, column), _digest(own, a - column, b - a), lo + a - pad, b - a, a - column, None))
+                    for key, whole, first, n, gap, segment in made:
+                        for name, value in zip(out, (key, whole, row, first, n, gap, segment), strict=True):
                             out[name].append(value)
-            yield textscan.batch(
-                key=pa.array(out["key"], pa.int64()), whole=pa.array(out["whole"], pa.int64()), doc_id=pa.array(out["doc_id"], pa.int64()), lo=pa.array(out["lo"], pa.int64()),
-                starts=pa.array(out["starts"], pa.int32()), pad=pa.array(out["pad"], pa.int32()), segment=pa.array(out["segment"], pa.binary()),
-            )
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary())
+            yield textscan.batch(**{name: pa.array(v, kind) for (name, v), kind in zip(out.items(), kinds, strict=True)})
 
-    return docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(run, OCCURRENCE + ", segment binary")
+    return docs.join(asked, "row").select("row", "text", "asked").mapInArrow(run, OCCURRENCE + ", segment binary")
 
 
-def _class(prefix, key, core, lo, starts, pad, p, width, column):
-    mark = np.array([(key * 31 + width * 1_000_003 + column) & ((1 << 64) - 1)], dtype=_U)
-    new = textscan.mix(textscan.range_hash(prefix, *core) ^ textscan.mix(mark))
-    whole = textscan.range_hash(prefix, np.array([lo]), np.array([lo + starts + p.length - 1])) + _U(pad * 65_537 + starts)
-    return int(new.view(np.int64)[0]), int(textscan.mix(whole).view(np.int64)[0]), lo, starts, pad, None
+def _digest(raw: bytes, *numbers: int) -> int:
+    key = b"".join(n.to_bytes(8, "little", signed=True) for n in numbers)
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=key).digest(), "little", signed=True)
 
 
 def _construct(segments: DataFrame, p: RepeatParams) -> DataFrame:
@@ -245,7 +397,7 @@ def _construct(segments: DataFrame, p: RepeatParams) -> DataFrame:
                     doc += [x[1]] * len(a)
                     begin += a.tolist()
                     stop += b.tolist()
-            return textscan.batch(doc_id=pa.array(doc, pa.int64()), begin=pa.array(begin, pa.int64()), stop=pa.array(stop, pa.int64()))
+            return textscan.batch(row=pa.array(doc, pa.int64()), begin=pa.array(begin, pa.int32()), stop=pa.array(stop, pa.int32()))
 
         for batch in batches:
             for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -256,47 +408,46 @@ def _construct(segments: DataFrame, p: RepeatParams) -> DataFrame:
         if held:
             yield flush()
 
-    return segments.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, begin long, stop long")
+    return segments.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, begin int, stop int")
 
 
 def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams(), carry: list[str] = ["doc_id"], as_text: bool = False) -> DataFrame:  # noqa: B006
-    """Per document: the columns named in ``carry``, kept (the remaining bytes; or, as text, without what is left of
-    characters that are cut through), spans (array of begin, stop of the removed runs), n_bytes."""
-    spark = runtime.prepare(docs.sparkSession)
-    scratch = runtime.Scratch(spark)
-    spans = repeated_spans(docs, scratch, p)
-    listed = spans.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "stop")).alias("listed"))
+    """Per document: the columns named in ``carry`` (other than the results' own), kept (the remaining bytes; or, as text, without
+    what is left of characters that are cut through, null for null), spans (array of begin, stop of the removed runs), n_bytes."""
+    scratch = runtime.Scratch(runtime.prepare(docs.sparkSession))
+    plain = {c: f"c{i}" for i, c in enumerate(carry) if c not in ("kept", "spans", "n_bytes")}  # so that no column's name meets one of ours
+    rows, _ = runtime.row_keys(docs.select("doc_id", "text", *(F.col(c).alias(n) for c, n in plain.items())), scratch)
+    spans = repeated_spans(rows, scratch, p)
+    packed = F.shiftleft(F.col("begin").cast("long"), 32) + F.col("stop")
+    listed = spans.select("row", packed.alias("span")).repartition("row").groupBy("row").agg(F.collect_list("span").alias("listed"))
+    shown = rows.select("row", *plain.values(), "text").join(listed, "row", "left").select(*plain.values(), "text", "listed")
+    own = len(plain)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data, offsets = textscan.text_bytes(batch.column(len(names) - 2))
+            data, offsets = textscan.text_bytes(batch.column(own))
             kept, begins, stops, ptr = [], [], [], [0]
-            lists = batch.column(len(names) - 1)
+            lists = batch.column(own + 1)
             for i in range(batch.num_rows):
-                own = data[offsets[i] : offsets[i + 1]]
+                text = data[offsets[i] : offsets[i + 1]]
                 if lists[i].is_valid:
-                    v = lists[i].values
-                    a, b = v.field(0).to_numpy(), np.minimum(v.field(1).to_numpy(), len(own))
-                    by = np.argsort(a, kind="stable")
-                    a, b = a[by], np.maximum.accumulate(b[by])
+                    v = np.sort(lists[i].values.to_numpy())
+                    a, b = v >> 32, np.maximum.accumulate(np.minimum(v & 0xFFFFFFFF, len(text)))
                     new = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
                     a, b = a[new], b[np.append(new[1:] - 1, len(b) - 1)]
-                    gone = np.zeros(len(own) + 1, np.int8)
-                    gone[a] += 1
-                    gone[b] -= 1
-                    own = own[np.cumsum(gone[:-1]) == 0]
+                    between = zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True)
+                    text = np.concatenate([text[x:y] for x, y in between])
                     begins += a.tolist()
                     stops += b.tolist()
-                kept.append(own.tobytes().decode("utf-8", "ignore") if as_text else own.tobytes())
+                raw = text.tobytes()
+                kept.append(raw if not as_text else raw.decode("utf-8", "ignore") if batch.column(own)[i].is_valid else None)
                 ptr.append(len(begins))
             item = pa.StructArray.from_arrays([pa.array(begins, pa.int64()), pa.array(stops, pa.int64())], ["begin", "stop"])
-            made = {"kept": pa.array(kept, pa.string() if as_text else pa.binary()), "spans": pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), item), "n_bytes": pa.array(np.diff(offsets))}
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made.values()], names=[*carry, *made])
-
-    joined = docs.join(listed.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    shown = joined.select(*carry, F.col("text").alias("_text"), F.col("listed").alias("_listed"))
-    names = shown.columns
-    made = StructType.fromDDL(f"kept {'string' if as_text else 'binary'}, spans array<struct<begin:long,stop:long>>, n_bytes long")
-    return shown.mapInArrow(run, StructType([*(shown.schema[c] for c in carry), *made]))
+            made = {"_kept": pa.array(kept, pa.string() if as_text else pa.binary()), "_spans": pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), item), "_n": pa.array(np.diff(offsets))}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], *made.values()], names=[*plain.values(), *made])
+
+    made = StructType.fromDDL(f"_kept {'string' if as_text else 'binary'}, _spans array<struct<begin:long,stop:long>>, _n long")
+    done = shown.mapInArrow(run, StructType([*(shown.schema[c] for c in plain.values()), *made]))
+    return done.select(*(F.col(n).alias(c) for c, n in plain.items()), F.col("_kept").alias("kept"), F.col("_spans").alias("spans"), F.col("_n").alias("n_bytes"))
