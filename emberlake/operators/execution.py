@@ -52,8 +52,9 @@ def asof_forward(left: DataFrame, right: DataFrame, key: str, at: str, value: st
     """left (key, at) with the value of right's first row of the key at or after that time; of equal times the least value."""
     first = right.groupBy(key, at).agg(F.min(value).alias(value)).withColumn("_v", F.struct(F.col(at).alias("at"), F.col(value).alias("value")))
     both = left.withColumn("_own", F.lit(True)).unionByName(first.select(key, at, "_v"), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("_f", F.first("_v", ignorenulls=True).over(w)).where("_own")
+    # backwards in time, so that the frame grows row by row: one that shrinks is evaluated anew for every row
+    w = Window.partitionBy(key).orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_f", F.last("_v", ignorenulls=True).over(w)).where("_own")
     return found.select(*left.columns, F.col("_f.at").alias(f"{at}_next"), F.col("_f.value").alias(value))
 
 
