@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from emberlake.functions.normalize import ratio
 from emberlake.operators import bayes, execution, frames, fresh, intervals, markets as mk, signals, simulate
 from emberlake.plans.registry import query, r6
 from emberlake.plans.views import MARKETS, TICKS, TRADES, markets, register, table, ticks, trades
@@ -128,7 +129,7 @@ def q44c_drained(spark, sf):
 
 def _signal_rows(spark, sf):
     t = ticks(spark, sf)
-    w = F.sum(F.col("usdc") * F.col("side")).over(signals.running(None, "contract")) / F.col("usdc")
+    w = ratio(F.sum(F.col("usdc") * F.col("side")).over(signals.running(None, "contract")), F.col("usdc"))  # no money, no signal
     return t.select(
         F.lit(0).alias("config"), "id", "ts", (F.col("wallet") % 90).alias("market"), w.alias("signal"), "price", (F.col("id") % 2 == 0).alias("is_yes"), (F.col("wallet") % 90 % 3 == 0).cast("double").alias("outcome"),
         (F.col("ts") + 86400 * (1 + F.col("wallet") % 5)).alias("end"), (F.col("wallet") % 10 < 3).alias("elite"), F.col("side").cast("double").alias("tokens"), F.col("wallet").alias("contract"), ((F.col("id") * 53 % 40) / 100.0).alias("variance"),
