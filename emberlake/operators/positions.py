@@ -114,11 +114,12 @@ def wallet_brier(trades: DataFrame, markets: DataFrame, least: int = 3) -> DataF
 
 
 def wallet_quality(trades: DataFrame, markets: DataFrame) -> DataFrame:
-    """Realised profit: sum, spread, count; kept with five trades, over 50 in sum, and a sum over 0.25 of the spread."""
+    """Realised profit: sum, spread, count; kept with five trades, over 50 in sum, and a sum over 0.25 of the spread. Both bounds are held to nine
+    digits, so that a sum of just 50 is not over it in one order of its rows and under it in another."""
     m = markets.where("outcome is not null").select("contract_id", "outcome")
     gain = F.when(F.col("tokens") > 0, -F.col("usdc")).otherwise(F.col("usdc")) + F.col("tokens") * F.col("outcome")
     g = trades.join(m, "contract_id").groupBy("wallet").agg(F.sum(gain).alias("total"), F.stddev_samp(gain).alias("spread"), F.count("*").alias("n"))
-    return g.where("n >= 5 and total > 50 and total / nullif(spread, 0e0) > 0.25e0")
+    return g.where("n >= 5 and round(total, 9) > 50 and round(total / nullif(spread, 0e0), 9) > 0.25e0")
 
 
 def smart_price(trades: DataFrame, scores: DataFrame, default: float = 0.25) -> DataFrame:
