@@ -48,6 +48,29 @@ def co_members(edges: DataFrame, a: str, via: str) -> DataFrame:
     return x.join(y, via).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def path_features(ticks: DataFrame, key: str, back: dict[str, int], reach: int) -> DataFrame:
+    """id, for each name of ``back`` the price less the last price at or before so many seconds ago, and ``down``, the highest price of the last
+    ``reach`` seconds less the price. Of several rows at a time the one with the largest id stands for it in the look back. ticks: id, ts, price and the key.
+
+    Prices come again as marks, moved on by the look back; time is cut into spans of ``reach`` seconds, and marks and rows of a span are sorted up for the
+    last and highest so far, and down for what is left of the span before. Work is linear apart from these sorts; no task holds all of a key."""
+    t = ticks.select("id", F.col(key).alias("key"), "ts", "price")
+    known = F.col("key").isNotNull() & F.col("ts").isNotNull()
+    prices = t.where(known & F.col("price").isNotNull()).groupBy("key", "ts").agg(F.max("price").alias("high"), F.max(F.when(F.col("id").isNotNull(), F.struct("id", "price")))["price"].alias("last"))
+    mark = lambda s, name: F.struct((F.col("ts") + s).alias("at"), F.when(F.lit(name == "down"), F.col("high")).alias("left"), *(F.when(F.lit(n == name) & F.col("last").isNotNull(), F.struct("ts", "last")).alias(n) for n in back))
+    marks = prices.select("key", F.explode(F.array(mark(reach, "down"), *(mark(s, n) for n, s in back.items()))).alias("m")).select("key", "m.*", F.lit(False).alias("own"))
+    u = t.where(known).select("key", F.col("ts").alias("at"), "id", "price", F.lit(True).alias("own")).unionByName(marks, allowMissingColumns=True)
+    u = u.withColumn("span", F.floor(F.col("at") / reach))
+    w = Window.partitionBy("key", "span")
+    up, down = w.orderBy("at"), w.orderBy(F.desc("at"))
+    before = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carry = u.groupBy("key", "span").agg(*(F.max(n).alias(n) for n in back)).select("key", "span", *(F.max(n).over(before).alias(f"_{n}") for n in back))
+    x = u.withColumns({**{n: F.max(n).over(up) for n in back}, "high": F.max("price").over(up)}).withColumn("left", F.max("left").over(down)).where("own").join(carry, ["key", "span"])
+    out = x.select("id", *((F.col("price") - F.coalesce(n, f"_{n}")["last"]).alias(n) for n in back), (F.greatest("high", "left") - F.col("price")).alias("down"))
+    none = F.lit(None).cast("double")
+    return out.unionByName(t.where(~known).select("id", *(none.alias(n) for n in back), none.alias("down")))
+
+
 def hops(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     """Nodes reached from each start over 1 .. ``most`` edges (a, b), with the number of paths. starts: start."""
     e = edges.select("a", "b").distinct()

@@ -194,10 +194,8 @@ SELECT id, {', '.join(f'round(t.price - (SELECT arg_max(l.price, l.ts) FROM l WH
 round((SELECT max(m.price) FROM ticks m WHERE m.contract = t.contract AND m.ts BETWEEN t.ts - 86400 AND t.ts) - t.price, 6) AS down24 FROM ticks t""")
 def q33_q34_path_features(spark, sf):
     """Of several rows at a time the one with the largest id stands for it, in the look back; every row gets its features."""
-    by = Window.partitionBy("contract").orderBy("ts")
-    last = F.max(F.struct("ts", "id", "price"))
-    back = {n: F.col("price") - last.over(by.rangeBetween(Window.unboundedPreceding, -s))["price"] for n, s in _PATH.items()}
-    return ticks(spark, sf).select("id", *r6(**back, down24=F.max("price").over(by.rangeBetween(-86400, 0)) - F.col("price")))
+    x = features.path_features(ticks(spark, sf), "contract", _PATH, 86400)
+    return x.select("id", *r6(**{n: n for n in _PATH}, down24="down"))
 
 
 @query(f"""{_W}, o AS (SELECT * FROM ticks), j AS (SELECT o.id AS order_id, o.side AS os, o.usdc AS wanted, f.*, CASE WHEN o.side > 0 THEN f.price ELSE 1 - f.price END AS each FROM o JOIN ticks f ON f.contract = o.contract AND f.ts BETWEEN o.ts AND o.ts + 300 AND f.id <> o.id AND f.side = -o.side
