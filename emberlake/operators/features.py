@@ -42,10 +42,23 @@ def hyperedges(trades: DataFrame, entity_of: DataFrame) -> DataFrame:
     return trades.join(entity_of, "contract_id").groupBy("wallet", "entity").agg(F.log1p(F.sum(F.abs("usdc"))).alias("weight"))
 
 
-def co_members(edges: DataFrame, a: str, via: str) -> DataFrame:
-    """Pairs of ``a`` that share a ``via``, with the number shared; a hub is compared within its via only."""
-    x, y = edges.select(F.col(a).alias("a"), via).distinct(), edges.select(F.col(a).alias("b"), via).distinct()
-    return x.join(y, via).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+def co_members(edges: DataFrame, a: str, via: str, block: int = 500) -> DataFrame:
+    """Pairs of ``a`` that share a ``via``, with the number shared. Members with the same set of vias are one class: classes are compared with each
+    other, and their pairs written out by blocks of about ``block`` members, so work is that of the classes and of the pairs that are returned."""
+    e = edges.select(F.col(a).alias("a"), F.col(via).alias("via")).where("a is not null and via is not null").distinct()
+    own = e.groupBy("a").agg(F.array_sort(F.collect_list("via")).alias("set"))
+    classes = own.groupBy("set").agg(F.min("a").alias("c"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    part = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
+    members = own.join(classes, "set").groupBy("c", part.alias("i")).agg(F.collect_list("a").alias("as"))
+    x = classes.select("c", "blocks", F.explode("set").alias("via"))
+    y = x.toDF("d", "others", "via")
+    pairs = x.join(y, "via").where("c <= d").groupBy("c", "d").agg(F.count("*").alias("shared"), F.max("blocks").alias("blocks"), F.max("others").alias("others"))
+    pairs = pairs.withColumn("i", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("j", F.explode(F.expr("sequence(if(c = d, i, 0), others - 1)")))
+    both = pairs.select("c", "d", "i", "j", "shared").join(members, ["c", "i"]).join(members.toDF("d", "j", "bs"), ["d", "j"])
+    # a few rows make very many: dealt to a fixed number of tasks, which adaptive execution would put together
+    dealt = both.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c", "i", "d", "j")
+    out = dealt.select("c", "i", "d", "j", "shared", F.explode("as").alias("a"), "bs").select("c", "i", "d", "j", "shared", "a", F.explode("bs").alias("b"))
+    return out.where("c <> d or i <> j or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
 
 
 def path_features(ticks: DataFrame, key: str, back: dict[str, int], reach: int) -> DataFrame:
