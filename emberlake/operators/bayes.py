@@ -14,6 +14,8 @@ from emberlake.operators.windows import running_total
 #: Half lives of the kernels and the reach beyond which a weight is dropped.
 PRICE_HALF, TIME_HALF, PRICE_REACH = 25.0, 91.0, 100
 TIME_REACH = math.floor(TIME_HALF * math.log2(100))
+#: Buckets, of which a reach to both sides touches at most two.
+_WIDE_PRICE, _WIDE_TIME = 2 * PRICE_REACH + 1, 2 * TIME_REACH + 1
 #: Guard for truncation at whole numbers, whose logarithms differ in the last digit between engines.
 EPS = 1e-9
 
@@ -33,18 +35,23 @@ def packed_word(price_int: Column, log_ttr: Column, win: Column) -> Column:
     return F.shiftleft(price_int.cast("long"), 22).bitwiseOR(F.shiftleft(log_ttr.cast("long"), 1)).bitwiseOR(win.cast("long"))
 
 
+def _copies(trades: DataFrame) -> DataFrame:
+    """Each trade for both sides and for each bucket that its reach touches."""
+    sides = F.array(F.struct(F.col("yes").alias("h_yes"), F.col("price_int").alias("p"), F.lit(True).alias("own")), F.struct((~F.col("yes")).alias("h_yes"), (1000 - F.col("price_int")).alias("p"), F.lit(False).alias("own")))
+    t = trades.withColumn("s", F.explode(sides)).select("id", "wallet", "log_ttr", "day", "s.*")
+    cells = lambda c, reach, wide: F.explode(F.sequence(F.floor((c - reach) / wide), F.floor((c + reach) / wide)))
+    return t.withColumn("slot", cells(F.col("p"), PRICE_REACH, _WIDE_PRICE)).withColumn("age", cells(F.col("log_ttr"), TIME_REACH, _WIDE_TIME))
+
+
 def scan(trades: DataFrame, history: DataFrame) -> DataFrame:
     """Kernel sums of each trade over its wallet's history of the same and the opposite side.
 
     trades: id, wallet, yes, price_int, log_ttr, day. history: wallet, yes, price_int, log_ttr, win, day (of resolution).
     Only entries of earlier days count. Own side at p counts wins, the opposite side at 1 - p counts losses. Prices and times are
-    bucketed by their reach, so each trade meets nine buckets of its wallet's history and no others.
+    bucketed by just over twice their reach, so each trade meets one to four buckets of its wallet's history, and is copied for these only.
     """
-    h = history.select("wallet", F.col("yes").alias("h_yes"), F.col("price_int").alias("h_price"), F.col("log_ttr").alias("h_log"), "win", F.col("day").alias("h_day"), F.floor(F.col("price_int") / PRICE_REACH).alias("slot"), F.floor(F.col("log_ttr") / TIME_REACH).alias("age"))
-    sides = F.array(F.struct(F.col("yes").alias("h_yes"), F.col("price_int").alias("p"), F.lit(True).alias("own")), F.struct((~F.col("yes")).alias("h_yes"), (1000 - F.col("price_int")).alias("p"), F.lit(False).alias("own")))
-    t = trades.withColumn("s", F.explode(sides)).select("id", "wallet", "log_ttr", "day", "s.*")
-    near = [F.struct((F.floor(F.col("p") / PRICE_REACH) + d).alias("slot"), (F.floor(F.col("log_ttr") / TIME_REACH) + e).alias("age")) for d in (-1, 0, 1) for e in (-1, 0, 1)]
-    t = t.withColumn("at", F.explode(F.array(*near))).select("*", "at.*").drop("at")
+    h = history.select("wallet", F.col("yes").alias("h_yes"), F.col("price_int").alias("h_price"), F.col("log_ttr").alias("h_log"), "win", F.col("day").alias("h_day"), F.floor(F.col("price_int") / _WIDE_PRICE).alias("slot"), F.floor(F.col("log_ttr") / _WIDE_TIME).alias("age"))
+    t = _copies(trades)
     dp, dl = F.abs(F.col("h_price") - F.col("p")), F.abs(F.col("h_log") - F.col("log_ttr"))
     j = t.join(h, ["wallet", "h_yes", "slot", "age"]).where((F.col("h_day") < F.col("day")) & (dp <= PRICE_REACH) & (dl <= TIME_REACH))
     w = F.pow(F.lit(0.5), dp / PRICE_HALF) * F.pow(F.lit(0.5), dl / TIME_HALF)
